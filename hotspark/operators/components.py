@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from hotspark.session import materialize
+from hotspark.session import materialize, spread
 
 
 def _flatten(hooks: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     rounds: list[DataFrame] = []
     if "tile" in edges.columns:
-        inside = edges.where("tile is not null").groupBy("tile").applyInPandas(_join_inside, "r long, p long")
+        inside = spread(edges.where("tile is not null"), "tile").groupBy("tile").applyInPandas(_join_inside, "r long, p long")
         rounds.append(materialize(inside, "hooks"))
         # an edge inside a tile is settled; only the edges between tiles go on
         live = _contract(edges.where("tile is null").select("src", "dst"), rounds[0])

@@ -82,3 +82,14 @@ def memo_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     if key not in _memo:
         _memo[key] = write_out(build(), name)
     return spark.read.parquet(_memo[key])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a Python group step over all cores.
+
+    The step's cost is in Python time, not in bytes, so the planner must not
+    squeeze its input into few tasks for being small.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
