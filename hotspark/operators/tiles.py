@@ -88,14 +88,15 @@ def split_by_mask(points: DataFrame, mask: DataFrame, base: float, keep: bool, t
     return hit.dropDuplicates(points.columns) if len(inside) > 1 else hit
 
 
-def box_pairs(a: DataFrame, b: DataFrame, base: float, grow: float = 0.0) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame, base: float, grow: float = 0.0, keys: list[str] | None = None) -> DataFrame:
     """Pairs of boxes (columns a.*, b.*) whose boxes, a's grown by `grow`, meet.
 
     Both sides are keyed at the levels the other side uses: a box takes its tiles
     at its own level and, one tile each, the coarser tiles around them. Of the
     tiles a pair shares only the one with the lower-left corner of the overlap
-    reports it, so no distinct follows.
+    reports it, so no distinct follows. `keys` are further columns that must be equal.
     """
+    keys = keys or []
     ga = a.selectExpr("struct(*) as a", f"x0 - {grow} as x0", f"y0 - {grow} as y0", f"x1 + {grow} as x1", f"y1 + {grow} as y1")
     gb = b.selectExpr("struct(*) as b", "x0", "y0", "x1", "y1")
     top = sorted(set(levels_in(ga, base)) | set(levels_in(gb, base)))
@@ -110,9 +111,9 @@ def box_pairs(a: DataFrame, b: DataFrame, base: float, grow: float = 0.0) -> Dat
                 F.explode(F.sequence(_tile(F.col(f"{axis}0"), base, F.col("lvl")), _tile(F.col(f"{axis}1"), base, F.col("lvl")))),
             )
         box = F.struct("own", *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias(f"{side}k")
-        return out.select(side, box, "lvl", "tx", "ty")
+        return out.select(side, box, "lvl", "tx", "ty", *[F.col(f"{side}.{k}").alias(k) for k in keys])
 
-    met = keyed(ga, "a").join(keyed(gb, "b"), ["lvl", "tx", "ty"])
+    met = keyed(ga, "a").join(keyed(gb, "b"), ["lvl", "tx", "ty", *keys])
     meets = (
         (F.col("ak.x0") <= F.col("bk.x1")) & (F.col("bk.x0") <= F.col("ak.x1"))
         & (F.col("ak.y0") <= F.col("bk.y1")) & (F.col("bk.y0") <= F.col("ak.y1"))
