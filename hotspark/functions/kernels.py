@@ -252,14 +252,9 @@ def _touches(link: np.ndarray, seg: np.ndarray, tol: float = 1e-3) -> np.ndarray
 # --- smooth surface --------------------------------------------------------
 
 
-def multiquadric_fill(xy: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Multiquadric surface through (xy, z) at new places."""
-    if len(xy) == 1:
-        return np.full(len(at), z[0])
+def multiquadric_fill(xy: np.ndarray, z: np.ndarray, at: np.ndarray, scale: float) -> np.ndarray:
+    """Multiquadric surface sqrt((r / scale)^2 + 1) through (xy, z), read at new places."""
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
-    span = xy.max(axis=0) - xy.min(axis=0)
-    span = span[span > 0]
-    scale = (np.prod(span) / len(xy)) ** (1.0 / len(span)) if len(span) else 1.0
     weights = np.linalg.lstsq(np.sqrt((d / scale) ** 2 + 1), z, rcond=None)[0]
     e = np.sqrt(((at[:, None] - xy[None]) ** 2).sum(axis=2))
     return np.sqrt((e / scale) ** 2 + 1) @ weights

@@ -17,7 +17,7 @@ def full_label(code: Column, commune: Column, country: Column, region: Column, t
 
 def label_parts(label: Column) -> Column:
     """Third and fourth underscore part of a label."""
-    return F.array_join(F.slice(F.split(label, "_"), 3, 2), "_")
+    return F.array_join(F.slice(F.split(label, "_"), 3, 2), " ")
 
 
 # Latin letters with marks and their plain forms, position by position.

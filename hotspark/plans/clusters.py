@@ -81,7 +81,7 @@ def top10_power(spark, sf):
 Q["top10_power"] = top10_power
 SQL["top10_power"] = S.with_clusters(
     """SELECT cluster, episode, total_hotspots, frp, end_time, 'fire_' || name || '_' || strftime(start_time, '%Y%m%d') AS fire_name,
-   split_part(name, '_', 2) || '_' || strftime(start_time, '%Y%m%d') AS place_day
+   split_part(name, '_', 2) || ' ' || strftime(start_time, '%Y%m%d') AS place_day
   FROM top JOIN communes c ON top.y >= c.y0 AND top.y < c.y1""",
     S.COMMUNES,
     """ep AS (SELECT *, CAST(1 + sum(o) OVER (PARTITION BY cluster ORDER BY ts, hs_id) AS BIGINT) AS episode FROM
