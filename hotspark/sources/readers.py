@@ -43,13 +43,13 @@ def clean_polar(raw: DataFrame, domain: tuple[float, float, float, float]) -> Da
 
 
 def read_polar(spark: SparkSession, path: str) -> DataFrame:
-    """All polar CSV files below `path`, laid out as sat=/acq_date=/acq_hour=.
+    """All polar CSV files below `path`, laid out as sat=/acq_date=.
 
     Predicates on the folder columns prune files before anything is opened.
     """
     schema = T.StructType(
         [f for f in POLAR_SCHEMA.fields if f.name != "acq_date"]
-        + [T.StructField("sat", T.StringType()), T.StructField("acq_date", T.StringType()), T.StructField("acq_hour", T.StringType())]
+        + [T.StructField("sat", T.StringType()), T.StructField("acq_date", T.StringType())]
     )
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -69,7 +69,7 @@ def empty_hotspots(spark: SparkSession, schema: T.StructType = POLAR_SCHEMA) ->
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON feature collections: one row per outer ring, properties kept as a map."""
     coords = "array<array<array<double>>>"
-    feature = f"struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
     docs = spark.read.text(path, wholetext=True)
     parsed = docs.select(F.from_json("value", f"struct<features:array<{feature}>>").alias("d"))
     rows = parsed.select(F.explode("d.features").alias("f")).select(
