@@ -57,7 +57,10 @@ def _join_inside(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for each id with an edge; ids that share a component share a root.
+    """(id, root) for each id that is not its own root; ids of a component share a root.
+
+    Readers left-join it and take the id itself where nothing is found. The result
+    is lazy: it joins the written tables of the rounds.
 
     An optional column `tile` marks edges whose two ends lie in the same tile.
     A tile must hold a bounded number of vertices (the callers use blocks of grid
@@ -104,8 +107,5 @@ def components(edges: DataFrame) -> DataFrame:
         moved = hooks.join(later, hooks.p == later._r2, "left").select("r", F.coalesce("_p2", "p").alias("p"))
         roots = moved.unionByName(roots)
     if roots is None:
-        return live.select(F.col("src").alias("id"), F.col("dst").alias("root"))
-    tops = roots.select(F.col("p").alias("r"), "p").distinct()
-    return materialize(
-        roots.unionByName(tops).select(F.col("r").alias("id"), F.col("p").alias("root")), "roots"
-    )
+        roots = live.select(F.col("src").alias("r"), F.col("dst").alias("p"))
+    return roots.select(F.col("r").alias("id"), F.col("p").alias("root"))

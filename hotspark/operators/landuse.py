@@ -10,6 +10,7 @@ from hotspark.functions.geom import box_distance, c
 from hotspark.operators.components import components
 from hotspark.operators.ranking import number_within
 from hotspark.operators.tiles import box_pairs, cover, key_points, levels_in
+from hotspark.session import materialize
 
 # Land uses taken as industry.
 INDUSTRY = ["industrial", "landfill", "quarry", "military"]
@@ -150,9 +151,10 @@ def touch_groups(shapes: DataFrame, id_col: str, reach: float, base: float) -> D
     """(id, group): shapes whose boxes are linked by steps of at most `reach`."""
     pairs = box_pairs(shapes, shapes, base, reach).where(c("a", id_col) < c("b", id_col)).where(box_distance("a", "b") <= reach)
     roots = components(pairs.select(c("a", id_col).alias("src"), c("b", id_col).alias("dst")))
-    lowest = roots.groupBy("root").agg(F.min("id").alias("grp"))
-    grouped = roots.join(lowest, "root").select(F.col("id").alias(id_col), "grp")
-    return shapes.select(id_col).join(grouped, id_col, "left").select(id_col, F.coalesce("grp", id_col).alias("grp"))
+    ids = shapes.select(id_col)
+    rooted = materialize(ids.join(roots, ids[id_col] == roots.id, "left").select(id_col, F.coalesce("root", id_col).alias("root")), "groups")
+    lowest = rooted.groupBy("root").agg(F.min(id_col).alias("grp"))
+    return rooted.join(lowest, "root").select(id_col, "grp")
 
 
 # --- fragmentation ------------------------------------------------------------------
