@@ -54,11 +54,16 @@ def _circle(a, b, c):
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Index triples of a Delaunay triangulation, points added one by one in x order."""
+    """Index triples of the Delaunay triangles whose circle is smaller than the point set.
+
+    Points are added one by one in x order. The three helper corners lie a few spans
+    away: far enough to stay out of such circles, near enough for exact arithmetic.
+    Wider triangles at the rim may be missing.
+    """
     n = len(points)
     lo, hi = points.min(axis=0), points.max(axis=0)
     mid, span = (lo + hi) / 2, max(float((hi - lo).max()), 1.0)
-    far = 1e4 * span
+    far = 8 * span
     p = np.vstack([points, mid + [-far, -far], mid + [far, -far], mid + [0, far]])
     order = np.lexsort((points[:, 1], points[:, 0]))
     open_t = np.array([[n, n + 1, n + 2]])
@@ -100,7 +105,7 @@ def alpha_triangles(points: np.ndarray, radius: float, inflate: float) -> tuple[
         return np.empty((0, 3, 2)), np.empty((0, 2))
     # a fixed tiny shift of each point settles ties of points on one circle the same way in every tile
     h = np.sin(every[:, 0] * 12.9898 + every[:, 1] * 78.233) * 43758.5453
-    jitter = np.column_stack([h - np.floor(h) - 0.5, 7 * h - np.floor(7 * h) - 0.5]) * 1e-3
+    jitter = np.column_stack([h - np.floor(h) - 0.5, 7 * h - np.floor(7 * h) - 0.5]) * max(1e-4 * inflate, 1e-6)
     base = every.mean(axis=0)
     tri = delaunay(every + jitter - base)
     c = every[tri]

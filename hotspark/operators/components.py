@@ -56,7 +56,11 @@ def _join_inside(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": ids[moved], "p": ids[label[moved]]})
 
 
-def components(edges: DataFrame) -> DataFrame:
+# With no more edges than this left, one numpy call ends the rounds; beyond it they go on.
+FINISH_EDGES = 50_000
+
+
+def components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """(id, root) for each id that is not its own root; ids of a component share a root.
 
     Readers left-join it and take the id itself where nothing is found. The result
@@ -72,6 +76,8 @@ def components(edges: DataFrame) -> DataFrame:
     component, so the rounds grow with the logarithm of its size. Hubs are safe:
     the minimum is a partial aggregate and contracted edges are made distinct.
     Every round is written out, so a lost executor never replays earlier rounds.
+    Contraction shrinks the graph each round; once the counted rest is small, it is
+    joined in one bounded call instead of a tail of tiny jobs.
     """
     rounds: list[DataFrame] = []
     if "tile" in edges.columns:
@@ -86,7 +92,12 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
-    while not live.isEmpty():
+    while (left := live.count()) > 0:
+        if left <= finish_edges:
+            # at most `finish_edges` rows, counted above
+            rest = live.withColumn("tile", F.lit(0)).groupBy("tile").applyInPandas(_join_inside, "r long, p long")
+            rounds.append(materialize(rest, "hooks"))
+            break
         both = live.select("src", "dst").unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("v"))).alias("m"))
         hooks = low.where(F.col("m") < F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("v"))).select(

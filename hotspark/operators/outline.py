@@ -108,7 +108,7 @@ def tile_with_margin(points: DataFrame, keys: list[str], size: float, margin: fl
     )
 
 
-def alpha_outline(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
+def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 16) -> DataFrame:
     """Alpha shape of each cluster with alpha = 1 / mean nearest-neighbour distance.
 
     Clusters of at most four points get their convex hull. Others: every point is
@@ -116,7 +116,7 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
     Delaunay triangle is kept when its circumradius is below the mean distance.
     Such a triangle depends only on points within one diameter, so tiles with that
     margin find exactly the triangles of the whole cluster; a triangle belongs to
-    the tile of its circumcentre. Area is the sum of the triangles and the boundary
+    the tile of its circumcentre (tiles have a side of `tile` times eps). Area is the sum of the triangles and the boundary
     is the edges used once, both plain aggregates. A cluster left without any
     triangle falls back to its hull.
     """
@@ -129,7 +129,7 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = 16 * eps
+        size = tile * eps
         r, d_min = float(pdf["r"].iloc[0]), float(pdf["d_min"].iloc[0])
         tri, centre = alpha_triangles(pdf[["x", "y"]].to_numpy(), r, d_min / 4)
         home = np.floor(centre / size).astype(int)
@@ -141,7 +141,7 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
         return out
 
     tris = (
-        spread(tile_with_margin(scaled, keys, 16 * eps, 3 * eps), *keys, "tx", "ty")
+        spread(tile_with_margin(scaled, keys, tile * eps, 3 * eps), *keys, "tx", "ty")
         .groupBy(*keys, "tx", "ty")
         .applyInPandas(run, key_schema + ", a double, b double, c double, d double, e double, f double")
     )
