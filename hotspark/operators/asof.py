@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hotspark.operators.episodes import micros
+from hotspark.session import materialize
 
 
 def _spans(right: DataFrame, ts: str, keys: list[str], width: int, payload: list[str]) -> DataFrame:
@@ -24,16 +25,27 @@ def _spans(right: DataFrame, ts: str, keys: list[str], width: int, payload: list
     return spans.withColumn("_to", F.coalesce("_lead", "_next")).drop("_lead", "_next")
 
 
+# A bucket with more spans than this is cut into SPLIT equal parts (whole microseconds).
+SPANS_PER_BUCKET = 512
+SPLIT = 10
+
+
+def _reach(start: Column, end: Column, width: int) -> Column:
+    return F.sequence(F.floor(start / width), F.floor(end / width))
+
+
 def asof(
     left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, payload: list[str], out: str, keys: list[str] | None = None,
     strict: bool = False, bucket_seconds: int = 86400,
 ) -> DataFrame:
     """Left join with the newest right row at or before (or strictly before) each left time.
 
-    Each left row meets at most the spans of its own bucket, an equi-join with a
-    range test; left rows are neither sorted nor grouped, so a bucket that holds
-    much of the left side can be split. `out` is a struct of the payload and the
-    right time in microseconds (`_from`).
+    Each left row meets the spans of its own bucket, an equi-join with a range test;
+    left rows are neither sorted nor grouped, so a bucket that holds much of the left
+    side can be split. Buckets with more than SPANS_PER_BUCKET spans are cut into
+    SPLIT parts until none is left, so a left row meets few spans however unevenly
+    the right times lie. `out` is a struct of the payload and the right time in
+    microseconds (`at`).
     """
     keys = keys or []
     width = bucket_seconds * 1_000_000
@@ -42,13 +54,30 @@ def asof(
     # `bounds` is one row: the last left time closes the open span
     spans = spans.crossJoin(F.broadcast(bounds))
     last = F.coalesce(F.col("_to"), F.greatest("_top", "_from"))
-    cover = spans.withColumn("_lb", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(last / width)))).drop("_b", "_top")
-    probe = left.withColumn("_t", micros(F.col(left_ts))).withColumn("_lb", F.floor(F.col("_t") / width))
+    cover = spans.withColumn("_lb", F.explode(_reach(F.col("_from"), last, width))).withColumn("_last", last).drop("_b", "_top")
+    cover = cover.withColumn("_lv", F.lit(0))
+    probe = left.withColumn("_t", micros(F.col(left_ts))).withColumn("_lb", F.floor(F.col("_t") / width)).withColumn("_lv", F.lit(0))
+    level = 0
+    while width % SPLIT == 0:
+        cover = materialize(cover, "spans")
+        full = cover.where(F.col("_lv") == level).groupBy(*keys, "_lb").count().where(F.col("count") > SPANS_PER_BUCKET)
+        full = materialize(full.select(*keys, "_lb", F.lit(level).alias("_lv"), F.lit(1).alias("_full")), "full")
+        if full.isEmpty():
+            break
+        part = width // SPLIT
+        lo, hi = F.col("_lb") * width, F.col("_lb") * width + width - 1
+        inner = _reach(F.greatest("_from", lo), F.least("_last", hi), part)
+        cut = F.col("_full") == 1
+        cover = cover.join(full, [*keys, "_lb", "_lv"], "left").withColumn("_lb", F.explode(F.when(cut, inner).otherwise(F.array("_lb"))))
+        cover = cover.withColumn("_lv", F.when(cut, level + 1).otherwise(F.col("_lv"))).drop("_full")
+        probe = probe.join(full, [*keys, "_lb", "_lv"], "left").withColumn("_lb", F.when(cut, F.floor(F.col("_t") / part)).otherwise(F.col("_lb")))
+        probe = probe.withColumn("_lv", F.when(cut, level + 1).otherwise(F.col("_lv"))).drop("_full")
+        width, level = part, level + 1
     if strict:
         hit = (F.col("_t") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") <= F.col("_to")))
     else:
         hit = (F.col("_t") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") < F.col("_to")))
-    cond = [probe._lb == cover._lb, hit, *[probe[k].eqNullSafe(cover[k]) for k in keys]]
+    cond = [probe._lb == cover._lb, probe._lv == cover._lv, hit, *[probe[k].eqNullSafe(cover[k]) for k in keys]]
     joined = probe.join(cover, cond, "left")
     value = F.when(cover["_from"].isNotNull(), F.struct(cover["row"].alias("row"), cover["_from"].alias("at")))
     return joined.select(*[probe[c] for c in left.columns], value.alias(out))

@@ -148,13 +148,19 @@ def fill_coverage(cells: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def touch_groups(shapes: DataFrame, id_col: str, reach: float, base: float) -> DataFrame:
-    """(id, group): shapes whose boxes are linked by steps of at most `reach`."""
-    pairs = box_pairs(shapes, shapes, base, reach).where(c("a", id_col) < c("b", id_col)).where(box_distance("a", "b") <= reach)
-    roots = components(pairs.select(c("a", id_col).alias("src"), c("b", id_col).alias("dst")))
-    ids = shapes.select(id_col)
-    rooted = materialize(ids.join(roots, ids[id_col] == roots.id, "left").select(id_col, F.coalesce("root", id_col).alias("root")), "groups")
-    lowest = rooted.groupBy("root").agg(F.min(id_col).alias("grp"))
-    return rooted.join(lowest, "root").select(id_col, "grp")
+    """(id, group): shapes whose boxes are linked by steps of at most `reach`; a group has its lowest id.
+
+    Copies of a box are one vertex, however many there are.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    copies = materialize(shapes.groupBy(*box).agg(F.min(id_col).alias("v")), "copies")
+    pairs = box_pairs(copies, copies, base, reach).where(F.col("a.v") < F.col("b.v")).where(box_distance("a", "b") <= reach)
+    roots = components(pairs.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst")))
+    rooted = materialize(
+        copies.join(roots, copies.v == roots.id, "left").select(*box, "v", F.coalesce("root", "v").alias("root")), "groups"
+    )
+    lowest = rooted.groupBy("root").agg(F.min("v").alias("grp"))
+    return shapes.select(id_col, *box).join(rooted.join(lowest, "root").select(*box, "grp"), box).select(id_col, "grp")
 
 
 # --- fragmentation ------------------------------------------------------------------

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hotspark.functions.kernels import alpha_triangles, convex_hull, ring_area
+from hotspark.functions.kernels import alpha_triangles, convex_hull, nearest_other, ring_area
 from hotspark.operators.cluster import offsets
 from hotspark.session import materialize, spread
 
@@ -76,8 +76,6 @@ def nearest_distance(points: DataFrame, keys: list[str], reach: float) -> DataFr
     one tile of one cluster with its margin.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from hotspark.functions.kernels import nearest_other
-
         own = pdf[pdf["own"]]
         d = nearest_other(own[["x", "y"]].to_numpy(), pdf[["x", "y"]].to_numpy())
         out = own[[*keys, "x", "y"]].copy()
@@ -86,12 +84,17 @@ def nearest_distance(points: DataFrame, keys: list[str], reach: float) -> DataFr
 
     types = dict(points.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", x double, y double, nn double"
-    tiles = spread(tile_with_margin(points, keys, 8 * reach, reach), *keys, "tx", "ty")
+    tiles = spread(tile_with_margin(points, 4 * reach, reach), *keys, "tx", "ty")
     return tiles.groupBy(*keys, "tx", "ty").applyInPandas(run, schema)
 
 
-def tile_with_margin(points: DataFrame, keys: list[str], size: float, margin: float) -> DataFrame:
-    """One row per (point, tile whose margin holds it); `own` marks the home tile."""
+def tile_with_margin(points: DataFrame, size, margin) -> DataFrame:
+    """One row per (point, tile whose margin holds it); `own` marks the home tile.
+
+    Size and margin are numbers or columns.
+    """
+    size = size if isinstance(size, Column) else F.lit(float(size))
+    margin = margin if isinstance(margin, Column) else F.lit(float(margin))
     home = [F.floor(F.col(c) / size).cast("long") for c in ("x", "y")]
     around = offsets([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     tx, ty = F.col("_hx") + F.col("o.dx"), F.col("_hy") + F.col("o.dy")
@@ -108,7 +111,7 @@ def tile_with_margin(points: DataFrame, keys: list[str], size: float, margin: fl
     )
 
 
-def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 16) -> DataFrame:
+def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24) -> DataFrame:
     """Alpha shape of each cluster with alpha = 1 / mean nearest-neighbour distance.
 
     Clusters of at most four points get their convex hull. Others: every point is
@@ -116,7 +119,8 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 16
     Delaunay triangle is kept when its circumradius is below the mean distance.
     Such a triangle depends only on points within one diameter, so tiles with that
     margin find exactly the triangles of the whole cluster; a triangle belongs to
-    the tile of its circumcentre (tiles have a side of `tile` times eps). Area is the sum of the triangles and the boundary
+    the tile of its circumcentre (a tile is `tile` mean distances
+    wide, so it holds about the same number of points in sparse and dense clusters). Area is the sum of the triangles and the boundary
     is the edges used once, both plain aggregates. A cluster left without any
     triangle falls back to its hull.
     """
@@ -129,10 +133,9 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 16
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = tile * eps
         r, d_min = float(pdf["r"].iloc[0]), float(pdf["d_min"].iloc[0])
         tri, centre = alpha_triangles(pdf[["x", "y"]].to_numpy(), r, d_min / 4)
-        home = np.floor(centre / size).astype(int)
+        home = np.floor(centre / (tile * r)).astype(int)
         mine = (home[:, 0] == pdf["tx"].iloc[0]) & (home[:, 1] == pdf["ty"].iloc[0])
         tri = tri[mine]
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(tri) for k in keys})
@@ -141,7 +144,7 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 16
         return out
 
     tris = (
-        spread(tile_with_margin(scaled, keys, tile * eps, 3 * eps), *keys, "tx", "ty")
+        spread(tile_with_margin(scaled, F.col("r") * tile, F.col("r") * 3), *keys, "tx", "ty")
         .groupBy(*keys, "tx", "ty")
         .applyInPandas(run, key_schema + ", a double, b double, c double, d double, e double, f double")
     )

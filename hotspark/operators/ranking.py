@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hotspark.session import materialize
 
@@ -23,14 +23,10 @@ def number_rows(df: DataFrame, order: list[str], out: str, start: int | Column =
         "numbered",
     )
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = (
-        sizes.alias("a")
-        .join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-        .groupBy(F.col("a._part").alias("_part"))
-        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    )
+    # one row per partition of the sort, so this window and the broadcast below are
+    # bounded by the partition count, not by the data
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     first = start if isinstance(start, Column) else F.lit(start)
-    # one row per partition of the sort, so the small side is bounded by the partition count
     return (
         placed.join(F.broadcast(before), "_part")
         .withColumn(out, (F.col("_before") + F.col("_row") + first).cast("long"))

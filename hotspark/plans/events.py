@@ -160,14 +160,13 @@ def energy_hourly_cum(spark, sf):
     """Hourly energy and its running sum.
 
     The running sum is taken inside each day and shifted by the energy of the days
-    before, so no task ever orders more than 24 rows per day it holds.
+    before; the days are ordered as one row each, so no task orders hours at large.
     """
     h = S.hotspots(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg((F.sum("frp") * STEP_SECONDS).alias("fre"))
     h = h.withColumn("day", F.date_trunc("day", "hour"))
     days = h.groupBy("day").agg(F.sum("fre").alias("d"))
-    before = days.alias("a").join(days.alias("b"), F.col("b.day") < F.col("a.day"), "left").groupBy(F.col("a.day").alias("day")).agg(
-        F.coalesce(F.sum("b.d"), F.lit(0.0)).alias("before")
-    )
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("day", F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("before"))
     w = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     run = h.withColumn("inday", F.sum("fre").over(w)).join(before, "day")
     return run.select("hour", F.round("fre", 2).alias("fre"), F.round(F.col("before") + F.col("inday"), 2).alias("fre_cum"))

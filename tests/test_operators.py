@@ -158,8 +158,11 @@ def test_box_pairs_and_points_with_mixed_sizes(spark):
             assert near[i] == pytest.approx(d)
 
 
-@pytest.mark.parametrize("strict", [False, True])
-def test_asof_with_keys_and_gaps(spark, strict):
+@pytest.mark.parametrize("strict,cap", [(False, 512), (True, 512), (False, 3), (True, 3)])
+def test_asof_with_keys_and_gaps(spark, monkeypatch, strict, cap):
+    from hotspark.operators import asof as module
+
+    monkeypatch.setattr(module, "SPANS_PER_BUCKET", cap)
     rng = np.random.default_rng(2)
     left = [(i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 120), rng.integers(0, 3000, 120)))]
     right = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 40), rng.choice([5, 40, 41, 900, 901, 902, 2500], 40))})
@@ -191,8 +194,8 @@ def test_alpha_outline_does_not_depend_on_tiles(spark):
     eps = 2000.0
     rows = [(1, float(x), float(y)) for x, y in xy]
     df = spark.createDataFrame(rows, "k long, x double, y double")
-    a = outline.alpha_outline(df, ["k"], eps, tile=64).first()
-    b = outline.alpha_outline(df, ["k"], eps, tile=5).first()
+    a = outline.alpha_outline(df, ["k"], eps, tile=200).first()
+    b = outline.alpha_outline(df, ["k"], eps, tile=8).first()
     assert a["kind"] == "Polygon" and a["area"] > 0
     assert a["area"] == pytest.approx(b["area"], rel=1e-6)
     assert a["edges"] == b["edges"]
