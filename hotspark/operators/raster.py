@@ -34,7 +34,9 @@ def share_power(events: DataFrame, cell: float, domain: tuple[float, float, floa
     west, south, east, north = domain
     x0, y0 = F.greatest(F.col("x0"), F.lit(west)), F.greatest(F.col("y0"), F.lit(south))
     x1, y1 = F.least(F.col("x1"), F.lit(east)), F.least(F.col("y1"), F.lit(north))
-    inside = events.select(*keys, "frp", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    # plain comparisons, so that the scan can skip what lies outside
+    near = events.where((F.col("x1") > west) & (F.col("x0") < east) & (F.col("y1") > south) & (F.col("y0") < north))
+    inside = near.select(*keys, "frp", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     inside = inside.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     whole = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     parts = covered_cells(inside, cell).where("part > 0")

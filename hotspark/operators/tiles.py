@@ -37,9 +37,12 @@ def levels_in(boxes: DataFrame, base: float, grow: float = 0.0) -> list[int]:
 
 def key_points(points: DataFrame, base: float, levels: list[int]) -> DataFrame:
     """One row per (point, level) with the tile of the point."""
-    lv = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
+    if len(levels) == 1:
+        lv = F.lit(levels[0])
+    else:
+        lv = F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>"))
     return (
-        points.withColumn("lvl", F.explode(lv))
+        points.withColumn("lvl", lv)
         .withColumn("tx", _tile(F.col("x"), base, F.col("lvl")))
         .withColumn("ty", _tile(F.col("y"), base, F.col("lvl")))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hotspark.functions import geom
+from hotspark.functions.proj import laea_inverse
 from hotspark.functions.timefns import floor_to, seconds_between
 from hotspark.plans import standins as S
 
@@ -361,9 +362,14 @@ Q["front_speed"] = front_speed
 
 
 def geojson_features(spark, sf):
-    """The active layer as GeoJSON features."""
+    """The active layer as GeoJSON features in longitude and latitude."""
     a = active_layer(spark, sf)
-    ring = geom.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+
+    def corner(x: str, y: str):
+        lon, lat = laea_inverse(F.col(x), F.col(y))
+        return F.struct(F.round(lon, 7).alias("x"), F.round(lat, 7).alias("y"))
+
+    ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
     props = F.struct("cluster", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_at"), "frp", "kind")
     return a.select("cluster", geom.geojson_polygon(ring, props, z=0.0).alias("feature"))
 

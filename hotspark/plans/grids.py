@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hotspark.functions.scalars import quarter_tile
 from hotspark.operators import fronts, grid as G, raster as R
+from hotspark.operators.asof import nearest_in_time
 from hotspark.plans import standins as S
 
 Q, SQL = {}, {}
@@ -398,3 +399,32 @@ SQL["residence_time"] = """WITH b AS (SELECT user_id AS pixel, date_diff('day',
  SELECT pixel, count(*) AS bins, max(d) - min(d) AS days FROM r JOIN h USING (pixel)
  WHERE NOT (abs(v - CASE WHEN r <= 2 THEN hm WHEN r > n-2 THEN tm ELSE mm END) > 15e-1 * CASE WHEN r <= 2 THEN hsd WHEN r > n-2 THEN tsd ELSE ms END) AND v > 60
  GROUP BY pixel HAVING count(*) >= 2"""
+
+
+def grid_window(spark, sf):
+    """Mean of a daily grid around each burnt area, at the grid time nearest to its date."""
+    ev = S.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    daily = ev.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), F.col("user_id").alias("i"), k.alias("j")).agg(F.sum("value").alias("value"))
+    # every third day has a grid
+    grids = daily.where(F.dayofmonth("day") % 3 == 1)
+    b = nearest_in_time(S.burnt(spark, sf), grids.select("day").distinct(), "firedate", "day", ["day"], "g").withColumn("day", F.col("g.day"))
+    cells = R.covered_cells(
+        b.select("burnt_id", "day", *[(F.col(c) - o).alias(c) for c, o in (("x0", 3e6 - 900), ("x1", 3e6 - 900), ("y0", 2e6 - 900), ("y1", 2e6 - 900))]), S.STEP
+    ).where("part > 0")
+    got = cells.join(grids, ["day", "i", "j"], "left").groupBy("burnt_id", "day")
+    return got.agg(F.count("*").alias("cells"), F.count("value").alias("known"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+Q["grid_window"] = grid_window
+SQL["grid_window"] = S.with_hs(
+    """SELECT burnt_id, n.day, count(*) AS cells, count(d.value) AS known, round(avg(d.value), 6) AS mean FROM
+   (SELECT *, unnest(generate_series(CAST(floor((y0-1999100)/1.8e3) AS BIGINT), CAST(ceil((y1-1999100)/1.8e3) AS BIGINT) - 1)) AS j FROM
+    (SELECT *, unnest(generate_series(CAST(floor((x0-2999100)/1.8e3) AS BIGINT), CAST(ceil((x1-2999100)/1.8e3) AS BIGINT) - 1)) AS i FROM
+     (SELECT b.*, g.day FROM burnt b, (SELECT DISTINCT day FROM daily) g
+       QUALIFY row_number() OVER (PARTITION BY burnt_id ORDER BY abs(epoch_us(firedate) - epoch_us(g.day)), g.day) = 1))) n
+  LEFT JOIN daily d ON d.day = n.day AND d.i = n.i AND d.j = n.j GROUP BY burnt_id, n.day""",
+    S.BURNT,
+    """daily AS MATERIALIZED (SELECT date_trunc('day', ts) AS day, CAST((x-3e6)/1.8e3 AS BIGINT) AS i, CAST((y-2e6)/1.8e3 AS BIGINT) AS j, sum(frp) AS value FROM hs
+     WHERE day(ts) % 3 = 1 GROUP BY ALL)""",
+)

@@ -158,6 +158,27 @@ Q["latest_snapshot"] = latest_snapshot
 SQL["latest_snapshot"] = S.with_boxes("SELECT cluster, day AS snapshot_ts, n_hs, frp FROM boxes WHERE day = (SELECT max(day) FROM boxes)")
 
 
+def polygon_layer(spark, sf):
+    """A boundary layer written as GeoJSON lines and read back as rings."""
+
+    def write(path):
+        b = S.boxes(spark, sf).withColumn("ring", geom.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+        W.write_geojson(b, path, "ring", F.struct("box_id", F.lit("8").alias("admin_level")))
+
+    p = R.read_feature_lines(spark, _once(spark, sf, "layer", write))
+    ring = F.slice("ring", F.lit(1), F.size("ring") - 1)  # without the closing corner
+    return p.select(
+        F.element_at("properties", "box_id").cast("long").alias("box_id"), F.element_at("properties", "admin_level").cast("int").alias("admin_level"),
+        "kind", F.size(ring).alias("corners"), F.round(geom.area(ring), 3).alias("area"),
+    )
+
+
+Q["polygon_layer"] = polygon_layer
+SQL["polygon_layer"] = S.with_boxes(
+    "SELECT box_id, 8 AS admin_level, 'Polygon' AS kind, 4 AS corners, round((x1-x0)*(y1-y0), 3) AS area FROM boxes"
+)
+
+
 def sink_roundtrip(spark, sf):
     """Every sink written and read back: rows and a check sum per sink."""
     base = fresh_path(spark, "sinks")
@@ -174,6 +195,9 @@ def sink_roundtrip(spark, sf):
     values = b.select(F.extract(F.lit("YEAROFWEEK"), "day").cast("int").alias("year"), F.weekofyear("day").alias("week"), area)
     W.write_weekly(values.groupBy("year", "week").agg(F.count("*").alias("event_count")), values, f"{base}/weekly")
     W.write_geojson(shapes, f"{base}/layer", "ring", F.struct("box_id", "frp"))
+    cell = geom.hex_cell((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, 26_000.0)
+    hexes = b.groupBy(cell.alias("h")).agg(F.avg("frp").alias("frp_mean"), F.count("*").alias("events"))
+    W.write_geojson(hexes.withColumn("ring", geom.hex_ring(F.col("h"), 26_000.0)), f"{base}/hex", "ring", F.struct("events", "frp_mean"))
     W.write_raster(b.select("day", "cluster", "frp"), f"{base}/raster")
     W.write_event_power(h.select(F.col("ts").alias("timestamp"), F.col("frp").alias("FRP")), f"{base}/power")
     bounds = S.communes(spark, sf).withColumn("ring", ring).select(F.col("name").alias("name_en_clean"), F.lit(8).alias("admin_level"), "ring")
@@ -193,6 +217,7 @@ def sink_roundtrip(spark, sf):
         row("weekly", spark.read.schema("year int, week int, event_count long").option("header", True).csv(f"{base}/weekly/weekly"), F.col("event_count").cast("double")),
         row("weekly_values", spark.read.parquet(f"{base}/weekly/values"), F.col("area")),
         row("layer", layer, F.col("frp")),
+        row("hex_events", spark.read.text(f"{base}/hex").select(F.explode(F.array(F.get_json_object("value", "$.properties.events").cast("double"))).alias("e")).agg(F.sum("e").alias("e")), F.col("e")),
         row("raster", spark.read.parquet(f"{base}/raster"), F.col("frp")),
         row("power", power, F.col("FRP")),
         row("bounds", spark.read.parquet(f"{base}/bounds"), geom.length(F.col("ring")) * 0 + F.col("admin_level")),
@@ -213,6 +238,7 @@ SQL["sink_roundtrip"] = S.with_boxes(
   UNION ALL SELECT 'weekly', count(*), sum(n)::DOUBLE FROM (SELECT count(*) AS n FROM boxes GROUP BY isoyear(day), weekofyear(day))
   UNION ALL SELECT 'weekly_values', count(*), round(sum((x1-x0)*(y1-y0)/1e4), 3) FROM boxes
   UNION ALL SELECT 'layer', count(*), round(sum(frp), 3) FROM boxes
+  UNION ALL SELECT 'hex_events', 1, count(*)::DOUBLE FROM boxes
   UNION ALL SELECT 'raster', count(*), round(sum(frp), 3) FROM boxes
   UNION ALL SELECT 'power', count(*), round(sum(frp), 3) FROM hs
   UNION ALL SELECT 'bounds', count(*), count(*)*8e0 FROM communes""", S.COMMUNES

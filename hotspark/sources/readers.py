@@ -66,13 +66,29 @@ def empty_hotspots(spark: SparkSession, schema: T.StructType = POLAR_SCHEMA) ->
     return spark.createDataFrame([], schema)
 
 
+_COORDS = "array<array<array<double>>>"
+_FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+
+
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON feature collections: one row per outer ring, properties kept as a map."""
-    coords = "array<array<array<double>>>"
-    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    """GeoJSON feature collections: one row per outer ring, properties kept as a map.
+
+    A collection is one document and so one task per file; for large layers write
+    one feature per line and use `read_feature_lines`.
+    """
     docs = spark.read.text(path, wholetext=True)
-    parsed = docs.select(F.from_json("value", f"struct<features:array<{feature}>>").alias("d"))
-    rows = parsed.select(F.explode("d.features").alias("f")).select(
+    parsed = docs.select(F.from_json("value", f"struct<features:array<{_FEATURE}>>").alias("d"))
+    return _rings(parsed.select(F.explode("d.features").alias("f")))
+
+
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """GeoJSON with one feature per line; files are split like any text."""
+    return _rings(spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f")))
+
+
+def _rings(features: DataFrame) -> DataFrame:
+    coords = _COORDS
+    rows = features.select(
         F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c")
     )
     parts = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", coords))).when(
