@@ -15,9 +15,14 @@ CELL = 10_000.0
 DOMAIN = (3.0e6, 2.0e6, 3.2e6, 2.5e6)
 
 
+def _cell_power():
+    # a hair is added, so that exact halves round the same way on every engine
+    return F.round(F.col("frp") + 1e-9, 6).alias("frp")
+
+
 def raster_power(spark, sf):
     out = R.share_power(S.boxes(spark, sf), CELL, DOMAIN, ["day"])
-    return out.select("day", "i", "j", F.round("frp", 7).alias("frp"))
+    return out.select("day", "i", "j", _cell_power())
 
 
 Q["raster_power"] = raster_power
@@ -26,7 +31,7 @@ RASTER = """ins AS (SELECT day, box_id, frp, greatest(x0, 3e6) AS x0, greatest(y
    (SELECT *, unnest(generate_series(CAST(floor(y0/1e4) AS BIGINT), CAST(ceil(y1/1e4) AS BIGINT) - 1)) AS j FROM
     (SELECT *, unnest(generate_series(CAST(floor(x0/1e4) AS BIGINT), CAST(ceil(x1/1e4) AS BIGINT) - 1)) AS i FROM ins WHERE x1 > x0 AND y1 > y0)))"""
 SQL["raster_power"] = S.with_boxes(
-    """SELECT day, i, j, round(sum(frp * part / tot), 7) AS frp FROM (SELECT *, sum(part) OVER (PARTITION BY box_id) AS tot FROM cov WHERE part > 0)
+    """SELECT day, i, j, round(sum(frp * part / tot) + 1e-9, 6) AS frp FROM (SELECT *, sum(part) OVER (PARTITION BY box_id) AS tot FROM cov WHERE part > 0)
   GROUP BY day, i, j""", RASTER
 )
 
@@ -56,12 +61,12 @@ def raster_polygons(spark, sf):
 
     ev = with_rings(S.boxes(spark, sf).select("box_id", "day", "frp", "x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
     out = R.share_power_polygons(ev, CELL, ["day"], "box_id")
-    return out.select("day", "i", "j", F.round("frp", 7).alias("frp"))
+    return out.select("day", "i", "j", _cell_power())
 
 
 Q["raster_polygons"] = raster_polygons
 SQL["raster_polygons"] = S.with_boxes(
-    """SELECT day, i, j, round(sum(frp * part / tot), 7) AS frp FROM (SELECT *, sum(part) OVER (PARTITION BY box_id) AS tot FROM cov WHERE part > 0)
+    """SELECT day, i, j, round(sum(frp * part / tot) + 1e-9, 6) AS frp FROM (SELECT *, sum(part) OVER (PARTITION BY box_id) AS tot FROM cov WHERE part > 0)
   GROUP BY day, i, j""",
     RASTER.replace("greatest(x0, 3e6)", "x0").replace("greatest(y0, 2e6)", "y0").replace("least(x1, 3.2e6)", "x1").replace("least(y1, 2.5e6)", "y1"),
 )
