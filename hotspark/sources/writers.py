@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hotspark.functions import geom
+from hotspark.session import spread
 
 # Fixed value: what a missing number is written as.
 NODATA = -999
@@ -36,6 +37,15 @@ def _partitioned(df: DataFrame, path: str, column: str, mode: str) -> None:
     balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
+def _by_folder(df: DataFrame, columns: list[str], rows_per_file: int = 2_000_000) -> DataFrame:
+    """Rows hashed by folder over all cores; a folder above `rows_per_file` rows is cut into
+    as many parts as needed, so no task writes more than that."""
+    large = df.groupBy(*columns).count().where(F.col("count") > rows_per_file)
+    large = large.select(*columns, F.ceil(F.col("count") / rows_per_file).cast("int").alias("_files"))
+    cut = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.coalesce("_files", F.lit(1)))
+    return spread(df.join(large, columns, "left").withColumn("_file", cut), *columns, "_file").drop("_files", "_file")
+
+
 def write_hotspots(df: DataFrame, path: str, column: str = "snapshot_ts") -> None:
     """Hotspot snapshot (fire or static); writing a snapshot again replaces it."""
     _partitioned(fill_optional(df), path, column, "overwrite")
@@ -89,8 +99,7 @@ def write_hourly(df: DataFrame, path: str) -> None:
     padded = df.withColumn("acq_time", F.lpad(F.col("acq_time").cast("int").cast("string"), 4, "0")).withColumn(
         "acq_hour", F.concat(F.substring("acq_time", 1, 2), F.lit("00"))
     )
-    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
-    padded.hint("rebalance", parts, "acq_date", "acq_hour").write.mode("overwrite").option("header", True).partitionBy("acq_date", "acq_hour").csv(path)
+    _by_folder(padded, ["acq_date", "acq_hour"]).write.mode("overwrite").option("header", True).partitionBy("acq_date", "acq_hour").csv(path)
 
 
 def write_boundaries(df: DataFrame, path: str) -> None:

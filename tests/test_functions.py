@@ -134,3 +134,12 @@ def test_snapshot_is_replaced_not_doubled(spark, tmp_path):
 
 def test_empty_slot_is_typed(spark):
     assert R.empty_hotspots(spark).schema == R.POLAR_SCHEMA
+
+
+def test_large_folders_are_cut(spark, tmp_path):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2500, "a").otherwise("b").alias("day"))
+    W._by_folder(df, ["day"], rows_per_file=200).write.partitionBy("day").parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 3000 and back.agg(F.sum("id")).first()[0] == 3000 * 2999 // 2
+    files = back.select("day", F.input_file_name().alias("f")).distinct().groupBy("day").count()
+    assert {r["day"]: r["count"] for r in files.collect()}["a"] > 3
