@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hotspark.llm import bpe, ftrl, langid, ngram_join, winnow
+from hotspark.llm import bpe, ftrl, hmm, langid, ngram_join, winnow
 from hotspark.session import prepare
 
 
@@ -44,11 +44,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 7, 2)
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    out = hmm.score(rows, F.col("doc_id").isNotNull() & ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op4_quality_classifier, op5_byte_bpe, op10_ngram_join]
+_QUERIES = [op1_language_id, op2_decontamination, op4_quality_classifier, op5_byte_bpe, op9_hmm_scoring, op10_ngram_join]
 
 
 def _register(fn):
