@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hotspark.llm import bpe, ftrl, hmm, langid, ngram_join, winnow
+from hotspark.llm import bpe, flatgraph, ftrl, hmm, langid, ngram_join, winnow
 from hotspark.session import prepare
 
 
@@ -44,6 +44,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 7, 2)
@@ -56,7 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op4_quality_classifier, op5_byte_bpe, op9_hmm_scoring, op10_ngram_join]
+_QUERIES = [op1_language_id, op2_decontamination, op4_quality_classifier, op5_byte_bpe, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
 
 
 def _register(fn):
