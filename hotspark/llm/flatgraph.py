@@ -21,7 +21,7 @@ from hotspark.session import materialize
 
 COSINE = 0.95
 #: Vectors of a shard that its size aims at; a larger cluster is split and its parts search each other.
-SHARD = 1500
+SHARD = 400
 #: Rows that centroids are fitted to, about; all rows are indexed.
 SAMPLE = 20_000
 OVERLAPS = (2, 4, 8)
@@ -59,10 +59,10 @@ def spherical_means(x: np.ndarray, k: int, seed: int = 9, rounds: int = 8) -> np
     return c
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int, reach: float | None) -> np.ndarray:
+def beam_search(x: np.ndarray, links, entry: int, queries: np.ndarray, beam: int, reach: float | None) -> np.ndarray:
     """Cosines of the vertices that each query has seen (-2: not seen), by greedy search over `links`.
 
-    A query goes on while it has an unexpanded vertex among its `beam` best or, with a
+    `links` is a table of lists filled up with -1, or offsets and flat lists. A query goes on while it has an unexpanded vertex among its `beam` best or, with a
     reach, any unexpanded one at least that close.
     """
     n = len(x)
@@ -86,11 +86,16 @@ def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarra
         active, at, use = active[go], at[go], use[go]
         q, v = np.repeat(active, use.sum(axis=1)), at[use]
         todo[q, v] = -2
-        near = links[v]
-        q = np.repeat(q, near.shape[1])
-        v = near.ravel()
-        ok = v >= 0
-        q, v = q[ok], v[ok]
+        if isinstance(links, tuple):
+            offs, flat = links
+            counts = offs[v + 1] - offs[v]
+            q = np.repeat(q, counts)
+            v = flat[np.arange(len(q)) + np.repeat(offs[v] - np.cumsum(counts) + counts, counts)]
+        else:
+            near = links[v]
+            q, v = np.repeat(q, near.shape[1]), near.ravel()
+            ok = v >= 0
+            q, v = q[ok], v[ok]
         new = seen[q, v] == -2
         q, v = q[new], v[new]
         key = np.unique(q * n + v)
@@ -214,18 +219,20 @@ def _links(vectors: DataFrame, dim: int, overlap: int, total: int) -> tuple[Data
     return found.groupBy("node").agg(F.sum("direct").alias("direct")), found.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _adjacency(ids: np.ndarray, lists) -> np.ndarray:
-    """Lists of keys as row numbers of this shard (-1: none); keys of other shards are left out."""
-    rows = []
-    for v in lists:
-        v = np.asarray(v if v is not None else [], np.int64)
-        at = np.searchsorted(ids, v)
-        at[at == len(ids)] = 0
-        rows.append(at[ids[at] == v])
-    links = np.full((len(ids), max(1, max(map(len, rows)))), -1, np.int64)
-    for k, at in enumerate(rows):
-        links[k, :len(at)] = at
-    return links
+def _adjacency(ids: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat lists of row numbers, both ways of each edge; keys of other shards are left out.
+
+    In a dense group some vertices are in nobody's pruned list; the way back reaches them.
+    """
+    lists = [np.asarray(v if v is not None else [], np.int64) for v in lists]
+    a = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
+    near = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    b = np.searchsorted(ids, near)
+    b[b == len(ids)] = 0
+    here = ids[b] == near
+    a, b = a[here], b[here]
+    edges = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
+    return np.searchsorted(edges // len(ids), np.arange(len(ids) + 1)), edges % len(ids)
 
 
 def _roots(hits: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
