@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hotspark.llm import bpe, flatgraph, ftrl, hmm, langid, ngram_join, winnow
+from hotspark.llm import bpe, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, winnow
 from hotspark.session import prepare
 
 
@@ -31,6 +31,27 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def mail(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: each turn quotes the turn before it, and that one's predecessor one level deeper."""
+    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+
+    def earlier(by: int, name: str) -> DataFrame:
+        return turns.select("conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(name))
+
+    def quoted(text: Column, mark: str) -> Column:
+        return F.concat(F.lit("\n" + mark), F.regexp_replace(text, "\n", "\n" + mark))
+
+    joined = turns.join(earlier(1, "one"), ["conv_id", "turn"], "left").join(earlier(2, "two"), ["conv_id", "turn"], "left")
+    intro = F.when(F.col("one").isNotNull(), F.concat(F.lit("\n\nOn turn "), (F.col("turn") - 1).cast("string"), F.lit(" somebody wrote:"), quoted(F.col("one"), "> ")))
+    deeper = F.when(F.col("one").isNotNull() & F.col("two").isNotNull(), quoted(F.col("two"), "> > "))
+    return joined.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.coalesce(intro, F.lit("")), F.coalesce(deeper, F.lit(""))).alias("body"))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link(mail(table(spark, sf_dir, "conversations")), "conv_id", "turn", "body")
+    return linked.select("conv_id", "turn", F.sha2("own", 256).alias("own_sha256"), "n_quotes", "n_linked", "parent", "root", "depth")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 5, 0)
@@ -44,6 +65,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract(table(spark, sf_dir, "pages").select("page_id", "html"), keep=["page_id"])
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.write(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatgraph.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -60,7 +89,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op4_quality_classifier, op5_byte_bpe, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
+_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
 
 
 def _register(fn):
@@ -72,4 +101,27 @@ def _register(fn):
 
 
 Q = {fn.__name__: _register(fn) for fn in _QUERIES}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_quotation_linking": r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), n AS (
+  SELECT conv_id, turn, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS name FROM m
+), f AS (
+  SELECT conv_id, name, min(turn) AS ref FROM n WHERE name != '' GROUP BY conv_id, name
+), p AS (
+  SELECT a.conv_id, a.turn, a.text, b.turn IS NOT NULL AS one, b.turn IS NOT NULL AND c.turn IS NOT NULL AS two, g.ref AS parent, h.ref AS grand
+  FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN n c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
+  LEFT JOIN f g ON g.conv_id = a.conv_id AND g.name = b.name AND g.ref < a.turn
+  LEFT JOIN f h ON h.conv_id = a.conv_id AND h.name = c.name AND h.ref < a.turn
+), t AS (
+  SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, t.root, t.depth + 1 FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent = t.turn
+)
+SELECT p.conv_id, p.turn, sha256(regexp_replace(p.text, '^\s+|\s+$', '', 'g')) AS own_sha256,
+  CAST(p.one AS BIGINT) + CAST(p.two AS BIGINT) AS n_quotes,
+  CAST(p.one AND p.parent IS NOT NULL AS BIGINT) + CAST(p.two AND p.grand IS NOT NULL AS BIGINT) AS n_linked,
+  p.parent, t.root, t.depth
+FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
+""",
+}
