@@ -7,7 +7,8 @@ the join that follows still decides.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BITS = 1 << 23
 _SHIFTS = (0, 20, 40)
@@ -32,3 +33,32 @@ def member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = (h >> np.uint64(s)) & np.uint64(BITS - 1)
         yes &= ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
     return yes
+
+
+def maybe_in(df: DataFrame, column: str) -> Column:
+    """A condition on a column of 64-bit hashes: false only where the hash is surely not in df's column."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(df, column))
+
+    @F.pandas_udf(T.BooleanType())
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(member(shared.value, h.to_numpy(np.int64)))
+
+    return test(F.col(column))
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose keys (nulls match nulls) are not in `gone`.
+
+    Only rows that the bitmap cannot rule out are shuffled for the exact join.
+    """
+    h = "_hash_of_keys"
+    name = F.xxhash64(*(F.col(f"`{k}`") for k in keys))
+    gone = gone.select(*(F.col(f"`{k}`").alias(f"_gone_{i}") for i, k in enumerate(keys)), name.alias(h)).distinct()
+    maybe = maybe_in(gone, h)
+    rows = df.withColumn(h, name)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r._gone_{i}"))
+    clear = rows.where(~maybe)
+    near = rows.where(maybe).alias("l").join(gone.drop(h).alias("r"), same, "left_anti")
+    return clear.unionByName(near).drop(h)

@@ -82,19 +82,22 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model from a bounded sample: about `per_label` rows of each label, drawn by a hash.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Model:
+    """A model from a bounded sample: about `per_label` labelled rows of each label, drawn by a hash of the key.
 
-    Rows without a label are left out, null texts count as empty. The labels are counted
-    over all rows. If no row has a label, every score is one half.
+    Keys without a label, labels other than 0 and 1 and null keys are left out; null
+    texts count as empty. The labels are counted over all rows, and only the drawn ones
+    meet their texts. If no text has a label, every score is one half.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = 1 << 20
+    part = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(parts))
     keep = F.lit(False)
     for y, n in counts.items():
-        keep = keep | ((F.col("y") == y) & (F.pmod(F.col("h"), F.lit(parts)) < max(1, round(parts * min(1.0, per_label / n)))))
-    sample = sorted((r["h"], r["y"], bytes(r["t"])) for r in rows.where(keep).select("h", "y", F.encode("t", "UTF-8").alias("t")).toLocalIterator())
+        keep = keep | ((F.col("y") == y) & (part < max(1, round(parts * min(1.0, per_label / n)))))
+    texts = docs.select(F.col(key).alias("k"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
+    sample = sorted((r["k"], r["y"], bytes(r["t"])) for r in texts.join(rows.where(keep), "k").select("k", "y", "t").toLocalIterator())
     return fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 

@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from hotspark.llm.bits import bitmap, member
+from hotspark.llm.bits import maybe_in
 from hotspark.llm.components import components
 from hotspark.llm.kernels import LOWER, UNSPACED, buffers, byte_values, list_array, map_texts, run_hashes, signed, span_hashes, steps, word_spans
 from hotspark.session import materialize
@@ -173,13 +174,7 @@ def sets_for(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
     `wanted` has the sets' numbers and the keys of their texts; a bitmap of the keys
     keeps the other texts from being read again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("h")), "h"))
-
-    @F.pandas_udf(T.BooleanType())
-    def near(h):
-        import pandas as pd
-
-        return pd.Series(member(shared.value, h.to_numpy(np.int64)))
+    near = maybe_in(wanted.select(F.xxhash64("key").alias("_h")), "_h")
 
     def run(batches):
         for batch in batches:
@@ -187,7 +182,7 @@ def sets_for(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[:, 0].copy()), pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["sid", "shingles"])
 
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(near(F.xxhash64("key"))).select("text")
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("key")).where(near).select("text")
     sets = some.mapInArrow(run, "sid long, shingles binary").join(wanted.select("sid"), "sid", "left_semi")
     return materialize(sets.groupBy("sid").agg(F.first("shingles").alias("shingles")), "sets")
 
@@ -195,9 +190,7 @@ def sets_for(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough."""
     @F.pandas_udf(T.BooleanType())
-    def similar(x, y):
-        import pandas as pd
-
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x), bool)
         for k, (p, q) in enumerate(zip(x, y)):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)

@@ -55,8 +55,7 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 5, 0)
-    learn = docs.where(F.col("doc_id").isNotNull() & ~held).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    model = ftrl.train(learn)
+    model = ftrl.train(docs, table(spark, sf_dir, "labels").where(~held))
     return ftrl.classify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
