@@ -31,7 +31,7 @@ def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     """The numbers' places under a permutation of [0, size) that the key picks."""
     half = max(1, ((max(size, 2) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & ((1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
     out = numbers.astype(np.uint64)
     walk = np.arange(len(out))
     while len(walk):
