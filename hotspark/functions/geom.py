@@ -90,6 +90,15 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def contains_with_holes(ring: Column, holes: Column, x: Column, y: Column) -> Column:
+    """Inside the outer ring and in none of the holes (array of rings)."""
+    return contains(ring, x, y) & ~F.exists(holes, lambda h: contains(h, x, y))
+
+
+def area_with_holes(ring: Column, holes: Column) -> Column:
+    return area(ring) - F.aggregate(holes, F.lit(0.0), lambda s, h: s + area(h))
+
+
 def covers(ring: Column, x: Column, y: Column) -> Column:
     return contains(ring, x, y) | (boundary_distance(x, y, ring) == 0)
 
@@ -126,8 +135,8 @@ def densify(ring: Column, parts: int = 5) -> Column:
     )
 
 
-def stride(points: Column, limit: int = 500) -> Column:
-    """Every k-th vertex, at most `limit` of them."""
+def stride(points: Column, limit: int) -> Column:
+    """Every k-th vertex, at most `limit` of them: for display, never for a measure."""
     step = F.ceil(F.size(points) / F.lit(limit)).cast("int")
     return F.filter(points, lambda p, i: i % step == 0)
 
@@ -189,10 +198,7 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-_SPEED = T.StructType(
-    [T.StructField(n, T.DoubleType()) for n in ("speed", "speed_std", "fx", "fy", "tx", "ty")]
-    + [T.StructField("thinned", T.BooleanType())]
-)
+_SPEED = T.StructType([T.StructField(n, T.DoubleType()) for n in ("speed", "speed_std", "fx", "fy", "tx", "ty")])
 
 
 @F.pandas_udf(_SPEED)
@@ -201,8 +207,8 @@ def front_speed(older: pd.Series, newer: pd.Series, seconds: pd.Series) -> pd.Da
     rows = []
     for ra, rb, dt in zip(older, newer, seconds):
         r = kernels.front_speed(*_rings([ra, rb]), float(dt))
-        rows.append((None,) * 7 if r is None else (r[0], r[1], *r[2], *r[3], r[4]))
-    return pd.DataFrame(rows, columns=["speed", "speed_std", "fx", "fy", "tx", "ty", "thinned"])
+        rows.append((None,) * 6 if r is None else (r[0], r[1], *r[2], *r[3]))
+    return pd.DataFrame(rows, columns=["speed", "speed_std", "fx", "fy", "tx", "ty"])
 
 
 # --- hexagons on the projected plane --------------------------------------------
@@ -230,15 +236,19 @@ def hex_ring(cell: Column, edge: float) -> Column:
 # --- GeoJSON -----------------------------------------------------------------
 
 
-def geojson_polygon(ring: Column, properties: Column, z: float | None = None) -> Column:
-    """One GeoJSON Feature as text; the ring is oriented and closed."""
-    ccw = oriented(ring)
-    closed = F.concat(ccw, F.slice(ccw, 1, 1))
+def geojson_polygon(ring: Column, properties: Column, z: float | None = None, holes: Column | None = None) -> Column:
+    """One GeoJSON Feature as text; rings are closed, the outer one counter-clockwise, holes the other way."""
+    def closed(r: Column) -> Column:
+        return F.concat(r, F.slice(r, 1, 1))
+
     point = (lambda p: F.array(p.x, p.y)) if z is None else (lambda p: F.array(p.x, p.y, F.lit(z)))
+    rings = F.array(F.transform(closed(oriented(ring)), point))
+    if holes is not None:
+        rings = F.concat(rings, F.transform(holes, lambda h: F.transform(closed(F.reverse(oriented(h))), point)))
     return F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
             properties.alias("properties"),
-            F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed, point)).alias("coordinates")).alias("geometry"),
+            F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"),
         )
     )

@@ -180,15 +180,22 @@ def densify(ring: np.ndarray, parts: int = 5) -> np.ndarray:
     return (ring[:, None, :] + (nxt - ring)[:, None, :] * f).reshape(-1, 2)
 
 
-def thin(points: np.ndarray, limit: int = 500) -> tuple[np.ndarray, bool]:
-    """Every k-th point so that at most `limit` stay; says whether any went."""
-    if len(points) <= limit:
-        return points, False
-    return points[:: -(-len(points) // limit)], True
+#: Numbers that one dense step of points against segments may hold.
+DENSE = 1 << 21
+
+
+def _blocks(n: int, m: int):
+    step = max(1, DENSE // max(1, m))
+    return [slice(i, i + step) for i in range(0, n, step)]
 
 
 def inside(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    """Even-odd test of points against boundary segments."""
+    """Even-odd test of points against boundary segments, in blocks of bounded size."""
+    parts = [_inside(points[b], seg) for b in _blocks(len(points), len(seg))]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _inside(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
     x, y = points[:, 0, None], points[:, 1, None]
     cross = (seg[None, :, 1] <= y) != (seg[None, :, 3] <= y)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -197,6 +204,11 @@ def inside(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
 
 
 def boundary_distance(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    parts = [_boundary_distance(points[b], seg) for b in _blocks(len(points), len(seg))]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _boundary_distance(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
     d = seg[:, 2:] - seg[:, :2]
     n2 = np.maximum((d * d).sum(axis=1), 1e-30)
     w = points[:, None, :] - seg[None, :, :2]
@@ -209,40 +221,45 @@ def front_speed(older: np.ndarray, newer: np.ndarray, seconds: float, top_speed:
 
     Links join corners of the newer ring to corners of the older one; a link must
     run inside the newer ring, outside the older one, touch no boundary between its
-    ends, and stay at or below `top_speed`. Returns None when the older ring is not
-    inside the newer one or no link is left.
+    ends, and stay at or below `top_speed`. All corners count: those of the older ring
+    are sorted, so that each outer corner meets only those within reach. Returns None
+    when the older ring is not inside the newer one or no link is left.
     """
     outer, inner = densify(newer), densify(older)
     so, si = _segments([outer]), _segments([inner])
     near = boundary_distance(inner, so) < 1e-6
     if seconds <= 0 or not (near | inside(inner, so)).all():
         return None
-    po, thin_o = thin(outer)
-    pi, thin_i = thin(inner)
-    speeds, starts, ends = [], [], []
-    for o in po:
-        d = np.sqrt(((pi - o) ** 2).sum(axis=1))
+    reach = top_speed * seconds
+    pi = inner[np.argsort(inner[:, 0], kind="stable")]
+    n, total, squares, sums = 0, 0.0, 0.0, np.zeros(4)
+    for o in outer:
+        lo, hi = np.searchsorted(pi[:, 0], [o[0] - reach, o[0] + reach], side="left")
+        near_o = pi[lo:hi + 1]
+        d = np.sqrt(((near_o - o) ** 2).sum(axis=1))
         cand = np.flatnonzero((d > 0) & (d / seconds <= top_speed))
         if not len(cand):
             continue
-        link = np.hstack([np.repeat(o[None], len(cand), 0), pi[cand]])
+        link = np.hstack([np.repeat(o[None], len(cand), 0), near_o[cand]])
         mid = 0.5 * (link[:, :2] + link[:, 2:])
-        ok = inside(mid, so) & ~inside(mid, si) & (boundary_distance(mid, so) > 1e-3) & (boundary_distance(mid, si) > 1e-3)
+        ok = inside(mid, so) & ~inside(mid, si)
+        ok[ok] = (boundary_distance(mid[ok], so) > 1e-3) & (boundary_distance(mid[ok], si) > 1e-3)
         ok[ok] = ~_touches(link[ok], np.vstack([so, si]))
-        for k in cand[ok]:
-            speeds.append(d[k] / seconds)
-            starts.append(o)
-            ends.append(pi[k])
-    if not speeds:
+        speeds = d[cand[ok]] / seconds
+        n, total, squares, sums = n + len(speeds), total + speeds.sum(), squares + (speeds ** 2).sum(), sums + link[ok].sum(axis=0)
+    if not n:
         return None
-    a, b = np.mean(starts, axis=0), np.mean(ends, axis=0)
-    return float(np.mean(speeds)), float(np.std(speeds)), a, b, bool(thin_o or thin_i)
+    mean = total / n
+    return float(mean), float(np.sqrt(max(0.0, squares / n - mean ** 2))), sums[:2] / n, sums[2:] / n
 
 
 def _touches(link: np.ndarray, seg: np.ndarray, tol: float = 1e-3) -> np.ndarray:
     """Whether each link meets a segment farther than `tol` from its own ends."""
-    if not len(link):
-        return np.zeros(0, dtype=bool)
+    parts = [_touch(link[b], seg, tol) for b in _blocks(len(link), len(seg))]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+
+
+def _touch(link: np.ndarray, seg: np.ndarray, tol: float) -> np.ndarray:
     r = (link[:, 2:] - link[:, :2])[:, None, :]
     s = (seg[:, 2:] - seg[:, :2])[None, :, :]
     w = seg[None, :, :2] - link[:, None, :2]

@@ -23,12 +23,19 @@ def label_parts(label: Column) -> Column:
 # Latin letters with marks and their plain forms, position by position.
 MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿŠšŽž"
 PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyySsZz"
+# Further Latin letters and their plain forms.
+MARKED_MORE = "ĀāĂăĄąĆćĈĉĊċČčĎďĐđĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİıĴĵĶķĹĺĻļĽľŁłŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżȘșȚț"
+PLAIN_MORE = "AaAaAaCcCcCcCcDdDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIiJjKkLlLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzSsTt"
+# Greek letters and their Latin forms.
+GREEK = "ΑΒΓΔΕΖΗΙΚΛΜΝΞΟΠΡΣΤΥΦΩαβγδεζηικλμνξοπρσςτυφωΆΈΉΊΌΎΏάέήίόύώΪΫϊϋΐΰ"
+GREEK_PLAIN = "AVGDEZIIKLMNXOPRSTYFOavgdeziiklmnxoprsstyfoAEIIOYOaeiioyoIYiyiy"
 # Letters that become two.
-DOUBLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
+DOUBLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "Θ": "Th", "θ": "th", "Χ": "Ch", "χ": "ch", "Ψ": "Ps", "ψ": "ps", "Þ": "Th", "þ": "th"}
 
 
 def to_ascii(text: Column) -> Column:
-    out = F.translate(text, MARKED, PLAIN)
+    """Latin and Greek letters without marks; other scripts stay as they are."""
+    out = F.translate(text, MARKED + MARKED_MORE + GREEK, PLAIN + PLAIN_MORE + GREEK_PLAIN)
     for letter, pair in DOUBLED.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return out

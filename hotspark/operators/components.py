@@ -9,17 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from hotspark.session import materialize, spread
 
 
-def _flatten(hooks: DataFrame) -> DataFrame:
-    """Point every row at its parent's parent (a chain gets half as long)."""
-    up = hooks.select(F.col("r").alias("_r2"), F.col("p").alias("_p2"))
-    return hooks.join(up, hooks.p == up._r2, "left").select("r", F.coalesce("_p2", "p").alias("p"))
-
-
-def _unfinished(hooks: DataFrame) -> DataFrame:
-    gone = hooks.select(F.col("r").alias("_gone"))
-    return hooks.join(gone, hooks.p == gone._gone, "left_semi")
-
-
 def _contract(edges: DataFrame, hooks: DataFrame) -> DataFrame:
     """Edges between the parents of their ends, each once, loops dropped."""
     a = hooks.select(F.col("r").alias("src"), F.col("p").alias("_pa"))
@@ -56,67 +45,59 @@ def _join_inside(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": ids[moved], "p": ids[label[moved]]})
 
 
-# With no more edges than this left, one numpy call ends the rounds; beyond it they go on.
-FINISH_EDGES = 50_000
-
-
-def components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each id that is not its own root; ids of a component share a root.
 
-    Readers left-join it and take the id itself where nothing is found. The result
-    is lazy: it joins the written tables of the rounds.
+    Readers left-join it and take the id itself where nothing is found. `edges` has
+    columns src, dst (long).
 
     An optional column `tile` marks edges whose two ends lie in the same tile.
     A tile must hold a bounded number of vertices (the callers use blocks of grid
     cells); its part of the graph is joined in one numpy call before the rounds.
 
-    `edges` has columns src, dst (long). Each round hooks every vertex to its
-    lowest neighbour in a hashed order, shortens the chains, and contracts the
-    edges; hashing makes about half the vertices hook, whatever the shape of the
-    component, so the rounds grow with the logarithm of its size. Hubs are safe:
-    the minimum is a partial aggregate and contracted edges are made distinct.
-    Every round is written out, so a lost executor never replays earlier rounds.
-    Contraction shrinks the graph each round; once the counted rest is small, it is
-    joined in one bounded call instead of a tail of tiny jobs.
+    The rounds point every vertex's larger neighbours, then its smaller ones, at the
+    smallest vertex it sees, until the graph is a set of stars; the number of rounds
+    grows with the logarithm of the graph's size. Hubs are safe: minima are partial
+    aggregates, and a vertex meets only its one minimum in a join. Every round is
+    written out, so a lost executor never replays earlier rounds.
     """
-    rounds: list[DataFrame] = []
+    hooks = None
     if "tile" in edges.columns:
         inside = spread(edges.where("tile is not null"), "tile").groupBy("tile").applyInPandas(_join_inside, "r long, p long")
-        rounds.append(materialize(inside, "hooks"))
+        hooks = materialize(inside, "hooks")
         # an edge inside a tile is settled; only the edges between tiles go on
-        live = _contract(edges.where("tile is null").select("src", "dst"), rounds[0])
+        live = _contract(edges.where("tile is null").select("src", "dst"), hooks)
     else:
-        live = materialize(
-            edges.where("src <> dst")
-            .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-            .distinct(),
-            "edges",
-        )
-    while (left := live.count()) > 0:
-        if left <= finish_edges:
-            # at most `finish_edges` rows, counted above
-            rest = live.withColumn("tile", F.lit(0)).groupBy("tile").applyInPandas(_join_inside, "r long, p long")
-            rounds.append(materialize(rest, "hooks"))
-            break
-        both = live.select("src", "dst").unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("v"))).alias("m"))
-        hooks = low.where(F.col("m") < F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("v"))).select(
-            F.col("src").alias("r"), F.col("m.v").alias("p")
-        )
-        hooks = materialize(_flatten(_flatten(_flatten(hooks))), "hooks")
-        # chains are short in the hashed order; go on until each one ends at a vertex that stays
-        while not _unfinished(hooks).isEmpty():
-            hooks = materialize(_flatten(_flatten(hooks)), "hooks")
-        rounds.append(hooks)
-        live = _contract(live, hooks)
-    roots = None
-    for hooks in reversed(rounds):
-        if roots is None:
-            roots = hooks
-            continue
-        later = roots.select(F.col("r").alias("_r2"), F.col("p").alias("_p2"))
-        moved = hooks.join(later, hooks.p == later._r2, "left").select("r", F.coalesce("_p2", "p").alias("p"))
-        roots = moved.unionByName(roots)
-    if roots is None:
-        roots = live.select(F.col("src").alias("r"), F.col("dst").alias("p"))
+        live = edges.select("src", "dst")
+    stars = _stars(live)
+    if hooks is None:
+        return stars.select(F.col("src").alias("id"), F.col("dst").alias("root"))
+    later = stars.select(F.col("src").alias("_r2"), F.col("dst").alias("_p2"))
+    moved = hooks.join(later, hooks.p == later._r2, "left").select("r", F.coalesce("_p2", "p").alias("p"))
+    roots = moved.unionByName(stars.select(F.col("src").alias("r"), F.col("dst").alias("p")))
     return roots.select(F.col("r").alias("id"), F.col("p").alias("root"))
+
+
+def _state(df: DataFrame):
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")).alias("s")).first()
+    return r["n"], r["s"]
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(src, dst): every vertex with the smallest vertex of its component, except that one itself."""
+    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst")
+    stars = materialize(down.distinct(), "edges")
+    now = _state(stars)
+    while now[0]:
+        both = stars.select("src", "dst").union(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
+        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        large = materialize(large.where("src > dst").distinct(), "large-star")
+        low = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(low.select("src", F.col("m").alias("dst")))
+        stars = materialize(small.where("src > dst").distinct(), "small-star")
+        then = _state(stars)
+        if then == now:
+            break
+        now = then
+    return stars

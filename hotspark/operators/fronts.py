@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hotspark.operators.cluster import distance_pairs, pack_cell
+from hotspark.operators.ranking import number_rows
 from hotspark.session import materialize
 
 # Shortest link (cells), tolerance on the shortest link, spread of directions (rad).
@@ -57,8 +58,11 @@ def front_links(fronts: DataFrame, known: DataFrame, limit: float, min_step: flo
         (F.col("dist") < F.col("reach")) | (F.col("dist") < F.col("reach2"))
     )
     kept = materialize(kept.drop("reach", "reach2"), "links")
-    top = kept.agg(F.percentile_approx("speed", 0.99, 100_000).alias("_top"))
-    # `top` is one row
+    # the exact quantile, from positions in a range sort
+    placed = number_rows(kept.select("speed"), ["speed"], "_at")
+    rank = F.greatest(F.lit(1), F.ceil(F.lit(0.99) * F.max("_at")))
+    # one row each
+    top = placed.join(F.broadcast(placed.agg(rank.alias("_rank"))), F.col("_at") == F.col("_rank")).select(F.col("speed").alias("_top"))
     return kept.crossJoin(F.broadcast(top)).where(F.col("speed") <= F.col("_top")).drop("_top")
 
 

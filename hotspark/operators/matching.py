@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hotspark.functions.geom import box_area, box_center_distance, box_overlap, box_ring, c, overlap_area
+from hotspark.functions.geom import area, box_area, box_center_distance, box_overlap, box_ring, c, centroid, overlap_area
 from hotspark.operators.tiles import box_pairs
 
 # Fixed value: distance (m) beyond which the distance part of the score falls to zero.
@@ -27,18 +27,24 @@ def candidates(
     width = max_days * 86400e6
     day_a = F.floor(F.unix_micros(F.col(a_ts).cast("timestamp")) / width).cast("long")
     day_b = F.floor(F.unix_micros(F.col(b_ts).cast("timestamp")) / width).cast("long")
-    left = a.where(F.col(a_ts).isNotNull()).withColumn("tb", day_a)
-    right = b.where(F.col(b_ts).isNotNull()).withColumn("tb", F.explode(F.array(day_b - 1, day_b, day_b + 1)))
+    left = a.where(F.col(a_ts).isNotNull()).withColumn("_bucket", day_a)
+    right = b.where(F.col(b_ts).isNotNull()).withColumn("_bucket", F.explode(F.array(day_b - 1, day_b, day_b + 1)))
     grow = 0.0 if min_iou > 0 else max_km * 1000.0
-    pairs = box_pairs(left, right, base, grow, ["tb"])
+    pairs = box_pairs(left, right, base, grow, ["_bucket"])
     days = F.abs(F.unix_micros(c("a", a_ts).cast("timestamp")) - F.unix_micros(c("b", b_ts).cast("timestamp"))) / 86400e6
-    near = pairs.withColumn("dt_days", days).withColumn("dist_m", box_center_distance("a", "b"))
+    if mode == "exact":
+        ca, cb = centroid(F.col("a.ring")), centroid(F.col("b.ring"))
+        far_m = F.sqrt((ca.x - cb.x) * (ca.x - cb.x) + (ca.y - cb.y) * (ca.y - cb.y))
+        area_a, area_b = area(F.col("a.ring")), area(F.col("b.ring"))
+    else:
+        far_m, area_a, area_b = box_center_distance("a", "b"), box_area("a"), box_area("b")
+    near = pairs.withColumns({"dt_days": days, "dist_m": far_m, "_area_a": area_a, "_area_b": area_b})
     near = near.where((F.col("dt_days") <= max_days) & (F.col("dist_m") <= max_km * 1000.0))
     if mode == "exact":
         near = near.withColumn("inter", overlap_area(F.array("a.ring"), F.array("b.ring")))
     else:
         near = near.withColumn("inter", box_overlap("a", "b"))
-    union = box_area("a") + box_area("b") - F.col("inter")
+    union = F.col("_area_a") + F.col("_area_b") - F.col("inter")
     near = near.withColumn("iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0)).where(F.col("iou") >= min_iou)
     time_part = 1.0 - F.least(F.col("dt_days"), F.lit(max_days)) / max_days
     far = FAR_M if dist_score == "literal" else max_km * 1000.0
@@ -47,7 +53,7 @@ def candidates(
     score = wi * F.col("iou") + wd * dist_part + wt * time_part
     return near.select(
         c("a", a_id).alias("a_id"), c("b", b_id).alias("b_id"), score.alias("score"), "iou", "dist_m", "dt_days", "inter",
-        box_area("a").alias("area_a"), box_area("b").alias("area_b"),
+        F.col("_area_a").alias("area_a"), F.col("_area_b").alias("area_b"),
     )
 
 

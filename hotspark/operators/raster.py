@@ -43,15 +43,47 @@ def share_power(events: DataFrame, cell: float, domain: tuple[float, float, floa
     return parts.groupBy(*keys, "i", "j").agg(F.sum(F.col("frp") * F.col("part") / whole).alias("frp"))
 
 
-def share_power_polygons(events: DataFrame, cell: float, keys: list[str], id_col: str) -> DataFrame:
-    """The same for polygon events (column `ring`), with exact common areas."""
+def share_power_polygons(events: DataFrame, cell: float, domain: tuple[float, float, float, float], keys: list[str], id_col: str) -> DataFrame:
+    """The same for events with corners in `ring`: three or more are a polygon, two a line, one a point.
+
+    Polygons are weighed by exact common areas, lines by the common length, a point
+    gives all to its cell. What lies outside the domain does not count. A shape is
+    told by `keys` and `id_col` together, so an id that is seen at several times keeps
+    the power of each.
+    """
+    west, south, east, north = domain
     box = geom.bbox(F.col("ring"))
-    boxed = events.select(*keys, id_col, "frp", "ring", box.x0.alias("x0"), box.y0.alias("y0"), box.x1.alias("x1"), box.y1.alias("y1"))
-    cells = covered_cells(boxed, cell).drop("part").repartition("i", "j")
-    square = geom.box_ring(F.col("i") * cell, F.col("j") * cell, (F.col("i") + 1) * cell, (F.col("j") + 1) * cell)
-    parts = cells.withColumn("part", geom.overlap_area(F.array("ring"), F.array(square))).where("part > 0").drop("ring")
-    whole = F.sum("part").over(Window.partitionBy(id_col))  # the cells of one shape
-    return parts.withColumn("w", F.col("frp") * F.col("part") / whole).groupBy(*keys, "i", "j").agg(F.sum("w").alias("frp"))
+    boxed = events.select(*keys, id_col, "frp", "ring", F.size("ring").alias("_n"), box.x0.alias("x0"), box.y0.alias("y0"), box.x1.alias("x1"), box.y1.alias("y1"))
+    near = boxed.where((F.col("x1") >= west) & (F.col("x0") <= east) & (F.col("y1") >= south) & (F.col("y0") <= north) & (F.col("_n") > 0))
+    clipped = near.withColumns({
+        "x0": F.greatest("x0", F.lit(west)), "y0": F.greatest("y0", F.lit(south)), "x1": F.least("x1", F.lit(east)), "y1": F.least("y1", F.lit(north))})
+    cells = covered_cells(clipped, cell).drop("part").repartition("i", "j")
+    cx0, cy0 = F.greatest(F.col("i") * cell, F.lit(west)), F.greatest(F.col("j") * cell, F.lit(south))
+    cx1, cy1 = F.least((F.col("i") + 1) * cell, F.lit(east)), F.least((F.col("j") + 1) * cell, F.lit(north))
+    square = geom.box_ring(cx0, cy0, cx1, cy1)
+    area = cells.where("_n > 2").withColumn("part", geom.overlap_area(F.array("ring"), F.array(square)))
+    p, q = F.col("ring")[0], F.col("ring")[1]
+    length = F.sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))
+    line = cells.where("_n = 2").withColumn("part", length * _inside_share(p, q, cx0, cy0, cx1, cy1))
+    # a point, or a line without length, lies in the cell of its lower-left corner
+    here = (F.floor(p.x / cell) == F.col("i")) & (F.floor(p.y / cell) == F.col("j"))
+    point = cells.where("_n = 1").withColumn("part", F.when(here, F.lit(1.0)).otherwise(F.lit(0.0)))
+    parts = area.unionByName(line).unionByName(point).where("part > 0").drop("ring", "_n")
+    whole = parts.groupBy(*keys, id_col).agg(F.sum("part").alias("_whole"))  # the cells of one shape at one time
+    shared = parts.join(whole, [*keys, id_col])
+    return shared.groupBy(*keys, "i", "j").agg(F.sum(F.col("frp") * F.col("part") / F.col("_whole")).alias("frp"))
+
+
+def _inside_share(p: Column, q: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Share of the segment p-q that lies in a box (a side shared by two boxes goes to the upper or right one)."""
+    lo, hi = F.lit(0.0), F.lit(1.0)
+    for a, b, low, high in ((p.x, q.x, x0, x1), (p.y, q.y, y0, y1)):
+        d = b - a
+        t0, t1 = (low - a) / d, (high - a) / d
+        flat = F.when((a >= low) & (a < high), F.lit(0.0)).otherwise(F.lit(2.0))
+        lo = F.greatest(lo, F.when(d == 0, flat).otherwise(F.least(t0, t1)))
+        hi = F.least(hi, F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(t0, t1)))
+    return F.greatest(hi - lo, F.lit(0.0))
 
 
 def first_arrival(boxes: DataFrame, key: str, ts: str, cell: float, x_org: float, y_org: float) -> DataFrame:

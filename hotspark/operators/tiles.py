@@ -65,22 +65,22 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, base: float, test: Colu
 def split_by_mask(points: DataFrame, mask: DataFrame, base: float, keep: bool, test: Column | None = None) -> DataFrame:
     """Points outside every mask box (`keep`) or inside at least one.
 
-    One semi or anti join per level in use; the points are never multiplied, and a
-    tile that holds a large share of them can be split, since the mask is the
-    other side.
+    One semi or anti join per level in use, each on the points that no earlier level
+    took, so a point that stands in the table twice comes out twice. The points are
+    never multiplied, and a tile that holds a large share of them can be split, since
+    the mask is the other side.
     """
     test = in_box() if test is None else test
     levels = levels_in(mask, base)
     covers = cover(mask, base)
     out, inside = points, []
     for lv in levels:
-        keyed = key_points(out if keep else points, base, [lv])
+        keyed = key_points(out, base, [lv])
         side = covers.where(F.col("lvl") == lv).drop("lvl")
         cond = (keyed.tx == side.tx) & (keyed.ty == side.ty) & test
-        if keep:
-            out = keyed.join(side, cond, "left_anti").drop("lvl", "tx", "ty")
-        else:
+        if not keep:
             inside.append(keyed.join(side, cond, "left_semi").drop("lvl", "tx", "ty"))
+        out = keyed.join(side, cond, "left_anti").drop("lvl", "tx", "ty")
     if keep:
         return out
     if not inside:
@@ -88,7 +88,7 @@ def split_by_mask(points: DataFrame, mask: DataFrame, base: float, keep: bool, t
     hit = inside[0]
     for more in inside[1:]:
         hit = hit.unionByName(more)
-    return hit.dropDuplicates(points.columns) if len(inside) > 1 else hit
+    return hit
 
 
 def box_pairs(a: DataFrame, b: DataFrame, base: float, grow: float = 0.0, keys: list[str] | None = None) -> DataFrame:

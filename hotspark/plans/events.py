@@ -117,8 +117,8 @@ def weekly_quantiles(spark, sf):
     h = event_history(spark, sf).where((F.col("area") >= 10) & (F.col("hours") > 0))
     cols = [F.count("*").alias("n")]
     for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        cols.append(F.percentile_approx("area", p, 100_000).alias(f"area_{name}"))
-        cols.append(F.round(F.percentile_approx(F.col("hours") / 24, p, 100_000), 6).alias(f"days_{name}"))
+        cols.append(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY area)").alias(f"area_{name}"))
+        cols.append(F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY hours / 24)"), 6).alias(f"days_{name}"))
     return h.groupBy("year", "week").agg(*cols)
 
 
@@ -355,7 +355,7 @@ def front_speed(spark, sf):
     # the speed step is Python, so its few rows go over all cores
     r = grown.select("cluster", "day", "ring", "prev.ring", dt.alias("dt")).toDF("cluster", "day", "ring", "old", "dt")
     s = r.repartition(2 * spark.sparkContext.defaultParallelism).withColumn("f", geom.front_speed("old", "ring", "dt"))
-    return s.select("cluster", "day", F.round("f.speed", 6).alias("fros"), F.round("f.speed_std", 6).alias("fros_std"), F.col("f.thinned").alias("thinned"))
+    return s.select("cluster", "day", F.round("f.speed", 6).alias("fros"), F.round("f.speed_std", 6).alias("fros_std"))
 
 
 Q["front_speed"] = front_speed
