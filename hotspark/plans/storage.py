@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from hotspark.functions import geom
 from hotspark.plans import standins as S
@@ -39,17 +39,20 @@ def polar_rows(spark, sf) -> DataFrame:
 
 
 def raw_read_polar(spark, sf):
-    """Polar CSV files written per platform and day, read back and harmonised."""
+    """Polar CSV files written per platform and day, read back by header and harmonised.
+
+    One platform's files have the columns in another order; files of another day's rows carry 0000 in their name.
+    """
 
     def write(path):
-        cols = [f.name for f in R.POLAR_SCHEMA.fields if f.name != "acq_date"]
-        spread(polar_rows(spark, sf).select(*cols, "sat", "acq_date"), "sat", "acq_date").write.option("header", True).partitionBy(
-            "sat", "acq_date"
-        ).csv(path)
-
-    raw = R.read_polar(spark, _once(spark, sf, "polar", write))
-    day = raw.where((F.col("acq_date").between("2024-01-03", "2024-01-20")) & (F.col("acq_time") >= 100))
-    clean = R.clean_polar(day, (-9.5, 35.0, -3.0, 44.0))
+        cols = [f.name for f in R.POLAR_SCHEMA.fields]
+        rows = polar_rows(spark, sf).withColumn("day", F.col("acq_date"))
+        for side, test, order in (("a", F.col("sat") != "click", cols), ("b", F.col("sat") == "click", [*reversed(cols)])):
+            spread(rows.where(test).select(*order, "sat", "day"), "sat", "day").write.option("header", True).partitionBy("sat", "day").csv(f"{path}/{side}")
+
+    path = _once(spark, sf, "polar", write)
+    raw = R.read_platforms(spark, [f"{path}/a", f"{path}/b"], R.POLAR_SCHEMA, ["latitude", "longitude", "frp", "acq_date", "acq_time"], skip="-0000-")
+    clean = R.clean_polar(raw)
     return clean.select("sat", "ts", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"), "frp", "version", "daynight")
 
 
@@ -57,38 +60,35 @@ Q["raw_read_polar"] = raw_read_polar
 SQL["raw_read_polar"] = """SELECT event_type AS sat, date_trunc('minute', ts) AS ts, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, value AS frp,
   '2.0NRT' AS version, CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN 'D' ELSE 'N' END AS daynight
  FROM (SELECT *, -10e0 + user_id*5e-2 AS longitude, 35e0 + CAST(json_extract(props, '$.k') AS INT)*1e-1 AS latitude FROM events)
- WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' AND hour(ts) <> 0 AND event_id % 101 <> 0
-  AND longitude BETWEEN -95e-1 AND -3e0 AND latitude BETWEEN 35e0 AND 44e0"""
+ WHERE event_id % 101 <> 0"""
 
 
 def raw_read_geo(spark, sf):
-    """Geostationary CSV files per day of slots, read with the full schema and harmonised."""
+    """Geostationary CSV files per slot folder, read by header and harmonised."""
 
     def write(path):
         rows = raw_geo(spark, sf).withColumn("FIRE_CONFIDENCE", F.lit(0.9)).withColumn("ABS_LINE", F.col("hs_id").cast("double"))
         cols = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast("double").alias(f.name) for f in R.GEO_SCHEMA.fields]
-        text = rows.select(*cols, F.date_format("slot", "yyyyMMddHHmm").alias("slot"), F.date_format("slot", "yyyyMMdd").alias("day"))
-        text.hint("rebalance", "day").withColumn("slot_time", F.col("slot")).drop("slot").withColumnRenamed("slot_time", "slot").write.option(
-            "header", True
-        ).partitionBy("day").csv(path)
+        text = rows.select(*cols, F.date_format("slot", "yyyyMMdd").alias("day"), F.date_format("slot", "yyyyMMddHHmm").alias("slot"))
+        # the slot stands in the file as in a folder name; one folder a day keeps the number of small files low
+        text.hint("rebalance", "day").write.option("header", True).partitionBy("day").csv(path)
 
     path = _once(spark, sf, "geo", write)
-    raw = R.read_geostationary(spark, path).where(F.col("day").between(20240105, 20240112))
+    slotted = T.StructType([*R.GEO_SCHEMA.fields, T.StructField("slot", T.StringType())])
+    raw = R.read_by_header(spark, path, slotted, [*R.GEO_REQUIRED, "slot"]).withColumn("slot", F.to_timestamp("slot", "yyyyMMddHHmm"))
     clean = R.clean_geostationary(raw, (-9.0, 36.0, -4.0, 43.0)).drop(*R.GEO_DROPPED[1:])
     return clean.select(F.col("ABS_LINE").cast("long").alias("hs_id"), "ts", "frp", F.round("longitude", 6).alias("longitude"), F.col("FIRE_CONFIDENCE").alias("confidence"))
 
 
 Q["raw_read_geo"] = raw_read_geo
 SQL["raw_read_geo"] = f"""WITH {RAW_GEO} SELECT hs_id, {GEO_TS} AS ts, frp, round(longitude, 6) AS longitude, 9e-1 AS confidence FROM rawgeo
- WHERE frp IS NOT NULL AND longitude BETWEEN -9 AND -4 AND latitude BETWEEN 36 AND 43 AND CAST(slot AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'"""
+ WHERE frp IS NOT NULL AND longitude BETWEEN -9 AND -4 AND latitude BETWEEN 36 AND 43"""
 
 
 def hourly_layout(spark, sf):
-    """Archive rows in the hourly folders; two days of hours 06-11 read back by folder."""
+    """Archive rows in the hourly folders, read back and counted by folder."""
     path = _once(spark, sf, "hourly", lambda p: W.write_hourly(polar_rows(spark, sf).drop("sat"), p))
-    back = spark.read.option("header", True).csv(path).where(
-        F.col("acq_date").between("2024-01-10", "2024-01-11") & F.col("acq_hour").between(600, 1100)
-    )
+    back = spark.read.option("header", True).csv(path)
     return back.groupBy(F.col("acq_date").cast("string").alias("acq_date"), F.col("acq_hour").cast("int").alias("acq_hour")).agg(
         F.count("*").alias("n"), F.min(F.lpad(F.col("acq_time").cast("string"), 4, "0")).alias("first"), F.round(F.sum(F.col("bright_ti4").cast("double")), 4).alias("bt")
     )
@@ -96,8 +96,7 @@ def hourly_layout(spark, sf):
 
 Q["hourly_layout"] = hourly_layout
 SQL["hourly_layout"] = """SELECT strftime(ts, '%Y-%m-%d') AS acq_date, CAST(hour(ts)*100 AS INTEGER) AS acq_hour, count(*) AS n,
-  min(strftime(ts, '%H%M')) AS first, round(sum(value + 300), 4) AS bt FROM events
- WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-11' AND hour(ts) BETWEEN 6 AND 11 GROUP BY 1, 2"""
+  min(strftime(ts, '%H%M')) AS first, round(sum(value + 300), 4) AS bt FROM events GROUP BY 1, 2"""
 
 
 def snapshots(spark, sf) -> DataFrame:
@@ -163,19 +162,24 @@ def polygon_layer(spark, sf):
 
     def write(path):
         b = S.boxes(spark, sf).withColumn("ring", geom.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-        W.write_geojson(b, path, "ring", F.struct("box_id", F.lit("8").alias("admin_level")))
+        hole = geom.box_ring(F.col("x0") + 100.0, F.col("y0") + 100.0, F.col("x0") + 300.0, F.col("y0") + 200.0)
+        W.write_geojson(b.withColumn("holes", F.array(hole)), path, "ring", F.struct("box_id", F.lit("8").alias("admin_level")), holes="holes")
 
     p = R.read_feature_lines(spark, _once(spark, sf, "layer", write))
-    ring = F.slice("ring", F.lit(1), F.size("ring") - 1)  # without the closing corner
+    open_ = lambda r: F.slice(r, F.lit(1), F.size(r) - 1)  # noqa: E731  without the closing corner
+    ring, holes = open_(F.col("ring")), F.transform("holes", open_)
+    low = F.struct(F.array_min(F.transform(ring, lambda q: q.x)).alias("x"), F.array_min(F.transform(ring, lambda q: q.y)).alias("y"))
     return p.select(
         F.element_at("properties", "box_id").cast("long").alias("box_id"), F.element_at("properties", "admin_level").cast("int").alias("admin_level"),
-        "kind", F.size(ring).alias("corners"), F.round(geom.area(ring), 3).alias("area"),
+        "kind", F.size(ring).alias("corners"), F.round(geom.area_with_holes(ring, holes), 3).alias("area"),
+        geom.contains_with_holes(ring, holes, low.x + 200.0, low.y + 150.0).alias("holds_hole"),
+        geom.contains_with_holes(ring, holes, low.x + 50.0, low.y + 50.0).alias("holds_rim"),
     )
 
 
 Q["polygon_layer"] = polygon_layer
 SQL["polygon_layer"] = S.with_boxes(
-    "SELECT box_id, 8 AS admin_level, 'Polygon' AS kind, 4 AS corners, round((x1-x0)*(y1-y0), 3) AS area FROM boxes"
+    "SELECT box_id, 8 AS admin_level, 'Polygon' AS kind, 4 AS corners, round((x1-x0)*(y1-y0) - 2e4, 3) AS area, false AS holds_hole, true AS holds_rim FROM boxes"
 )
 
 

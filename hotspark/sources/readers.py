@@ -2,25 +2,78 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hotspark.functions.timefns import packed_time, polar_time
 
+# Columns of the polar product, in file order.
+POLAR_COLUMNS = [
+    "latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence", "version", "bright_ti5",
+    "frp", "daynight",
+]
+_TEXT = {"acq_date", "satellite", "instrument", "confidence", "version", "daynight"}
 POLAR_SCHEMA = T.StructType(
-    [T.StructField(n, T.DoubleType()) for n in ("latitude", "longitude", "bright_ti4", "scan", "track")]
-    + [T.StructField("acq_date", T.StringType()), T.StructField("acq_time", T.IntegerType())]
-    + [T.StructField(n, T.StringType()) for n in ("satellite", "instrument", "confidence", "version")]
-    + [T.StructField("bright_ti5", T.DoubleType()), T.StructField("frp", T.DoubleType()), T.StructField("daynight", T.StringType())]
+    [T.StructField(n, T.StringType() if n in _TEXT else T.IntegerType() if n == "acq_time" else T.DoubleType()) for n in POLAR_COLUMNS]
 )
 
-# Column names of the geostationary product.
-GEO_MEASURES = (
-    "BW_SIZE BW_NUMPIX BW_BT_MIR BW_BTD RAD_BCK STD_BCK FIRE_CONFIDENCE BT_MIR BT_TIR RAD_PIX PIXEL_VZA PIXEL_SZA "
-    "PIXEL_SIZE ERR_FRP_COEFF ERR_ATM_TRANS ERR_RADIOMETRIC ERR_BACKGROUND ERR_VERT_COMP FRP_UNCERTAINTY PIXEL_ATM_TRANS"
-).split()
+# Columns of the geostationary product, in file order.
+GEO_COLUMNS = [
+    "BW_SIZE", "BW_NUMPIX", "BW_BT_MIR", "BW_BTD", "RAD_BCK", "STD_BCK", "FIRE_CONFIDENCE", "BT_MIR", "BT_TIR", "RAD_PIX", "PIXEL_VZA", "PIXEL_SZA",
+    "PIXEL_SIZE", "LONGITUDE", "LATITUDE", "ACQTIME", "ABS_LINE", "ABS_SAMP", "FRP", "ERR_FRP_COEFF", "ERR_ATM_TRANS", "ERR_RADIOMETRIC",
+    "ERR_BACKGROUND", "ERR_VERT_COMP", "FRP_UNCERTAINTY", "PIXEL_ATM_TRANS", "LONGITUDE_PARALLAX", "LATITUDE_PARALLAX",
+]
 GEO_REQUIRED = ["ACQTIME", "FRP", "LONGITUDE", "LATITUDE"]
 GEO_DROPPED = ["ABS_LINE", "ABS_SAMP", "LONGITUDE_PARALLAX", "LATITUDE_PARALLAX"]
-GEO_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in [*GEO_REQUIRED, *GEO_MEASURES, *GEO_DROPPED]])
+GEO_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in GEO_COLUMNS])
+
+
+def read_by_header(spark: SparkSession, path: str, schema: T.StructType, required: list[str], skip: str | None = None) -> DataFrame:
+    """CSV files below `path`, bound by the names in their header, whatever their order.
+
+    The header of one file is taken as the layout of the folder; a file with another
+    header is an error, as is a header without a required column or with a column that
+    `schema` does not know. Case does not count. Columns that the files lack are null.
+    Folder columns (name=value) stay. Files whose name contains `skip` are left out.
+    A folder without files gives an empty frame with the schema's columns.
+    """
+    reader = spark.read.option("header", True).option("recursiveFileLookup", False)
+    try:
+        found = reader.csv(path)
+    except AnalysisException as e:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    folders = [f.name for f in found.schema.fields if f.name in _folder_columns(found)]
+    header = [c for c in found.columns if c not in folders]
+    known = {f.name.lower(): f for f in schema.fields}
+    if unknown := [c for c in header if c.lower() not in known]:
+        raise ValueError(f"unknown columns in {path}: {unknown}")
+    names = {c.lower(): c for c in [*header, *folders]}
+    if missing := [c for c in required if c.lower() not in names]:
+        raise ValueError(f"no column {missing} in {path}")
+    raw = reader.option("enforceSchema", False).schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
+    if skip is not None:
+        raw = raw.where(~F.col("_metadata.file_name").contains(skip))
+    cols = [
+        (F.col(f"`{names[f.name.lower()]}`").cast(f.dataType) if f.name.lower() in names else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ]
+    return raw.select(*cols, *(f"`{c}`" for c in raw.columns if c in folders and c.lower() not in known))
+
+
+def _folder_columns(df: DataFrame) -> set[str]:
+    """Names in the folders (name=value) of a frame's files; one file's path tells them."""
+    one = df.select(F.col("_metadata.file_path").alias("p")).limit(1).collect()
+    return {part.split("=")[0] for part in one[0]["p"].split("/") if "=" in part} if one else set()
+
+
+def read_platforms(spark: SparkSession, paths: list[str], schema: T.StructType, required: list[str], skip: str | None = None) -> DataFrame:
+    """The rows of several platforms' folders, each with its own column order."""
+    out = read_by_header(spark, paths[0], schema, required, skip)
+    for path in paths[1:]:
+        out = out.unionByName(read_by_header(spark, path, schema, required, skip), allowMissingColumns=True)
+    return out
 
 
 def clip(df: DataFrame, domain: tuple[float, float, float, float], lon="longitude", lat="latitude") -> DataFrame:
@@ -37,28 +90,24 @@ def clean_geostationary(raw: DataFrame, domain: tuple[float, float, float, float
     return clip(present, domain).withColumn("ts", packed_time(F.col("ACQTIME"), F.col("slot")))
 
 
-def clean_polar(raw: DataFrame, domain: tuple[float, float, float, float]) -> DataFrame:
+def clean_polar(raw: DataFrame) -> DataFrame:
+    """Rows with a place, a power and a time; the polar product is not clipped."""
     present = raw.dropna(subset=["latitude", "longitude", "frp", "acq_time"])
-    return clip(present, domain).withColumn("ts", polar_time(F.col("acq_date"), F.col("acq_time")))
+    return present.withColumn("ts", polar_time(F.col("acq_date"), F.col("acq_time")))
 
 
-def read_polar(spark: SparkSession, path: str) -> DataFrame:
-    """All polar CSV files below `path`, laid out as sat=/acq_date=.
+def read_polar(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
+    """All polar CSV files below `path`, by header; folder columns such as sat= and day= prune files.
 
-    Predicates on the folder columns prune files before anything is opened.
+    `skip` names files to leave out, such as the hour file that still holds the day before.
     """
-    schema = T.StructType(
-        [f for f in POLAR_SCHEMA.fields if f.name != "acq_date"]
-        + [T.StructField("sat", T.StringType()), T.StructField("acq_date", T.StringType())]
-    )
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_by_header(spark, path, POLAR_SCHEMA, ["latitude", "longitude", "frp", "acq_date", "acq_time"], skip)
 
 
 def read_geostationary(spark: SparkSession, path: str) -> DataFrame:
-    """All geostationary CSV files below `path`, laid out as slot=yyyyMMddHHmm."""
-    schema = T.StructType([*GEO_SCHEMA.fields, T.StructField("slot", T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    return raw.withColumn("slot", F.to_timestamp("slot", "yyyyMMddHHmm"))
+    """All geostationary CSV files below `path`, by header, with the slot of their folder slot=yyyyMMddHHmm."""
+    raw = read_by_header(spark, path, GEO_SCHEMA, GEO_REQUIRED)
+    return raw.withColumn("slot", F.to_timestamp(F.col("slot").cast("string"), "yyyyMMddHHmm"))
 
 
 def empty_hotspots(spark: SparkSession, schema: T.StructType = POLAR_SCHEMA) -> DataFrame:
@@ -71,7 +120,7 @@ _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coo
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON feature collections: one row per outer ring, properties kept as a map.
+    """GeoJSON feature collections: one row per outer ring with its holes, properties kept as a map.
 
     A collection is one document and so one task per file; for large layers write
     one feature per line and use `read_feature_lines`.
@@ -94,9 +143,12 @@ def _rings(features: DataFrame) -> DataFrame:
     parts = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", coords))).when(
         F.col("kind") == "MultiPolygon", F.from_json("c", f"array<{coords}>")
     )
-    ring = F.transform(F.col("part")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    def ring(r):
+        return F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+    holes = F.transform(F.slice("part", 2, F.greatest(F.size("part") - 1, F.lit(0))), ring)
     return rows.select("properties", "kind", F.posexplode(parts).alias("part_no", "part")).select(
-        "properties", "kind", "part_no", ring.alias("ring")
+        "properties", "kind", "part_no", ring(F.col("part")[0]).alias("ring"), holes.alias("holes")
     )
 
 

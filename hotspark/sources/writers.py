@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hotspark.functions import geom
-from hotspark.session import spread
 
 # Fixed value: what a missing number is written as.
 NODATA = -999
@@ -37,13 +36,8 @@ def _partitioned(df: DataFrame, path: str, column: str, mode: str) -> None:
     balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def _by_folder(df: DataFrame, columns: list[str], rows_per_file: int = 2_000_000) -> DataFrame:
-    """Rows hashed by folder over all cores; a folder above `rows_per_file` rows is cut into
-    as many parts as needed, so no task writes more than that."""
-    large = df.groupBy(*columns).count().where(F.col("count") > rows_per_file)
-    large = large.select(*columns, F.ceil(F.col("count") / rows_per_file).cast("int").alias("_files"))
-    cut = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.coalesce("_files", F.lit(1)))
-    return spread(df.join(large, columns, "left").withColumn("_file", cut), *columns, "_file").drop("_files", "_file")
+#: Rows of a file in folders of text files.
+ROWS_PER_FILE = 2_000_000
 
 
 def write_hotspots(df: DataFrame, path: str, column: str = "snapshot_ts") -> None:
@@ -56,12 +50,14 @@ def write_state(df: DataFrame, path: str, column: str = "snapshot_ts") -> None:
     _partitioned(df, path, column, "overwrite")
 
 
-def write_merges(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def write_merges(df: DataFrame, path: str, batch: str = "0") -> None:
+    """Merges of a batch; a batch that is written again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def write_slot_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+def write_slot_log(df: DataFrame, path: str, batch: str = "0") -> None:
+    """Log rows of a batch, as write_merges."""
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}/batch={batch}")
 
 
 def write_series(df: DataFrame, path: str, keys: list[str], order: str) -> None:
@@ -79,9 +75,9 @@ def write_weekly(weekly: DataFrame, values: DataFrame, path: str) -> None:
     values.hint("rebalance", "year", "week").write.mode("overwrite").partitionBy("year", "week").parquet(f"{path}/values")
 
 
-def write_geojson(df: DataFrame, path: str, ring: str, properties: Column, z: float | None = None) -> None:
-    """One GeoJSON feature per line."""
-    df.select(geom.geojson_polygon(F.col(ring), properties, z).alias("value")).write.mode("overwrite").text(path)
+def write_geojson(df: DataFrame, path: str, ring: str, properties: Column, z: float | None = None, holes: str | None = None) -> None:
+    """One GeoJSON feature per line; `holes` names a column with an array of rings."""
+    df.select(geom.geojson_polygon(F.col(ring), properties, z, F.col(holes) if holes else None).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_raster(df: DataFrame, path: str, column: str = "day") -> None:
@@ -99,7 +95,9 @@ def write_hourly(df: DataFrame, path: str) -> None:
     padded = df.withColumn("acq_time", F.lpad(F.col("acq_time").cast("int").cast("string"), 4, "0")).withColumn(
         "acq_hour", F.concat(F.substring("acq_time", 1, 2), F.lit("00"))
     )
-    _by_folder(padded, ["acq_date", "acq_hour"]).write.mode("overwrite").option("header", True).partitionBy("acq_date", "acq_hour").csv(path)
+    # the engine splits crowded folders, and files end after so many rows
+    balanced = padded.hint("rebalance", "acq_date", "acq_hour")
+    balanced.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("acq_date", "acq_hour").csv(path)
 
 
 def write_boundaries(df: DataFrame, path: str) -> None:
