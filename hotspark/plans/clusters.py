@@ -133,15 +133,15 @@ SQL["commune_join"] = S.with_clusters(
 
 
 def event_labels(spark, sf):
-    """Labels with the last commune left out, so some points lie in none ('XX')."""
-    j = _commune_of(ignition_points(spark, sf), S.communes(spark, sf, last=23))
+    """Labels of all events by the commune of their first point ('XX' where none holds it)."""
+    j = _commune_of(ignition_points(spark, sf), S.communes(spark, sf))
     return j.select("cluster", "episode", event_label(F.col("name"), F.col("ts")).alias("fire_name"))
 
 
 Q["event_label"] = event_labels
 SQL["event_label"] = S.with_clusters(
     f"""SELECT cluster, episode, 'fire_' || coalesce(name, 'XX') || '_' || strftime(ign.ts, '%Y%m%d') AS fire_name
-  {_JOIN} AND commune_id < 24""", EPISODES, IGNITION, S.COMMUNES
+  {_JOIN}""", EPISODES, IGNITION, S.COMMUNES
 )
 
 

@@ -56,19 +56,34 @@ SQL["raster_conservation"] = S.with_boxes(
 
 
 def raster_polygons(spark, sf):
-    """The same power spread with the exact polygon kernel over the hull-like boxes."""
+    """Power of polygons, lines and points spread exactly, for one id at several times."""
     from hotspark.operators.matching import with_rings
 
-    ev = with_rings(S.boxes(spark, sf).select("box_id", "day", "frp", "x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
-    out = R.share_power_polygons(ev, CELL, ["day"], "box_id")
+    ev = with_rings(S.boxes(spark, sf).select("cluster", "day", "frp", "x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
+    # a cluster is one shape, seen on several days; its lower side goes along as a line, its last corner as a point
+    near, far = F.col("ring")[0], F.col("ring")[2]
+    side = F.array(near, F.struct(far.x.alias("x"), near.y.alias("y")))
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("frp").alias("frp"), F.col("ring").alias("ring")),
+        F.struct(F.lit(1).alias("kind"), (F.col("frp") / 2).alias("frp"), side.alias("ring")),
+        F.struct(F.lit(2).alias("kind"), (F.col("frp") / 4).alias("frp"), F.array(far).alias("ring")),
+    )
+    shapes = ev.select("day", "cluster", F.explode(kinds).alias("s")).select("day", (F.col("cluster") * 3 + F.col("s.kind")).alias("shape"), "s.frp", "s.ring")
+    out = R.share_power_polygons(shapes, CELL, DOMAIN, ["day"], "shape")
     return out.select("day", "i", "j", _cell_power())
 
 
 Q["raster_polygons"] = raster_polygons
 SQL["raster_polygons"] = S.with_boxes(
-    """SELECT day, i, j, round(sum(frp * part / tot) + 1e-9, 6) AS frp FROM (SELECT *, sum(part) OVER (PARTITION BY box_id) AS tot FROM cov WHERE part > 0)
+    """SELECT day, i, j, round(sum(frp) + 1e-9, 6) AS frp FROM (
+   SELECT day, i, j, frp * part / sum(part) OVER (PARTITION BY box_id) AS frp FROM cov WHERE part > 0
+   UNION ALL SELECT day, i, CAST(floor(y0/1e4) AS BIGINT), frp / 2 * (least(b, (i+1)*1e4) - greatest(a, i*1e4)) / (b - a) FROM
+    (SELECT *, unnest(generate_series(CAST(floor(a/1e4) AS BIGINT), CAST(ceil(b/1e4) AS BIGINT) - 1)) AS i FROM
+     (SELECT day, y0, frp, greatest(x0, 3e6) AS a, least(x1, 3.2e6) AS b FROM boxes WHERE y0 >= 2e6 AND y0 < 2.5e6) WHERE b > a)
+   UNION ALL SELECT day, CAST(floor(x1/1e4) AS BIGINT), CAST(floor(y1/1e4) AS BIGINT), frp / 4 FROM boxes
+    WHERE x1 BETWEEN 3e6 AND 3.2e6 AND y1 BETWEEN 2e6 AND 2.5e6)
   GROUP BY day, i, j""",
-    RASTER.replace("greatest(x0, 3e6)", "x0").replace("greatest(y0, 2e6)", "y0").replace("least(x1, 3.2e6)", "x1").replace("least(y1, 2.5e6)", "y1"),
+    RASTER,
 )
 
 
@@ -411,8 +426,7 @@ def grid_window(spark, sf):
     ev = S.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     daily = ev.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), F.col("user_id").alias("i"), k.alias("j")).agg(F.sum("value").alias("value"))
-    # every third day has a grid
-    grids = daily.where(F.dayofmonth("day") % 3 == 1)
+    grids = daily
     b = nearest_in_time(S.burnt(spark, sf), grids.select("day").distinct(), "firedate", "day", ["day"], "g").withColumn("day", F.col("g.day"))
     cells = R.covered_cells(
         b.select("burnt_id", "day", *[(F.col(c) - o).alias(c) for c, o in (("x0", 3e6 - 900), ("x1", 3e6 - 900), ("y0", 2e6 - 900), ("y1", 2e6 - 900))]), S.STEP
@@ -430,6 +444,5 @@ SQL["grid_window"] = S.with_hs(
        QUALIFY row_number() OVER (PARTITION BY burnt_id ORDER BY abs(epoch_us(firedate) - epoch_us(g.day)), g.day) = 1))) n
   LEFT JOIN daily d ON d.day = n.day AND d.i = n.i AND d.j = n.j GROUP BY burnt_id, n.day""",
     S.BURNT,
-    """daily AS MATERIALIZED (SELECT date_trunc('day', ts) AS day, CAST((x-3e6)/1.8e3 AS BIGINT) AS i, CAST((y-2e6)/1.8e3 AS BIGINT) AS j, sum(frp) AS value FROM hs
-     WHERE day(ts) % 3 = 1 GROUP BY ALL)""",
+    """daily AS MATERIALIZED (SELECT date_trunc('day', ts) AS day, CAST((x-3e6)/1.8e3 AS BIGINT) AS i, CAST((y-2e6)/1.8e3 AS BIGINT) AS j, sum(frp) AS value FROM hs GROUP BY ALL)""",
 )

@@ -143,7 +143,7 @@ SQL["class_codes"] = S.with_grid(
 
 def legend_join(spark, sf):
     """Legend rows of the classes that occur, by code, with cell counts and hex colours."""
-    legend = S.table(spark, sf, "part").where(F.col("p_partkey") < 256).select(
+    legend = S.table(spark, sf, "part").select(
         F.col("p_partkey").cast("int").alias("code"), F.col("p_name").alias("label"), (F.col("p_partkey") * 3 % 256).alias("r"),
         (F.col("p_partkey") * 7 % 256).alias("g"), (F.col("p_partkey") * 11 % 256).alias("b"),
     )
@@ -155,7 +155,7 @@ Q["legend_join"] = legend_join
 SQL["legend_join"] = S.with_grid(
     f"""SELECT code, label, color, count(*) AS cells FROM (SELECT CAST(({_CODES})[(i*7 + j*3) % 21 + 1] AS INTEGER) AS code FROM grid) u JOIN
    (SELECT CAST(p_partkey AS INTEGER) AS code, p_name AS label, printf('#%02x%02x%02x', p_partkey*3 % 256, p_partkey*7 % 256, p_partkey*11 % 256) AS color
-    FROM part WHERE p_partkey < 256) USING (code) GROUP BY code, label, color"""
+    FROM part) USING (code) GROUP BY code, label, color"""
 )
 
 

@@ -85,10 +85,10 @@ MASKS = """masks AS (SELECT mask_id, cx - 9e2 AS x0, cy - 9e2 AS y0, cx + 9e2 AS
    2e6 + 1.8e3*((s_suppkey*37) % 100) AS cy FROM supplier))"""
 
 
-def communes(spark: SparkSession, sf: str, last: int = 24) -> DataFrame:
+def communes(spark: SparkSession, sf: str) -> DataFrame:
     """Stripes over the whole width of the hotspots, south to north."""
     span = hotspots(spark, sf).agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    n = table(spark, sf, "nation").where(F.col("n_nationkey") <= last)
+    n = table(spark, sf, "nation")
     y0 = F.lit(2e6) - 900.0 + F.lit(7.2e3) * F.col("n_nationkey")
     # `span` is one row
     return n.crossJoin(F.broadcast(span)).select(
@@ -102,7 +102,7 @@ COMMUNES = """communes AS (SELECT CAST(n_nationkey AS BIGINT) AS commune_id, n_n
 
 
 def burnt(spark: SparkSession, sf: str) -> DataFrame:
-    h = hotspots(spark, sf).where((F.col("sat") == "purchase") & (F.col("hs_id") % 10 == 0))
+    h = hotspots(spark, sf).where(F.col("sat") == "purchase")
     cx, cy = F.col("x") + 300.0, F.col("y") + 300.0
     return h.select(
         F.col("hs_id").alias("burnt_id"),
@@ -113,7 +113,7 @@ def burnt(spark: SparkSession, sf: str) -> DataFrame:
 
 BURNT = """burnt AS (SELECT hs_id AS burnt_id, date_trunc('day', ts) + INTERVAL 1 DAY AS firedate,
    x+3e2-1.8e3 AS x0, y+3e2-1.8e3 AS y0, x+3e2+1.8e3 AS x1, y+3e2+1.8e3 AS y1
-   FROM hs WHERE sat = 'purchase' AND hs_id % 10 = 0)"""
+   FROM hs WHERE sat = 'purchase')"""
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
                 (F.max("x") + 900.0).alias("x1"), (F.max("y") + 900.0).alias("y1"),
                 F.min("ts").alias("t0"), F.max("ts").alias("t1"),
             )
-            .withColumn("box_id", F.col("cluster") * 100 + F.dayofmonth("day"))
+            .withColumn("box_id", F.col("cluster") * 100_000 + F.unix_date(F.col("day").cast("date")))
         )
 
     return memo_table(spark, sf, "boxes", build)
@@ -138,7 +138,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 BOXES = """boxes AS MATERIALIZED (SELECT cluster, date_trunc('day', ts) AS day, count(*) AS n_hs, round(sum(frp), 4) AS frp,
    min(x)-9e2 AS x0, min(y)-9e2 AS y0, max(x)+9e2 AS x1, max(y)+9e2 AS y1, min(ts) AS t0, max(ts) AS t1,
-   cluster * 100 + day(date_trunc('day', ts)) AS box_id FROM hsc GROUP BY cluster, date_trunc('day', ts))"""
+   cluster * 100000 + date_diff('day', DATE '1970-01-01', CAST(date_trunc('day', ts) AS DATE)) AS box_id FROM hsc GROUP BY cluster, date_trunc('day', ts))"""
 
 
 def with_boxes(body: str, *ctes: str) -> str:
