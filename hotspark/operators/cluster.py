@@ -135,7 +135,8 @@ def label_cells(points: DataFrame, eps: float, numbered: bool = True) -> DataFra
     the number is the id of some cell of the cluster.
     """
     side = _side(eps)
-    pts = points.select("x", "y", cell_col(F.col("x"), side).alias("cx"), cell_col(F.col("y"), side).alias("cy"))
+    # written once: every level below reads these four columns, not the input again
+    pts = materialize(points.select("x", "y", cell_col(F.col("x"), side).alias("cx"), cell_col(F.col("y"), side).alias("cy")), "sites")
     cells = materialize(_boxes(pts, "cx", "cy"), "cells")
     reach = cells.withColumn("o", F.explode(offsets(_REACH))).select(
         (F.col("cx") + F.col("o.dx")).alias("gx"), (F.col("cy") + F.col("o.dy")).alias("gy"), "cx", "cy", *_BOX

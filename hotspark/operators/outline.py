@@ -46,11 +46,13 @@ def convex_outline(points: DataFrame, keys: list[str]) -> DataFrame:
 
     The hull of hulls is the hull: groups above HULL_CHUNK points are first cut by
     hash into chunks of that size and reduced to their corners, again and again
-    until the corners of a group fit one call.
+    until the corners of a group fit one call or no longer get fewer (they are then
+    the hull itself, which is one row in any case).
     """
     types = dict(points.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     live = points.select(*keys, "x", "y", F.lit(1).cast("long").alias("n"))
+    before = None
     while True:
         sizes = materialize(
             live.groupBy(*keys).count().where(F.col("count") > HULL_CHUNK)
@@ -58,6 +60,10 @@ def convex_outline(points: DataFrame, keys: list[str]) -> DataFrame:
         )
         if sizes.isEmpty():
             break
+        now = live.count()
+        if before is not None and now >= before:
+            break
+        before = now
         tagged = live.join(sizes, keys, "left").withColumn(
             "_c", F.pmod(F.xxhash64("x", "y"), F.coalesce("_chunks", F.lit(1))).cast("int")
         )
@@ -111,25 +117,14 @@ def tile_with_margin(points: DataFrame, size, margin) -> DataFrame:
     )
 
 
-def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24) -> DataFrame:
-    """Alpha shape of each cluster with alpha = 1 / mean nearest-neighbour distance.
+# Clusters above so many points are tried with half the alpha while no triangle is
+# left, and the alpha below which that ends.
+BACK_OFF_ABOVE, LEAST_ALPHA = 10, 4e-4
 
-    Clusters of at most four points get their convex hull. Others: every point is
-    inflated to an octagon of a quarter of the smallest neighbour distance, and a
-    Delaunay triangle is kept when its circumradius is below the mean distance.
-    Such a triangle depends only on points within one diameter, so tiles with that
-    margin find exactly the triangles of the whole cluster; a triangle belongs to
-    the tile of its circumcentre (a tile is `tile` mean distances
-    wide, so it holds about the same number of points in sparse and dense clusters). Area is the sum of the triangles and the boundary
-    is the edges used once, both plain aggregates. A cluster left without any
-    triangle falls back to its hull.
-    """
-    hulls = materialize(convex_outline(points, keys), "hulls")
-    big = hulls.where("n_points > 4").select(*keys)
-    pts = points.join(big, keys, "left_semi")
-    nn = nearest_distance(pts, keys, eps).groupBy(*keys).agg(F.min("nn").alias("d_min"), F.avg("nn").alias("r"))
-    scaled = pts.join(materialize(nn, "spacing"), keys)
-    types = dict(points.dtypes)
+
+def _triangles(scaled: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Triangles of circumradius below `r` of each cluster, from tiles with a margin; written out."""
+    types = dict(scaled.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +143,63 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24
         .groupBy(*keys, "tx", "ty")
         .applyInPandas(run, key_schema + ", a double, b double, c double, d double, e double, f double")
     )
-    tris = materialize(tris, "triangles")
+    return materialize(tris, "triangles")
+
+
+def chain(edges: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings (without the repeated corner) through edges of which every corner has an even number; largest first."""
+    at: dict[tuple[float, float], set[tuple[float, float]]] = {}
+    for u, v in edges:
+        at.setdefault(u, set()).add(v)
+        at.setdefault(v, set()).add(u)
+    rings = []
+    for start in sorted(at):
+        while at[start]:
+            ring, here = [start], start
+            while True:
+                there = min(at[here])
+                at[here].discard(there)
+                at[there].discard(here)
+                if there == start or not at[there]:
+                    break
+                ring.append(there)
+                here = there
+            if len(ring) > 2:
+                rings.append(ring)
+    return sorted(rings, key=lambda r: (-ring_area(np.array(r)), r))
+
+
+def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24) -> DataFrame:
+    """Alpha shape of each cluster with alpha = 1 / mean nearest-neighbour distance.
+
+    Clusters of at most four points get their convex hull. Others: every point is
+    inflated to an octagon of a quarter of the smallest neighbour distance, and a
+    Delaunay triangle is kept when its circumradius is below the mean distance.
+    Such a triangle depends only on points within one diameter, so tiles with that
+    margin find exactly the triangles of the whole cluster; a triangle belongs to
+    the tile of its circumcentre (a tile is `tile` mean distances
+    wide, so it holds about the same number of points in sparse and dense clusters). Area is the sum of the triangles and the boundary
+    is the edges used once, both plain aggregates. A cluster of more than ten points
+    without any triangle is tried again with half the alpha, down to a least alpha;
+    one that is still left, or a smaller one, falls back to its hull. `rings` are the
+    closed boundary rings, outer ones and holes, largest first.
+    """
+    hulls = materialize(convex_outline(points, keys), "hulls")
+    big = hulls.where("n_points > 4").select(*keys, "n_points")
+    pts = points.join(big, keys)
+    nn = nearest_distance(pts.drop("n_points"), keys, eps).groupBy(*keys).agg(F.min("nn").alias("d_min"), F.avg("nn").alias("r"))
+    spacing = materialize(nn.join(big, keys), "spacing")
+    sites = pts.select(*keys, "x", "y")
+    tris = _triangles(sites.join(spacing, keys), keys, tile)
+    # a handful of rounds: the radius doubles between the mean distance and 1 / LEAST_ALPHA
+    still = spacing.where(F.col("n_points") > BACK_OFF_ABOVE).join(tris.select(*keys).distinct(), keys, "left_anti")
+    still = materialize(still.where(1.0 / F.col("r") > LEAST_ALPHA), "empty")
+    while not still.isEmpty():
+        wider = still.withColumn("r", F.col("r") * 2)
+        more = _triangles(sites.join(wider, keys), keys, tile)
+        tris = tris.unionByName(more)
+        still = wider.join(more.select(*keys).distinct(), keys, "left_anti")
+        still = materialize(still.where(1.0 / F.col("r") > LEAST_ALPHA), "empty")
     area = tris.groupBy(*keys).agg(
         F.sum(F.abs((F.col("c") - F.col("a")) * (F.col("f") - F.col("b")) - (F.col("e") - F.col("a")) * (F.col("d") - F.col("b"))) / 2).alias("area")
     )
@@ -159,13 +210,23 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24
         return F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
 
     e = F.array(edge(("a", "b"), ("c", "d")), edge(("c", "d"), ("e", "f")), edge(("e", "f"), ("a", "b")))
-    rim = tris.select(*keys, F.explode(e).alias("e")).groupBy(*keys, "e").count().where("count = 1")
+    rim = materialize(tris.select(*keys, F.explode(e).alias("e")).groupBy(*keys, "e").count().where("count = 1").select(*keys, "e"), "rim")
     length = rim.groupBy(*keys).agg(
         F.sum(F.hypot(F.col("e.v.x") - F.col("e.u.x"), F.col("e.v.y") - F.col("e.u.y"))).alias("length"), F.count("*").alias("edges")
     )
-    shape = area.join(length, keys).select(*keys, F.col("area").alias("_a"), "length", "edges")
+    types = dict(points.dtypes)
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def rings_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = chain([((u["x"], u["y"]), (v["x"], v["y"])) for u, v in zip(pdf["u"], pdf["v"])])
+        row = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame(row | {"_rings": [[[{"x": x, "y": y} for x, y in r] for r in rings]]})
+
+    # one outline is one row, so its corners meet in one call
+    rings = spread(rim.select(*keys, "e.u", "e.v"), *keys).groupBy(*keys).applyInPandas(rings_of, f"{key_schema}, _rings array<array<struct<x:double,y:double>>>")
+    shape = area.join(length, keys).join(rings, keys).select(*keys, F.col("area").alias("_a"), "length", "edges", "_rings")
     return hulls.join(shape, keys, "left").select(
         *keys, "n_points",
         F.when(F.col("_a").isNotNull(), F.lit("Polygon")).otherwise(F.col("kind")).alias("kind"),
-        F.coalesce("_a", "area").alias("area"), "length", "edges",
+        F.coalesce("_a", "area").alias("area"), "length", "edges", F.coalesce("_rings", F.array("ring")).alias("rings"),
     )

@@ -186,7 +186,7 @@ Q["cluster_outline"] = cluster_outline
 def cluster_alpha_outline(spark, sf):
     """Tight outline (alpha shape) of each cluster: area, edge length, boundary edges."""
     shape = outline.alpha_outline(S.clustered(spark, sf).select("cluster", "x", "y").distinct(), ["cluster"], S.EPS)
-    return shape.select("cluster", "n_points", "kind", F.round("area", 2).alias("area_m2"), F.round("length", 2).alias("length_m"), "edges")
+    return shape.select("cluster", "n_points", "kind", F.round("area", 2).alias("area_m2"), F.round("length", 2).alias("length_m"), "edges", F.size("rings").alias("rings"))
 
 
 Q["cluster_alpha_outline"] = cluster_alpha_outline

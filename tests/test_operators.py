@@ -229,3 +229,26 @@ def test_rate_of_spread_of_a_steady_front(spark):
     g = spark.createDataFrame(rows, "i long, j long, arrival double, h double")
     r = {(x["i"], x["j"]): x for x in G.rate_of_spread(g, "arrival", "h", 50.0, G.extent(g)).collect()}
     assert r[(4, 4)]["ros"] == pytest.approx(0.5) and r[(4, 4)]["nx"] == pytest.approx(1.0)
+
+
+def test_alpha_outline_backs_off_and_gives_rings(spark):
+    """A ring of points has no small triangle at first; the wider radius fills it and the rim comes out closed."""
+    k = np.arange(24)
+    ring = np.c_[1000 + 60 * np.cos(2 * np.pi * k / 24), 1000 + 60 * np.sin(2 * np.pi * k / 24)]
+    lattice = np.array([(10.0 * i, 10.0 * j) for i in range(12) for j in range(9)])
+    rows = [(1, float(x), float(y)) for x, y in ring] + [(2, float(x), float(y)) for x, y in lattice]
+    out = {r["k"]: r for r in outline.alpha_outline(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], 40.0).collect()}
+    assert out[1]["kind"] == out[2]["kind"] == "Polygon" and out[1]["area"] > 0
+    # the octagons reach a quarter of the spacing beyond the lattice
+    assert 110 * 80 <= out[2]["area"] <= 115.1 * 85.1
+    for r in out.values():
+        areas = [outline.ring_area(np.array([(p["x"], p["y"]) for p in ring])) for ring in r["rings"]]
+        assert areas[0] - sum(areas[1:]) <= r["area"] * 1.001 and areas[0] >= r["area"] * 0.999
+
+
+def test_hull_of_more_corners_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(outline, "HULL_CHUNK", 50)
+    k = np.arange(200)
+    rows = [(1, float(np.cos(2 * np.pi * i / 200)), float(np.sin(2 * np.pi * i / 200))) for i in k]
+    r = outline.convex_outline(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).first()
+    assert r["n_points"] == 200 and len(r["ring"]) == 200
