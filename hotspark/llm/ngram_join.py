@@ -6,10 +6,13 @@ shingles, share at least l of them. Each text picks its own l: it lengthens its
 while the estimated number of candidates to verify falls by more than the longer
 prefix costs; a pair must then share the smaller l of its two texts.
 
-Equal sets are one vertex. A first round compares each text only with the smallest
-text under each of its prefix shingles, which gathers groups of near copies as stars;
-the second round makes all pairs that are still in different components, so no pairs
-are made inside a group that is known to be one.
+The sizes of a pair tighten both prefixes: with an overlap of at least o, the first l
+common shingles lie in the first n - o + l of either.
+
+Equal sets are one vertex. A first round compares each text only with one hub under
+each of its prefix shingles, which gathers groups of near copies as stars; the second
+round makes all pairs that are still in different components, so no pairs are made
+inside a group that is known to be one.
 """
 
 from __future__ import annotations
@@ -145,6 +148,7 @@ def prefixes(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = shared.value
+        met: set[int] = set()  # sets that this task has told already; emptied when large
         for batch in batches:
             for i, j, values, at, names in _sets_of(batch.column(0)):
                 seen = table[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -154,7 +158,10 @@ def prefixes(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
                 sid, size, asked, parts = [], [], [], []
                 for k in range(j - i):
                     a, n = at[k], at[k + 1] - at[k]
-                    if n:
+                    if n and names[k, 0] not in met:
+                        if len(met) >= 1 << 20:
+                            met.clear()
+                        met.add(names[k, 0])
                         l = choose(seen[a:a + n], n)  # noqa: E741
                         sid.append(names[k, 0])
                         size.append(n)
@@ -219,34 +226,35 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = described.where(F.col("n").isNotNull()).select("key", "n", F.col("a").alias("sid"))
     sets = materialize(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n")), "classes")
     prefix = materialize(prefixes(docs, text, sketch(described)), "prefixes")
-    asked = prefix.groupBy("sid").agg(F.first("l").alias("l"))
-    postings = prefix.select("sid", F.explode("shingles").alias("s"))
-    shared = postings.groupBy("s").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).where("hub < top").select("s", "hub")
-    common = materialize(postings.join(shared, "s").distinct(), "common").select("s", "sid", "hub")
-    sizes = sets.select("sid", "n")
-
-    def alike(pairs):
-        """Pairs whose sizes allow the similarity."""
-        x = sizes.select(F.col("sid").alias("x"), F.col("n").alias("nx"))
-        y = sizes.select(F.col("sid").alias("y"), F.col("n").alias("ny"))
-        return pairs.join(x, "x").join(y, "y").where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")).drop("nx", "ny")
+    postings = prefix.select("sid", "n", "l", F.posexplode("shingles").alias("pos", "s"))
+    several = postings.groupBy("s").agg(F.min("sid").alias("low"), F.max("sid").alias("top")).where("low < top").select("s")
+    common = materialize(postings.join(several, "s", "left_semi").distinct(), "common")
 
     def checked(pairs, name):
         pairs = materialize(pairs, name)
         used = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(sets.select("sid", "key"), "sid")
         return materialize(verify(pairs, sets_for(docs, key, text, materialize(used, "used"))), f"{name}-edges")
 
-    stars = checked(alike(common.where("sid > hub").select(F.col("hub").alias("x"), F.col("sid").alias("y")).distinct()), "stars")
+    def side(df, end):
+        return df.select("s", F.col("sid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "l", "pos")))
+
+    # the text nearest to what its group has in common meets the others: its own rare shingles are the fewest
+    hubs = common.groupBy("s").agg(F.min(F.struct("pos", "sid", "n", "l")).alias("h")).select("s", "h.*")
+    meet = side(hubs, "x").join(side(common, "y"), "s").where("x != y").where(_within("x", "y"))
+    stars = checked(_enough(meet), "stars")
     known = components(stars, "x", "y")
-    grouped = materialize(common.select("s", "sid").join(known.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", F.coalesce("root", "sid").alias("root")), "grouped")
+
+    grouped = materialize(common.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped")
     mixed = grouped.groupBy("s").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r < t").select("s")
     grouped = materialize(grouped.join(mixed, "s", "left_semi"), "mixed")
-    roots = grouped.select("s", "root").distinct()
-    cross = roots.join(roots.withColumnRenamed("root", "other"), "s").where("root < other")
-    pairs = cross.join(grouped.withColumnRenamed("sid", "x"), ["s", "root"]).join(grouped.select("s", F.col("root").alias("other"), F.col("sid").alias("y")), ["s", "other"])
-    pairs = pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("shared"))
-    pairs = pairs.join(asked.select(F.col("sid").alias("x"), F.col("l").alias("lx")), "x").join(asked.select(F.col("sid").alias("y"), F.col("l").alias("ly")), "y")
-    rest = checked(alike(pairs.where(F.col("shared") >= F.least("lx", "ly")).select("x", "y")), "rest")
+    # of each component under a shingle: its smallest size and its largest possible overlap
+    roots = grouped.groupBy("s", "root").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos") + F.col("l") - 1).alias("reach"))
+    other = roots.select("s", F.col("root").alias("other"), F.col("least").alias("least2"), F.col("reach").alias("reach2"))
+    can = (100 + PERCENT) * F.least("reach", "reach2") >= PERCENT * (F.col("least") + F.col("least2"))
+    cross = roots.join(other, "s").where((F.col("root") < F.col("other")) & can).select("s", "root", "other")
+    x = cross.join(grouped, ["s", "root"]).select("s", "other", F.col("sid").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("n", "l", "pos")))
+    y = side(grouped.withColumn("s", F.struct("s", F.col("root").alias("other"))), "y").select("s.*", "y", "n_y", "l_y", "pos_y")
+    rest = checked(_enough(x.join(y, ["s", "other"]).where(_within("x", "y"))), "rest")
 
     linked = components(stars.union(rest), "x", "y")
     named = sets.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
@@ -254,3 +262,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = materialize(named.join(lowest, "root").select("sid", "component_id"), "named")
     out = rows.join(named, "sid", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def _within(x: str, y: str):
+    """Whether a common shingle lies in both prefixes that this pair's sizes call for."""
+    need = PERCENT * (F.col(f"n_{x}") + F.col(f"n_{y}"))
+    asked = F.least(f"l_{x}", f"l_{y}")
+    left = F.least(F.col(f"n_{x}") - F.col(f"pos_{x}"), F.col(f"n_{y}") - F.col(f"pos_{y}")) + asked - 1
+    alike = 100 * F.least(f"n_{x}", f"n_{y}") >= PERCENT * F.greatest(f"n_{x}", f"n_{y}")
+    return alike & ((100 + PERCENT) * left >= need)
+
+
+def _enough(meet: DataFrame) -> DataFrame:
+    """Pairs (x < y) that share as many prefix shingles as the one that asks for fewer wants."""
+    pairs = meet.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("shared"), F.first(F.least("l_x", "l_y")).alias("asked"))
+    return pairs.where("shared >= asked").select("x", "y")
