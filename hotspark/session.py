@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,13 +94,19 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 _memo: dict[tuple[str, str, str], str] = {}
+#: Seconds that each derived table took to build, and the names read since the list was last emptied (for the bench).
+memo_seconds: dict[str, float] = {}
+memo_reads: list[str] = []
 
 
 def memo_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     """A derived table kept for the session: built on first use, then re-read."""
     key = (spark.sparkContext.applicationId, scope, name)
+    memo_reads.append(name)
     if key not in _memo:
+        began = time.perf_counter()
         _memo[key] = write_out(build(), name)
+        memo_seconds[name] = time.perf_counter() - began
     return spark.read.parquet(_memo[key])
 
 

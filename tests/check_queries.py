@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -75,7 +76,7 @@ def compare(spark, con, name, fn, sql, sf):
 def main():
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = get_spark("check", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false",
-                      spark_driver_memory="8g")
+                      spark_driver_memory="8g", spark_checkpoint_dir=tempfile.mkdtemp(prefix="queries-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     q, o = entry_mod.queries(), entry_mod.oracle_sql()

@@ -11,8 +11,11 @@ SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_spark("tests", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="6g")
+def spark(tmp_path_factory):
+    s = get_spark(
+        "tests", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="6g",
+        spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")),
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
