@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hotspark.functions import scalars as X, timefns as T
 from hotspark.functions.names import is_true_word
+from hotspark.functions import proj as P
 from hotspark.functions.proj import utm_zone
 from hotspark.plans import standins as S
 
@@ -86,3 +87,37 @@ SQL["scalar_misc"] = """SELECT event_id, date_trunc('minute', ts) AS name_ts, da
     lpad(CAST(abs(us - 43200000000) % 3600000000 // 60000000 AS VARCHAR), 2, '0') AS lag,
   date_trunc('day', ts) + to_microseconds(us // 2) AS mid
  FROM (SELECT *, -95e-1 + user_id*5e-2 AS lon, 36e0 + value/20 AS lat, epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS us FROM events)"""
+
+
+# per grid: longitude and latitude that the points lie around
+_AROUND = {25829: (-9, 36), 6679: (140, 38), 9473: (147, -36), 54034: (10, 30)}
+
+
+def projections_roundtrip(spark, sf):
+    """Places of all events to each grid and back to degrees."""
+    ev = S.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    out = None
+    for epsg, (lon0, lat0) in _AROUND.items():
+        lon, lat = F.lit(float(lon0)) + (F.col("user_id") % 60) * 0.05, F.lit(float(lat0)) + k * 0.1
+        there = P.equal_area_cylindrical(lon, lat) if epsg == 54034 else P.project(lon, lat, epsg)
+        placed = ev.select("event_id", there[0].alias("x"), there[1].alias("y"))
+        x, y = F.col("x"), F.col("y")
+        if epsg in P.TRANSVERSE_GRIDS:
+            back = P.transverse_mercator_inverse(x, y, *P.TRANSVERSE_GRIDS[epsg])
+        elif epsg in P.CONIC_GRIDS:
+            back = P.equal_area_conic_inverse(x, y, *P.CONIC_GRIDS[epsg])
+        else:
+            back = P.equal_area_cylindrical_inverse(x, y)
+        part = placed.select("event_id", F.lit(epsg).alias("epsg"), F.round(back[0], 6).alias("lon"), F.round(back[1], 6).alias("lat"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+Q["projections_roundtrip"] = projections_roundtrip
+SQL["projections_roundtrip"] = (
+    """SELECT event_id, epsg, round(CAST(lon0 AS DOUBLE) + (user_id % 60)*5e-2, 6) AS lon,
+  round(CAST(lat0 AS DOUBLE) + CAST(json_extract(props, '$.k') AS INT)*1e-1, 6) AS lat FROM events, (VALUES """
+    + ", ".join(f"({e}, {a}, {b})" for e, (a, b) in _AROUND.items())
+    + ") g(epsg, lon0, lat0)"
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -155,14 +157,16 @@ def _rings(features: DataFrame) -> DataFrame:
 def snapshot_at(table: DataFrame, when: str | None = None, column: str = "snapshot_ts") -> DataFrame:
     """The newest snapshot at or before `when` (newest of all by default).
 
-    The newest time comes from the partition column alone; the read then prunes to
-    one partition.
+    The newest time comes from the names of the table's folders, which the driver has
+    listed already; no file is opened for it, and the read prunes to one partition.
     """
-    times = table.select(column)
+    mark = f"/{column}="
+    names = {unquote(unquote(p.split(mark)[1].split("/")[0])) for p in table.inputFiles() if mark in p}
+    times = table.sparkSession.createDataFrame([(n,) for n in sorted(names)], "name string").select(F.col("name").cast("timestamp").alias("t"))
     if when is not None:
-        times = times.where(F.col(column) <= F.lit(when).cast("timestamp"))
-    top = times.agg(F.max(column).alias("m")).first()["m"]
-    return table.where(F.col(column) == F.lit(top)) if top is not None else table.limit(0)
+        times = times.where(F.col("t") <= F.lit(when).cast("timestamp"))
+    top = times.agg(F.date_format(F.max("t"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m")).first()["m"]
+    return table.where(F.col(column) == F.lit(top).cast("timestamp")) if top is not None else table.limit(0)
 
 
 def snapshots_between(table: DataFrame, start: str, end: str, column: str = "snapshot_ts") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hotspark.functions import geom, kernels as K
+from hotspark.functions import geom, kernels as K, proj
 from hotspark.functions.names import clean_name, event_label
 from hotspark.functions.proj import laea, laea_inverse
 from hotspark.functions.timefns import packed_time, polar_time
@@ -139,10 +139,77 @@ def test_empty_slot_is_typed(spark):
     assert R.empty_hotspots(spark).schema == R.POLAR_SCHEMA
 
 
-def test_large_folders_are_cut(spark, tmp_path):
-    df = spark.range(3000).select("id", F.when(F.col("id") < 2500, "a").otherwise("b").alias("day"))
-    W._by_folder(df, ["day"], rows_per_file=200).write.partitionBy("day").parquet(str(tmp_path / "t"))
-    back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == 3000 and back.agg(F.sum("id")).first()[0] == 3000 * 2999 // 2
-    files = back.select("day", F.input_file_name().alias("f")).distinct().groupBy("day").count()
-    assert {r["day"]: r["count"] for r in files.collect()}["a"] > 3
+def test_large_folders_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 200)
+    df = spark.range(3000).select(F.lit(7.0).alias("frp"), F.lit("2024-01-01").alias("acq_date"), F.when(F.col("id") < 2500, 130).otherwise(1245).alias("acq_time"))
+    W.write_hourly(df, str(tmp_path / "t"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "t"))
+    sizes = [r["n"] for r in back.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 200
+
+
+def test_columns_are_bound_by_header(spark, tmp_path):
+    """Files in the product's own order and in another one; unknown, missing and mixed headers; no files."""
+    def put(name, *lines):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / f"{len(list((tmp_path / name).iterdir()))}.csv").write_text("\n".join(lines) + "\n")
+
+    put("geo", "BW_SIZE,FRP,LONGITUDE,Latitude,ACQTIME", "7,12.5,3.25,44.5,30")
+    raw = R.read_by_header(spark, str(tmp_path / "geo"), R.GEO_SCHEMA, R.GEO_REQUIRED).first()
+    assert (raw.BW_SIZE, raw.FRP, raw.LONGITUDE, raw.LATITUDE, raw.ACQTIME, raw.BT_MIR) == (7, 12.5, 3.25, 44.5, 30, None)
+    put("polar", ",".join(R.POLAR_COLUMNS), "44.1,3.2,330.5,0.4,0.5,2024-01-02,7,N,VIIRS,n,2.0NRT,290.2,7.5,D")
+    raw = R.read_polar(spark, str(tmp_path / "polar"))
+    row = R.clean_polar(raw).first()
+    assert (row.acq_time, row.frp, row.daynight, str(row.ts)) == (7, 7.5, "D", "2024-01-02 00:07:00")
+    put("both", ",".join(reversed(R.POLAR_COLUMNS)), "N,1.5,280.0,v,n,VIIRS,N,1230,2024-01-03,0.5,0.4,300.0,4.0,45.0")
+    two = R.read_platforms(spark, [str(tmp_path / "polar"), str(tmp_path / "both")], R.POLAR_SCHEMA, ["frp"])
+    assert sorted((r.latitude, r.frp) for r in two.collect()) == [(44.1, 7.5), (45.0, 1.5)]
+    put("bad", "LATITUDE,LONGITUDE,FRP,ACQTIME,SURPRISE", "1,2,3,4,5")
+    with pytest.raises(ValueError, match="SURPRISE"):
+        R.read_by_header(spark, str(tmp_path / "bad"), R.GEO_SCHEMA, R.GEO_REQUIRED)
+    put("less", "LATITUDE,LONGITUDE", "1,2")
+    with pytest.raises(ValueError, match="ACQTIME"):
+        R.read_by_header(spark, str(tmp_path / "less"), R.GEO_SCHEMA, R.GEO_REQUIRED)
+    put("geo", "FRP,BW_SIZE,LONGITUDE,Latitude,ACQTIME", "1,2,3,4,5")
+    with pytest.raises(Exception):
+        R.read_by_header(spark, str(tmp_path / "geo"), R.GEO_SCHEMA, R.GEO_REQUIRED).collect()
+    (tmp_path / "none").mkdir()
+    assert R.read_polar(spark, str(tmp_path / "none")).columns == R.POLAR_COLUMNS and R.read_polar(spark, str(tmp_path / "none")).count() == 0
+
+
+
+@pytest.mark.parametrize("epsg,lon,lat", [(25829, -7.3, 40.6), (6679, 141.9, 39.0), (9473, 149.6, -32.0), (25832, 10.7, 59.9)])
+def test_grids_keep_angles_or_areas(spark, epsg, lon, lat):
+    """Finite differences: transverse grids are conformal, the conic one keeps areas; on the meridian lengths are exact."""
+    d = 1e-5
+    cols = []
+    for name, (a, b) in {"o": (lon, lat), "e": (lon + d, lat), "n": (lon, lat + d)}.items():
+        x, y = proj.project(F.lit(a), F.lit(b), epsg)
+        cols += [x.alias(name + "x"), y.alias(name + "y")]
+    r = spark.range(1).select(*cols).first()
+    e, n = np.array([r.ex - r.ox, r.ey - r.oy]), np.array([r.nx - r.ox, r.ny - r.oy])
+    s = np.sin(np.radians(lat))
+    east = proj.GRS80_A * np.cos(np.radians(lat)) / np.sqrt(1 - proj.E2 * s * s) * np.radians(d)
+    north = proj.GRS80_A * (1 - proj.E2) / (1 - proj.E2 * s * s) ** 1.5 * np.radians(d)
+    if epsg == 9473:
+        assert e[0] * n[1] - e[1] * n[0] == pytest.approx(east * north, rel=1e-6)
+    else:
+        assert np.hypot(*e) / east == pytest.approx(np.hypot(*n) / north, rel=1e-6)
+        assert abs(e @ n) / (np.hypot(*e) * np.hypot(*n)) < 1e-5
+
+
+def test_meridian_length(spark):
+    x, y = proj.utm(F.lit(9.0), F.lit(52.0), 32)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    t = np.radians(np.linspace(0, 52, 200_001))
+    m = proj.GRS80_A * (1 - proj.E2) / (1 - proj.E2 * np.sin(t) ** 2) ** 1.5
+    assert r.x == pytest.approx(500_000.0) and r.y == pytest.approx(0.9996 * np.trapezoid(m, t), abs=1e-3)
+
+
+def test_cylindrical_equal_area(spark):
+    x, y = proj.equal_area_cylindrical(F.lit(30.0), F.lit(90.0), 0.0, 30.0)
+    lon, lat = proj.equal_area_cylindrical_inverse(x, y, 0.0, 30.0)
+    r = spark.range(1).select(x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat")).first()
+    assert r.lon == pytest.approx(30) and r.lat == pytest.approx(90, abs=1e-4)
+    # a twelfth of the half sphere's area
+    assert r.x * r.y == pytest.approx(2 * np.pi * proj.RQ**2 / 12, rel=1e-9)
