@@ -2,9 +2,10 @@
 
 Documents are cut into sequences of token ids. Each sequence's running number goes
 through a keyed Feistel permutation of [0, N); values outside the range are permuted
-again until they fall into it, so every slot is taken once. Sequences are shuffled by
-shard, sorted by slot and written as records of equal length, so slot s is at byte
-(s mod shard size) * stride of shard s div shard size, and a reader can start anywhere.
+again until they fall into it, so every slot is taken once. Each task bundles its
+sequences by shard, a shuffle gives every shard to one writer, and the writer puts them
+into records of equal length by slot, so slot s is at byte (s mod shard size) * stride
+of shard s div shard size, and a reader can start anywhere.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from hotspark.llm.kernels import buffers, mix
+from hotspark.llm.kernels import buffers, list_array, mix
 from hotspark.session import fresh_path
 
 #: Tokens of a sequence, and sequences of a shard.
@@ -78,57 +80,80 @@ def write(df: DataFrame, key: str, tokens: str, path: str | None = None, seed: i
     source = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
     dtype = np.dtype(kind).newbyteorder("<")
     width = dtype.itemsize
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), source.schema["key"], T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    held = source.schema["key"].dataType
+    schema = T.StructType([
+        T.StructField("shard", T.IntegerType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(held)),
+        T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("ids", T.BinaryType())])
 
     def place(batches):
+        """One row for each batch and shard: its sequences there, their ids compressed together."""
         p = TaskContext.get().partitionId()
         at, done = starts.get(p, 0), 0
         for b in batches:
             ids, offs = _tokens(b.column(1), dtype)
-            sizes = np.diff(offs)
-            n = -(-sizes // length)
+            raw = np.ascontiguousarray(ids).view(np.uint8)
+            n = -(-np.diff(offs) // length)
             rows = np.repeat(np.arange(len(n)), n)
             part = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
             slots = feistel(np.arange(at + done, at + done + len(rows)), total, seed)
             done += len(rows)
-            begins = (offs[:-1][rows] + part * length) * width
-            bounds = np.append(begins, offs[-1] * width).astype(np.int64)
-            payload = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(ids).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((slots // shard).astype(np.int32)), pa.array(slots), b.column(0).take(pa.array(rows)), pa.array(part.astype(np.int32)), payload], names=schema.names)
+            begin = offs[:-1][rows] + part * length
+            size = np.minimum(length, offs[1:][rows] - begin)
+            order = np.argsort(slots)
+            slots, rows, part, begin, size = slots[order], rows[order], part[order], begin[order] * width, size[order]
+            shards_here, first = np.unique(slots // shard, return_index=True)
+            bounds = np.append(first, len(slots))
+            blobs = []
+            for i, j in zip(bounds, bounds[1:]):
+                piece = size[i:j] * width
+                picked = np.repeat(begin[i:j] - np.cumsum(piece) + piece, piece) + np.arange(int(piece.sum()))
+                blobs.append(pa.compress(raw[picked].tobytes(), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards_here.astype(np.int32)), *(list_array(x, bounds) for x in (pa.array(slots), b.column(0).take(pa.array(rows)), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32)))), pa.array(blobs, pa.binary())],
+                names=schema.names)
         if done != counts.get(p, 0):
             raise RuntimeError(f"partition {p} has {done} sequences and had {counts.get(p, 0)} when they were counted")
 
     shards = max(1, -(-total // shard))
     stride = 4 + length * width
     out_schema = T.StructType([T.StructField("slot", T.LongType()), source.schema["key"], T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("shard", T.IntegerType())])
+    arrow = to_arrow_schema(out_schema)
 
     def store(batches):
-        store_, folder = fs.FileSystem.from_uri(path)
-        name = stream = number = None
+        """Fill one shard's records in memory (its size is fixed) and write them."""
+        number, record, keys, at, parts, sizes = None, None, [], [], [], []
         for b in batches:
-            if not b.num_rows:
-                continue
-            if stream is None:
-                number = b.column(0)[0].as_py()
-                store_.create_dir(folder, recursive=True)
-                name = f"{folder}/.shard-{number:06d}-{TaskContext.get().taskAttemptId()}"
-                stream = store_.open_output_stream(name)
-            payload = b.column(4)
-            offs = np.frombuffer(payload.buffers()[1], np.int32, b.num_rows + 1, payload.offset * 4).astype(np.int64)
-            data = np.frombuffer(payload.buffers()[2], np.uint8)
-            sizes = np.diff(offs)
-            record = np.zeros((b.num_rows, stride), np.uint8)
-            record[:, :4] = (sizes // width).astype("<u4").view(np.uint8).reshape(-1, 4)
-            where = np.arange(b.num_rows) * stride + 4
-            record.reshape(-1)[np.repeat(where - (offs[:-1] - offs[0]), sizes) + np.arange(int(sizes.sum()))] = data[offs[0]:offs[-1]]
+            for k in range(b.num_rows):
+                if record is None:
+                    number = b.column(0)[k].as_py()
+                    record = np.zeros((min(shard, total - number * shard), stride), np.uint8)
+                slots, own, part, size = (b.column(c).slice(k, 1).flatten() for c in (1, 2, 3, 4))
+                place_, n = slots.to_numpy() - number * shard, size.to_numpy().astype(np.int64)
+                data = np.frombuffer(pa.decompress(b.column(5)[k].as_buffer(), int(n.sum()) * width, codec="zstd"), np.uint8)
+                record[place_, :4] = n.astype("<u4").view(np.uint8).reshape(-1, 4)
+                wide = n * width
+                record.reshape(-1)[np.repeat(place_ * stride + 4 - np.cumsum(wide) + wide, wide) + np.arange(len(data))] = data
+                keys.append(own)
+                at.append(place_)
+                parts.append(part)
+                sizes.append(n)
+        if record is None:
+            return
+        store_, folder = fs.FileSystem.from_uri(path)
+        store_.create_dir(folder, recursive=True)
+        name = f"{folder}/.shard-{number:06d}-{TaskContext.get().taskAttemptId()}"
+        with store_.open_output_stream(name) as stream:
             stream.write(record.tobytes())
-            sha = [hashlib.sha256(data[a:z]).hexdigest() for a, z in zip(offs, offs[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(sizes // width), pa.array(sha, pa.string()), b.column(0)], names=out_schema.names)
-        if stream is not None:
-            stream.close()
-            store_.move(name, f"{folder}/shard-{number:06d}.bin")
-
-    placed = source.mapInArrow(place, schema).repartitionById(shards, "shard").sortWithinPartitions("slot")
+        store_.move(name, f"{folder}/shard-{number:06d}.bin")
+        at = np.concatenate(at)
+        order = np.argsort(at)
+        take = lambda x: pa.concat_arrays(x).take(pa.array(order))
+        sizes = np.concatenate(sizes)[order]
+        sha = [hashlib.sha256(r[4:4 + n * width]).hexdigest() for r, n in zip(record, sizes)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[order] + number * shard), take(keys).cast(arrow.field(1).type), take(parts), pa.array(sizes), pa.array(sha, pa.string()), pa.array(np.full(len(at), number, np.int32))], names=out_schema.names)
+
+    placed = source.mapInArrow(place, schema).repartitionById(shards, "shard")
     return placed.mapInArrow(store, out_schema).withColumnRenamed("key", key)
 
 
