@@ -251,8 +251,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     roots = grouped.groupBy("s", "root").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos") + F.col("l") - 1).alias("reach"))
     other = roots.select("s", F.col("root").alias("other"), F.col("least").alias("least2"), F.col("reach").alias("reach2"))
     can = (100 + PERCENT) * F.least("reach", "reach2") >= PERCENT * (F.col("least") + F.col("least2"))
-    cross = roots.join(other, "s").where((F.col("root") < F.col("other")) & can).select("s", "root", "other")
-    x = cross.join(grouped, ["s", "root"]).select("s", "other", F.col("sid").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("n", "l", "pos")))
+    cross = roots.join(other, "s").where((F.col("root") < F.col("other")) & can).select("s", "root", "other", "least2", "reach2")
+    # a member goes on if the other component can still reach the overlap that its size calls for
+    own = F.least(F.col("n") - F.col("pos") + F.col("l") - 1, F.col("reach2"))
+    x = cross.join(grouped, ["s", "root"]).where((100 + PERCENT) * own >= PERCENT * (F.col("n") + F.col("least2")))
+    x = x.select("s", "other", F.col("sid").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("n", "l", "pos")))
     y = side(grouped.withColumn("s", F.struct("s", F.col("root").alias("other"))), "y").select("s.*", "y", "n_y", "l_y", "pos_y")
     rest = checked(_enough(x.join(y, ["s", "other"]).where(_within("x", "y"))), "rest")
 
