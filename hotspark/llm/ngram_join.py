@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from hotspark.llm.bits import maybe_in
+from hotspark.llm.bits import bitmap, member
 from hotspark.llm.components import components
 from hotspark.llm.kernels import LOWER, UNSPACED, buffers, byte_values, list_array, map_texts, run_hashes, signed, span_hashes, steps, word_spans
 from hotspark.session import materialize
@@ -181,15 +181,16 @@ def sets_for(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
     `wanted` has the sets' numbers and the keys of their texts; a bitmap of the keys
     keeps the other texts from being read again.
     """
-    near = maybe_in(wanted.select(F.xxhash64("key").alias("_h")), "_h")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("h")), "h"))
 
     def run(batches):
         for batch in batches:
-            for i, j, values, at, names in _sets_of(batch.column(0)):
+            near = member(shared.value, batch.column(1).to_numpy(zero_copy_only=False))
+            for i, j, values, at, names in _sets_of(batch.column(0).filter(pa.array(near))):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[:, 0].copy()), pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["sid", "shingles"])
 
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("key")).where(near).select("text")
+    some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
     sets = some.mapInArrow(run, "sid long, shingles binary").join(wanted.select("sid"), "sid", "left_semi")
     return materialize(sets.groupBy("sid").agg(F.first("shingles").alias("shingles")), "sets")
 
