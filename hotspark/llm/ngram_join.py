@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hotspark.llm.bits import bitmap, member
 from hotspark.llm.components import components
-from hotspark.llm.kernels import LOWER, UNSPACED, buffers, byte_values, list_array, map_texts, run_hashes, signed, span_hashes, steps, word_spans
+from hotspark.llm.kernels import LOWER, UNSPACED, buffers, byte_values, list_array, run_hashes, signed, span_hashes, steps, word_spans
 from hotspark.session import materialize
 
 SHINGLE = 5
