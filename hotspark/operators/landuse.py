@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hotspark.functions.geom import box_distance, c
+from hotspark.functions.geom import box_distance
 from hotspark.operators.components import components
 from hotspark.operators.ranking import number_within
 from hotspark.operators.tiles import box_pairs, cover, key_points, levels_in
