@@ -69,16 +69,15 @@ def link(messages: DataFrame, box: str, number: str, body: str) -> DataFrame:
     state = parsed.join(parents, ["box", "msg"], "left").select(
         "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent")
     state = materialize(state, "linked")
+    # a message is open while the top it knows of has a parent itself; only open ones jump, to the top of their top
+    replies = state.where("parent is not null").select("box", F.col("msg").alias("top"), F.lit(True).alias("open"))
     up = state.select("box", "msg", F.coalesce("parent", "msg").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    while True:
-        # a message whose top is no root yet jumps to the top of its top
-        up = materialize(up, "up")
-        over = up.where("depth > 0").select("box", F.col("msg").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        moved = up.join(over, ["box", "top"], "left")
-        if moved.where("next is not null").limit(1).count() == 0:
-            break
-        up = moved.select("box", "msg", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    out = state.join(up, ["box", "msg"]).select("box", "msg", "own", "n_quotes", "n_linked", "parent", F.col("top").alias("root"), "depth")
+    up = materialize(up.join(replies, ["box", "top"], "left").select("box", "msg", "top", "depth", (F.col("open").isNotNull() & (F.col("depth") > 0)).alias("open")), "up")
+    while not up.where("open").isEmpty():
+        step = up.select("box", F.col("msg").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("open").alias("still"))
+        moved = up.where("open").join(step, ["box", "top"]).select("box", "msg", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"))
+        up = materialize(up.where(~F.col("open")).unionByName(moved), "up")
+    out = state.join(up.drop("open"), ["box", "msg"]).select("box", "msg", "own", "n_quotes", "n_linked", "parent", F.col("top").alias("root"), "depth")
     alone = parse(rows.where(F.col("box").isNull() | F.col("msg").isNull()), "body").select(
         "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast(rows.schema["msg"].dataType).alias("parent"), F.col("msg").alias("root"), F.lit(0).cast("long").alias("depth"))
     return out.unionByName(alone).withColumnsRenamed({"box": box, "msg": number})
