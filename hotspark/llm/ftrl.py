@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hotspark.llm.kernels import KINDS, LOWER, buffers, byte_values, map_texts, run_hashes, span_hashes, steps, within_rows, word_spans
+from hotspark.session import materialize
 
 BITS = 18
 SCALE = 30.0
@@ -96,8 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     keep = F.lit(False)
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (part < max(1, round(parts * min(1.0, per_label / n)))))
+    # the drawn labels are few and written, so the planner knows their size and does not shuffle the texts
+    drawn = materialize(rows.where(keep), "drawn")
     texts = docs.select(F.col(key).alias("k"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
-    sample = sorted((r["k"], r["y"], bytes(r["t"])) for r in texts.join(rows.where(keep), "k").select("k", "y", "t").toLocalIterator())
+    sample = sorted((r["k"], r["y"], bytes(r["t"])) for r in texts.join(drawn, "k").select("k", "y", "t").toLocalIterator())
     return fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 
