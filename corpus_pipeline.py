@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hotspark.llm import bpe, ftrl, langid, ngram_join, winnow
 from hotspark.llm.bits import without
+from hotspark.llm.kernels import ready
 from hotspark.llm.queries import fold, table
-from hotspark.session import materialize, prepare
+from hotspark.session import materialize
 
 #: A text stays if its most likely language has at least this probability.
 LANGUAGE_SCORE = 0.5
@@ -32,14 +33,14 @@ def _kept(docs: DataFrame, apply: Callable[[DataFrame, str, list[str]], DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from rows with text and language; texts without a letter or without a likely language go."""
-    prepare(spark)
+    ready(spark)
     net = langid.train(docs.where(F.col("doc_id").isNotNull() & ~fold("doc_id", 4, 2)))
     return _kept(docs, lambda df, text, keep: langid.identify(df, net, text, keep), (F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the table `labels`; texts that are predicted 0 go. Without labels all stay."""
-    prepare(spark)
+    ready(spark)
     model = ftrl.train(docs, table(spark, sf_dir, "labels").where(~fold("doc_id", 5, 0)))
     return _kept(docs, lambda df, text, keep: ftrl.classify(df, model, text, keep), F.col("predicted") == 1)
 
@@ -49,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row without an id cannot be named and stays; rows that share an id but not a text are judged together.
     """
-    prepare(spark)
+    ready(spark)
     found = materialize(ngram_join.join(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull()), "groups")
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -60,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of which at least one word in twenty lies in a benchmark window go."""
-    prepare(spark)
+    ready(spark)
     h = "_text_hash"
     named = docs.withColumn(h, F.xxhash64("text"))
     found = winnow.judge(winnow.find(named.select("doc_id", "text", h), table(spark, sf_dir, "benchmark"), keep=["doc_id", h]))
@@ -70,7 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number and the digests of the ids and of the decoded bytes."""
-    prepare(spark)
+    ready(spark)
     return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
@@ -86,7 +87,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`, each one's result written and read again."""
-    prepare(spark)
+    ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hotspark.session import prepare
+
 #: Bytes of text that one numpy step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -72,6 +74,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray, kinds: np.ndarray) -> tuple[n
     return first, last, np.searchsorted(first, offs)
 
 
+#: Rows and bytes of an Arrow batch; a task holds a few batches at a time.
+BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 24
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with its settings pinned and batches small enough for whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return prepare(spark)
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hotspark.llm import bpe, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, winnow
-from hotspark.session import prepare
+from hotspark.llm.kernels import ready
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,7 @@ _QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op4_qua
 
 def _register(fn):
     def run(spark, sf_dir):
-        return fn(prepare(spark), sf_dir)
+        return fn(ready(spark), sf_dir)
 
     run.__doc__ = fn.__doc__
     return run
