@@ -20,7 +20,7 @@ from hotspark.llm.queries import fold, table
 from hotspark.session import materialize
 
 #: A text stays if its most likely language has at least this probability.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.35
 
 
 def _kept(docs: DataFrame, apply: Callable[[DataFrame, str, list[str]], DataFrame], condition: Column) -> DataFrame:
