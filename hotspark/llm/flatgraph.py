@@ -6,8 +6,10 @@ search the graph so far and keep diverse neighbours. The adjacency lists of a ve
 are united over its shards. Then every vector is searched for in its shards: a greedy
 search from the medoid that goes on through all vertices in range. Found pairs are
 compared in double precision. An audit compares a bounded set of queries with all vectors
-by brute force; if too few of their links were found, the build is repeated with more
-overlap.
+by brute force. An overlap at which too few of their links share a shard is not built, and
+if a search finds too few, the next overlap follows. A dense group lies in more shards than
+any overlap covers; then vectors are compared exactly, block by block, with all blocks whose
+centroid and measured radius allow a link.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SLACK = 0.04
 AUDIT = 400
 RECALL = 0.98
 _QUERIES = 256
+#: Vectors of a block of the exact search that its size aims at.
+BLOCK = 4096
 
 
 def unit_rows(column) -> np.ndarray:
@@ -169,29 +173,34 @@ def build(x: np.ndarray, seed: int = 13) -> tuple[np.ndarray, int]:
     return links, medoid
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """Numbers of the nearest centroids of each row, in rising order."""
+    k = min(overlap, len(c))
+    out = [np.sort(np.argpartition(-(part @ c.T), k - 1, axis=1)[:, :k], axis=1) for part in np.array_split(x, max(1, len(x) // 2048))]
+    return np.concatenate(out).astype(np.int32)
+
+
 def _assigned(vectors: DataFrame, centroids: np.ndarray, overlap: int, dim_ok: int) -> DataFrame:
-    """(node, v, n, shards): the nearest centroids of each vector, nearest first."""
+    """(node, v, n, shards): the nearest centroids of each vector, by number."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     @F.pandas_udf("array<int>")
     def nearest(column: pd.Series) -> pd.Series:
-        x = unit_rows(column)
-        c = shared.value
-        k = min(overlap, len(c))
-        out = [np.sort(np.argpartition(-(part @ c.T), k - 1, axis=1)[:, :k], axis=1) for part in np.array_split(x, max(1, len(x) // 2048))]
-        return pd.Series(list(np.concatenate(out).astype(np.int32)))
+        return pd.Series(list(_nearest(unit_rows(column), shared.value, overlap)))
 
     return vectors.where(F.size("v") == dim_ok).withColumn("shards", nearest("v"))
 
 
-def _links(vectors: DataFrame, dim: int, overlap: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """(node, direct): links to other classes' rows; (a, b): a spanning set of the links."""
-    spark = vectors.sparkSession
+def _sample(vectors: DataFrame, dim: int, total: int) -> np.ndarray:
+    """The vectors that centroids are fitted to, in the order of their keys."""
     parts = 1 << 30
     sample = vectors.where(F.size("v") == dim).where(F.pmod(F.xxhash64("node"), F.lit(parts)) < max(1, round(parts * min(1.0, SAMPLE / max(1, total))))).select("node", "v").toPandas()
-    sample = sample.sort_values("node")
-    k = max(1, -(-total * overlap // SHARD))
-    centroids = spherical_means(unit_rows(sample["v"]), k) if len(sample) else np.eye(1, dim)
+    return unit_rows(sample.sort_values("node")["v"]) if len(sample) else np.eye(1, dim)
+
+
+def _links(vectors: DataFrame, dim: int, overlap: int, centroids: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(node, direct): links to other classes' rows; (a, b): a spanning set of the links."""
+    spark = vectors.sparkSession
     placed = materialize(_assigned(vectors, centroids, overlap, dim), "placed")
     each = placed.select("node", "v", "n", "shards", F.explode("shards").alias("shard"))
     sizes = each.groupBy("shard").agg(F.count("*").alias("size")).withColumn("splits", F.ceil(F.col("size") / F.lit(2 * SHARD)).cast("int")).select("shard", "splits")
@@ -235,9 +244,9 @@ def _adjacency(ids: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(edges // len(ids), np.arange(len(ids) + 1)), edges % len(ids)
 
 
-def _roots(hits: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Smallest vertex that each vertex reaches over the pairs."""
-    up = np.arange(n)
+def _roots(hits: list[tuple[np.ndarray, np.ndarray]], n: int, up: np.ndarray | None = None) -> np.ndarray:
+    """Smallest vertex that each vertex reaches over the pairs and, if given, over the roots of earlier pairs."""
+    up = np.arange(n) if up is None else up
     for a, b in hits:
         while len(a):
             while (up[up] != up).any():
@@ -292,38 +301,145 @@ def _search(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": every[some], "direct": direct[some], "root": roots[some]}) if some.any() else none
 
 
-def _audit(vectors: DataFrame, dim: int, total: int) -> pd.DataFrame:
-    """(node, truth): links of a bounded set of queries to rows of other classes, by brute force over all vectors."""
+def _exact(vectors: DataFrame, dim: int, total: int, sample: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """What `_links` returns, without a graph: each pair of blocks that can hold a link is compared whole.
+
+    A vector lies in the cell of its nearest centroid, cells are cut into blocks. A vector
+    can link into another cell only if its angle to that centroid is within the cell's
+    radius and the angle of a link, and if its distance to the plane between the two
+    centroids is within the length of a link. A pair of blocks is read if any vector can.
+    """
+    spark = vectors.sparkSession
+    centroids = spherical_means(sample, max(1, -(-total // BLOCK)))
+    k = len(centroids)
+    shared = spark.sparkContext.broadcast(centroids)
+    angle, chord, slip = np.arccos(COSINE), np.sqrt(2 - 2 * COSINE), 1e-6
+
+    def cells(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = unit_rows(pdf["v"]) @ shared.value.T
+                cell = near.argmax(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), off=np.arccos(np.clip(near[np.arange(len(pdf)), cell], -1, 1)))
+
+    placed = materialize(vectors.where(F.size("v") == dim).select("node", "v", "n").mapInPandas(cells, "node long, v array<double>, n long, cell int, off double"), "cells")
+    stats = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("off").alias("radius")).toPandas()
+    radius, splits = np.full(k, -np.inf), np.zeros(k, np.int64)
+    radius[stats["cell"]] = stats["radius"]
+    splits[stats["cell"]] = -(-stats["size"] // BLOCK)
+    first = np.cumsum(splits) - splits
+    reach = spark.sparkContext.broadcast(radius)
+
+    def open_cells(batches):
+        c = shared.value
+        for pdf in batches:
+            for part in (pdf[i:i + 1024] for i in range(0, len(pdf), 1024)):
+                own = part["cell"].to_numpy()
+                near = unit_rows(part["v"]) @ c.T
+                apart = np.sqrt(np.maximum(2 - 2 * (c[own] @ c.T), 0))
+                can = (np.arccos(np.clip(near, -1, 1)) <= reach.value + angle + slip) & (near[np.arange(len(own)), own][:, None] - near <= chord * apart + slip)
+                q, b = np.nonzero(can)
+                pairs = np.unique(own[q].astype(np.int64) * k + b)
+                yield pd.DataFrame({"a": (pairs // k).astype(np.int32), "b": (pairs % k).astype(np.int32)})
+
+    # both ends of a link see each other's cell as open; a pair of cells is compared once
+    seen = placed.mapInPandas(open_cells, "a int, b int").distinct()
+    seen = materialize(seen.join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a <= b"), "open-cells")
+    split = spark.createDataFrame(pd.DataFrame({"cell": np.arange(k, dtype=np.int32), "splits": splits, "first": first}), "cell int, splits long, first long")
+    blocks = placed.join(split, "cell").select("node", "v", "n", "cell", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("splits"))).alias("block"))
+    blocks = materialize(blocks, "blocks")
+
+    def numbers(name):
+        return split.where("splits > 0").select(F.col("cell").alias(name), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias(f"{name}_block"))
+
+    pairs = materialize(seen.join(numbers("a"), "a").join(numbers("b"), "b").where("a_block <= b_block").select("a_block", "b_block"), "block-pairs")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    left = blocks.join(pairs, F.col("block") == F.col("a_block")).withColumn("indexed", F.lit(True))
+    right = blocks.join(pairs.where("a_block < b_block"), F.col("block") == F.col("b_block")).withColumn("indexed", F.lit(False))
+    both = left.unionByName(right).select("a_block", "b_block", "node", "v", "n", "indexed").repartition(tasks, "a_block", "b_block")
+    found = materialize(both.groupBy("a_block", "b_block").applyInPandas(_compare, "node long, direct long, root long"), "found")
+    return found.groupBy("node").agg(F.sum("direct").alias("direct")), found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _compare(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks, or within one: each row's sum, and roots of the components."""
+    pdf = pdf.sort_values(["indexed", "node"], ascending=[False, True], ignore_index=True)
+    m = int(pdf["indexed"].sum())
+    same = keys[0] == keys[1]
+    x, n = unit_rows(pdf["v"]), pdf["n"].to_numpy(np.int64)
+    ids = pdf["node"].to_numpy(np.int64)
+    direct, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i in range(0 if same else m, m if same else len(ids), _QUERIES):
+        q = np.arange(i, min(i + _QUERIES, m if same else len(ids)))
+        hit = x[q] @ x[:m].T >= COSINE
+        if same:
+            hit[np.arange(len(q)), q] = False
+        else:
+            direct[:m] += n[q] @ hit
+        direct[q] += hit @ n[:m]
+        a, b = np.nonzero(hit)
+        up = _roots([(q[a], b)], len(ids), up)
+    # the smallest key of a component, not its first row
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, up, ids)
+    roots = low[up]
+    some = (direct > 0) | (roots != ids)
+    return pd.DataFrame({"node": ids[some], "direct": direct[some], "root": roots[some]})
+
+
+def _audit(vectors: DataFrame, dim: int, total: int, centroids: dict[int, np.ndarray]) -> pd.DataFrame:
+    """(node, truth, and for each overlap the part of it that shares a shard): links of a bounded set of queries to rows of other classes, by brute force over all vectors."""
+    names = [f"share_{o}" for o in centroids]
     parts = 1 << 30
     asked = vectors.where(F.size("v") == dim).where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(parts)) < max(1, round(parts * min(1.0, AUDIT / max(1, total))))).select("node", "v").toPandas()
     if not len(asked):
-        return pd.DataFrame({"node": [], "truth": []})
-    shared = vectors.sparkSession.sparkContext.broadcast((asked["node"].to_numpy(), unit_rows(asked["v"])))
+        return pd.DataFrame({name: np.zeros(0, np.int64) for name in ["node", "truth", *names]})
+    q = unit_rows(asked["v"])
+    shared = vectors.sparkSession.sparkContext.broadcast((asked["node"].to_numpy(), q, centroids, [_nearest(q, c, o) for o, c in centroids.items()]))
 
     def count(batches):
-        ids, q = shared.value
-        sums = np.zeros(len(ids), np.int64)
+        ids, q, centroids, homes = shared.value
+        sums = np.zeros((len(ids), 1 + len(homes)), np.int64)
         for pdf in batches:
-            if len(pdf):
-                near = (unit_rows(pdf["v"]) @ q.T >= COSINE) & (pdf["node"].to_numpy()[:, None] != ids[None])
-                sums += pdf["n"].to_numpy(np.int64) @ near
-        yield pd.DataFrame({"node": ids, "truth": sums})
+            for part in (pdf[i:i + 4096] for i in range(0, len(pdf), 4096)):
+                x, n = unit_rows(part["v"]), part["n"].to_numpy(np.int64)
+                v, a = np.nonzero((x @ q.T >= COSINE) & (part["node"].to_numpy()[:, None] != ids[None]))
+                np.add.at(sums[:, 0], a, n[v])
+                for k, (overlap, c) in enumerate(centroids.items()):
+                    rows, at = np.unique(v, return_inverse=True)
+                    if len(rows):
+                        near = _nearest(x[rows], c, overlap)
+                        for i in range(0, len(a), 1 << 16):
+                            some = slice(i, i + (1 << 16))
+                            common = (near[at[some]][:, :, None] == homes[k][a[some]][:, None, :]).any(axis=(1, 2))
+                            np.add.at(sums[:, 1 + k], a[some][common], n[v[some][common]])
+        yield pd.DataFrame({"node": ids} | {name: sums[:, k] for k, name in enumerate(["truth", *names])})
 
-    rows = vectors.where(F.size("v") == dim).select("node", "v", "n").mapInPandas(count, "node long, truth long")
-    return rows.groupBy("node").agg(F.sum("truth").alias("truth")).toPandas()
+    rows = vectors.where(F.size("v") == dim).select("node", "v", "n").mapInPandas(count, ", ".join(f"{name} long" for name in ["node", "truth", *names]))
+    return rows.groupBy("node").agg(*(F.sum(name).alias(name) for name in ["truth", *names])).toPandas()
+
+
+def _recall(found, truth) -> float:
+    """Share of the audited links that were found."""
+    return float(np.sum(found) / np.sum(truth)) if np.sum(truth) else 1.0
 
 
 def find_links(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, float]:
     """Links of the classes whose vectors have `dim` parts, a spanning set of them, and the audited recall."""
     total = vectors.where(F.size("v") == dim).count()
-    truth = _audit(vectors, dim, total)
+    sample = _sample(vectors, dim, total)
+    centroids = {o: spherical_means(sample, max(1, -(-total * o // SHARD))) for o in OVERLAPS}
+    truth = _audit(vectors, dim, total, centroids)
+    asked = vectors.sparkSession.createDataFrame(truth[["node"]], "node long")
     for overlap in OVERLAPS:
-        direct, spanning = _links(vectors, dim, overlap, total)
-        got = direct.join(vectors.sparkSession.createDataFrame(truth, "node long, truth long"), "node").agg(F.sum("direct")).first()[0] or 0
-        recall = got / truth["truth"].sum() if len(truth) and truth["truth"].sum() else 1.0
+        if _recall(truth[f"share_{overlap}"], truth["truth"]) < RECALL:
+            continue
+        direct, spanning = _links(vectors, dim, overlap, centroids[overlap])
+        got = dict(direct.join(asked, "node").select("node", "direct").toPandas().itertuples(index=False))
+        recall = _recall(truth["node"].map(got).fillna(0), truth["truth"])
         if recall >= RECALL:
-            break
-    return direct, spanning, recall
+            return direct, spanning, recall
+    return *_exact(vectors, dim, total, sample), 1.0
 
 
 def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -333,7 +449,7 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Data
     smallest key that links reach. A row with a null key, or with a vector that is null,
     empty, zero or has null or non-finite parts, links with nothing. Rows that share a key
     are one vertex. Vectors of different lengths do not link. An empty table gives an
-    empty one. If the audit still misses its recall at the largest overlap, the last build stands.
+    empty one. If the audit misses its recall at every overlap, all pairs that can link are compared.
     """
     rows = materialize(marked(df, key, vector), "vectors")
     classes = rows.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("node").alias("node"), F.count("*").alias("n"))

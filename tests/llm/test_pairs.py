@@ -151,6 +151,19 @@ def test_flat_graph_against_brute_force(spark, monkeypatch):
     assert sum(got[i][1:] == want[i][1:] for i in ids) >= 0.99 * len(ids)
 
 
+def test_flat_graph_of_a_dense_group_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "SHARD", 40)  # the group's shards are more than the largest overlap
+    monkeypatch.setattr(flatgraph, "BLOCK", 300)
+    rnd = np.random.default_rng(6)
+    base, off = rnd.normal(size=64), rnd.normal(size=(700, 64))
+    group = base / np.linalg.norm(base) + 0.12 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([group, rnd.normal(size=(1400, 64)), group[:30]]).astype(np.float32)
+    ids = (rnd.permutation(len(x)) * 3).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in flatgraph.dedup(df).collect()}
+    assert got == _truth(ids, x)
+
+
 def test_flat_graph_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [-0.0, 1.0]), (12, [0.0, 1.0])]
