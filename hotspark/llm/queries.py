@@ -33,7 +33,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail(conversations: DataFrame) -> DataFrame:
     """The conversations as mail: each turn quotes the turn before it, and that one's predecessor one level deeper."""
-    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(F.min("text").alias("text"), quotes.role_of_least("text", "role"))
 
     def earlier(by: int, name: str) -> DataFrame:
         return turns.select("conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(name))
@@ -44,7 +44,7 @@ def mail(conversations: DataFrame) -> DataFrame:
     joined = turns.join(earlier(1, "one"), ["conv_id", "turn"], "left").join(earlier(2, "two"), ["conv_id", "turn"], "left")
     intro = F.when(F.col("one").isNotNull(), F.concat(F.lit("\n\nOn turn "), (F.col("turn") - 1).cast("string"), F.lit(" somebody wrote:"), quoted(F.col("one"), "> ")))
     deeper = F.when(F.col("one").isNotNull() & F.col("two").isNotNull(), quoted(F.col("two"), "> > "))
-    return joined.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.coalesce(intro, F.lit("")), F.coalesce(deeper, F.lit(""))).alias("body"))
+    return joined.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.coalesce(intro, F.lit("")), F.coalesce(deeper, F.lit(""))).alias("body"))
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "turn", F.sha2("own", 256).alias("own_sha256"), "n_quotes", "n_linked", "parent", "root", "depth")
 
 
+def op3_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = quotes.conversations(mail(table(spark, sf_dir, "conversations")), "conv_id", "turn", "body", "role")
+    return threads.select("conv_id", "root", "position", "turn", "role", "own", "parent", "depth")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 5, 0)
@@ -88,7 +93,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
+_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op3_reply_order, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
 
 
 def _register(fn):
@@ -122,5 +127,25 @@ SELECT p.conv_id, p.turn, sha256(regexp_replace(p.text, '^\s+|\s+$', '', 'g')) A
   CAST(p.one AND p.parent IS NOT NULL AS BIGINT) + CAST(p.two AND p.grand IS NOT NULL AS BIGINT) AS n_linked,
   p.parent, t.root, t.depth
 FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
+""",
+    "op3_reply_order": r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, min(text) AS text, first(role ORDER BY text NULLS LAST, role NULLS FIRST) AS role
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), n AS (
+  SELECT conv_id, turn, text, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS name FROM m
+), f AS (
+  SELECT conv_id, name, min(turn) AS ref FROM n WHERE name != '' GROUP BY conv_id, name
+), p AS (
+  SELECT a.conv_id, a.turn, a.text, a.role, g.ref AS parent
+  FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+  LEFT JOIN f g ON g.conv_id = a.conv_id AND g.name = b.name AND g.ref < a.turn
+), t AS (
+  SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth, [turn] AS path FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, t.root, t.depth + 1, list_append(t.path, p.turn) FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent = t.turn
+)
+SELECT p.conv_id, t.root, row_number() OVER (PARTITION BY p.conv_id, t.root ORDER BY t.path) - 1 AS position, p.turn, p.role,
+  coalesce(regexp_replace(p.text, '^\s+|\s+$', '', 'g'), '') AS own, p.parent, t.depth
+FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
 """,
 }

@@ -5,13 +5,15 @@ of one level. A message's own text is its passages of level 0 without the lines
 introduce a quote. Quoted passages are normalised and hashed and joined, within a
 mailbox, to the first message whose own text, or a paragraph of it, has that hash. The
 passage of the lowest level decides the parent. Roots and depths come from pointer
-doubling. Only DataFrame operations are used.
+doubling. Conversations are the own texts of a thread in reply order: a message, then each
+reply with all that answers it. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hotspark.operators.ranking import number_rows
 from hotspark.session import materialize
 
 #: A line that introduces a quote.
@@ -48,8 +50,8 @@ def parse(messages: DataFrame, body: str) -> DataFrame:
     return out.withColumn("own", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda s: s["text"]), "\n"), r"^\s+|\s+$", ""))).withColumn("quotes", quoted).drop("_lines", "_first", "_runs")
 
 
-def link(messages: DataFrame, box: str, number: str, body: str) -> DataFrame:
-    """One row for each message: box, number, own, n_quotes, n_linked, parent, root and depth.
+def link(messages: DataFrame, box: str, number: str, body: str, role: str | None = None) -> DataFrame:
+    """One row for each message: box, number, own, n_quotes, n_linked, parent, root and depth, after these the role if named.
 
     A message is known by mailbox and number; of rows that share both, the one with the
     smallest body counts. Rows without mailbox or number are left alone: no parent, root
@@ -57,8 +59,9 @@ def link(messages: DataFrame, box: str, number: str, body: str) -> DataFrame:
     Blank passages link to nothing, ties go to the first message with the passage. An
     empty table gives an empty one.
     """
-    rows = messages.select(F.col(box).alias("box"), F.col(number).alias("msg"), F.col(body).alias("body"))
-    keyed = rows.where(F.col("box").isNotNull() & F.col("msg").isNotNull()).groupBy("box", "msg").agg(F.min("body").alias("body"))
+    extra = ["role"] if role else []
+    rows = messages.select(F.col(box).alias("box"), F.col(number).alias("msg"), F.col(body).alias("body"), *(F.col(role).alias(e) for e in extra))
+    keyed = rows.where(F.col("box").isNotNull() & F.col("msg").isNotNull()).groupBy("box", "msg").agg(F.min("body").alias("body"), *(role_of_least("body", e) for e in extra))
     parsed = materialize(parse(keyed, "body").drop("body"), "parsed")
     whole = F.array(F.col("own"))
     pieces = F.array_union(whole, F.split("own", r"\n\s*\n"))
@@ -67,7 +70,7 @@ def link(messages: DataFrame, box: str, number: str, body: str) -> DataFrame:
     links = quoted.join(source, ["box", "name"]).where("ref < msg")
     parents = links.groupBy("box", "msg").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("near"), "ref"))["ref"].alias("parent"))
     state = parsed.join(parents, ["box", "msg"], "left").select(
-        "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent")
+        "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent", *extra)
     state = materialize(state, "linked")
     # a message is open while the top it knows of has a parent itself; only open ones jump, to the top of their top
     replies = state.where("parent is not null").select("box", F.col("msg").alias("top"), F.lit(True).alias("open"))
@@ -77,7 +80,41 @@ def link(messages: DataFrame, box: str, number: str, body: str) -> DataFrame:
         step = up.select("box", F.col("msg").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("open").alias("still"))
         moved = up.where("open").join(step, ["box", "top"]).select("box", "msg", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"))
         up = materialize(up.where(~F.col("open")).unionByName(moved), "up")
-    out = state.join(up.drop("open"), ["box", "msg"]).select("box", "msg", "own", "n_quotes", "n_linked", "parent", F.col("top").alias("root"), "depth")
+    out = state.join(up.drop("open"), ["box", "msg"]).select("box", "msg", "own", "n_quotes", "n_linked", "parent", F.col("top").alias("root"), "depth", *extra)
     alone = parse(rows.where(F.col("box").isNull() | F.col("msg").isNull()), "body").select(
-        "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast(rows.schema["msg"].dataType).alias("parent"), F.col("msg").alias("root"), F.lit(0).cast("long").alias("depth"))
-    return out.unionByName(alone).withColumnsRenamed({"box": box, "msg": number})
+        "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast(rows.schema["msg"].dataType).alias("parent"), F.col("msg").alias("root"), F.lit(0).cast("long").alias("depth"), *extra)
+    return out.unionByName(alone).withColumnsRenamed({"box": box, "msg": number} | ({"role": role} if role else {}))
+
+
+def role_of_least(body: str, role: str) -> Column:
+    """The role of the row with the smallest body, null bodies last, then of the smallest role."""
+    return F.min(F.struct(F.col(body).isNull().alias("none"), F.col(body).alias("body"), F.col(role).alias("role")))["role"].alias("role")
+
+
+def conversations(messages: DataFrame, box: str, number: str, body: str, role: str) -> DataFrame:
+    """What `link` returns, with `position`: the message's place in its thread, from 0.
+
+    Ordered by box, root and position, `role` and `own` are the conversation without quotes.
+    A message stands before its replies; replies to one message follow by number, each
+    with all that answers it. Rows without mailbox or number stand at 0.
+    """
+    rows = materialize(link(messages, box, number, body, role).withColumnsRenamed({box: "box", number: "msg"}), "threads")
+    known = rows.where(F.col("box").isNotNull() & F.col("msg").isNotNull()).select("box", "msg", "parent")
+    replies = number_rows(known.where(F.col("parent").isNotNull()), ["box", "parent", "msg"], "at")
+    replies = materialize(replies, "replies")
+    before = replies.select("box", "parent", (F.col("at") + 1).alias("at"), F.col("msg").alias("before"))
+    last = replies.groupBy("box", "parent").agg(F.max("msg").alias("last")).withColumnRenamed("parent", "msg")
+    known = known.join(replies.join(before, ["box", "parent", "at"], "left").select("box", "msg", "before"), ["box", "msg"], "left").join(last, ["box", "msg"], "left")
+    # a walk around each thread enters and leaves every message; each step names the step before it and the messages entered from there on
+    enter = known.select("box", "msg", F.lit(False).alias("left"), F.coalesce("before", "parent").alias("to"), F.col("before").isNotNull().alias("to_left"),
+                         F.when(F.col("parent").isNotNull() & F.col("before").isNull(), 1).otherwise(0).cast("long").alias("position"))
+    leave = known.select("box", "msg", F.lit(True).alias("left"), F.coalesce("last", "msg").alias("to"), F.col("last").isNotNull().alias("to_left"),
+                         F.when(F.col("last").isNull(), 1).otherwise(0).cast("long").alias("position"))
+    walk = materialize(enter.unionByName(leave), "walk")
+    while not walk.where("to is not null").isEmpty():
+        step = walk.select("box", F.col("msg").alias("to"), F.col("left").alias("to_left"), F.col("to").alias("next"), F.col("to_left").alias("next_left"), F.col("position").alias("more"))
+        moved = walk.where("to is not null").join(step, ["box", "to", "to_left"]).select(
+            "box", "msg", "left", F.col("next").alias("to"), F.col("next_left").alias("to_left"), (F.col("position") + F.col("more")).alias("position"))
+        walk = materialize(walk.where("to is null").unionByName(moved), "walk")
+    place = walk.where(~F.col("left")).select("box", "msg", "position")
+    return rows.join(place, ["box", "msg"], "left").withColumn("position", F.coalesce("position", F.lit(0)).cast("long")).withColumnsRenamed({"box": box, "msg": number})

@@ -180,6 +180,22 @@ def test_long_reply_chain(spark):
     assert got == {k: (k - 1 if k else None, 0, k) for k in range(70)}
 
 
+def test_conversations_in_reply_order(spark):
+    # 1 is answered by 2, 3 and 8; 2 by 4 and 6, 4 by 7, 3 by 5; 9 is another thread; a long chain in another box
+    parents = {1: None, 2: 1, 3: 1, 4: 2, 5: 3, 6: 2, 7: 4, 8: 1, 9: None}
+    rows = [("m", k, f"text {k}" + (f"\n> text {p}" if p else ""), "ab"[k % 2]) for k, p in parents.items()]
+    rows += [("n", k, f"text {k}" + (f"\n> text {k - 1}" if k else ""), "a") for k in range(40)] + [("m", None, "no number\n> text 1", "b"), ("m", 9, "text 99", None)]
+    df = spark.createDataFrame(rows, "box string, num int, body string, who string")
+    out = quotes.conversations(df, "box", "num", "body", "who").collect()
+    assert len(out) == len(rows) - 1
+    got = [(r.root, r.num, r.who, r.own) for r in sorted((r for r in out if r.box == "m" and r.num), key=lambda r: (r.root, r.position))]
+    assert got == [(9 if k == 9 else 1, k, "ab"[k % 2], f"text {k}") for k in (1, 2, 4, 7, 6, 3, 5, 8, 9)]
+    assert sorted(r.position for r in out if r.box == "m" and r.root == 1) == list(range(8))
+    assert all(r.position == r.num for r in out if r.box == "n")
+    assert [(r.who, r.own, r.position) for r in out if r.num is None] == [("b", "no number", 0)]
+    assert quotes.conversations(df.limit(0), "box", "num", "body", "who").count() == 0
+
+
 def test_conversations_come_back(spark, sf):
     out = queries.Q["op3_quotation_linking"](spark, sf).collect()
     texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
