@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hotspark.llm import bpe, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, winnow
+from hotspark.llm import bpe, codes, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, winnow
 from hotspark.llm.kernels import ready
 
 
@@ -93,7 +93,44 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op3_reply_order, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join]
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """The assignment rounds one after the other, every component against every entry."""
+    steps = [f"""v AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT vec_id, i // (len(ints) // {parts}) AS part, i % (len(ints) // {parts}) AS place, ints[i + 1] AS x
+  FROM (SELECT vec_id, ints, unnest(range(len(ints))) AS i FROM v)
+), b0 AS (
+  SELECT part, entry, place, x FROM c JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id)
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT vec_id, c.part, entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b{k} b ON b.part = c.part AND b.place = c.place GROUP BY ALL
+  ) GROUP BY vec_id, part
+)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS (
+  SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT a.part, a.entry, c.place, CAST((sum(c.x) - ((sum(c.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM a{k} a JOIN c ON c.vec_id = a.vec_id AND c.part = a.part GROUP BY ALL
+  ) m ON m.part = b.part AND m.entry = b.entry AND m.place = b.place
+)""")
+    return "WITH " + ", ".join(steps) + f""", o AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT o.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id), h
+"""
+
+
+_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op3_reply_order, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join, op12_vector_codes]
 
 
 def _register(fn):
@@ -148,4 +185,5 @@ SELECT p.conv_id, t.root, row_number() OVER (PARTITION BY p.conv_id, t.root ORDE
   coalesce(regexp_replace(p.text, '^\s+|\s+$', '', 'g'), '') AS own, p.parent, t.depth
 FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
 """,
+    "op12_vector_codes": _codes_sql(),
 }
