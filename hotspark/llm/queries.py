@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hotspark.llm import bpe, codes, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, winnow
+from hotspark.llm import bpe, codes, dualtree, flatgraph, ftrl, hmm, langid, layout, ngram_join, order, quotes, toxicity, winnow
 from hotspark.llm.kernels import ready
 
 
@@ -93,10 +93,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.classify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
     """The assignment rounds one after the other, every component against every entry."""
     steps = [f"""v AS (
@@ -130,7 +141,7 @@ SELECT o.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGIN
 """
 
 
-_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op3_reply_order, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join, op12_vector_codes]
+_QUERIES = [op1_language_id, op2_decontamination, op3_quotation_linking, op3_reply_order, op4_quality_classifier, op5_byte_bpe, op6_html_layout, op7_training_order, op8_flat_graph, op9_hmm_scoring, op10_ngram_join, op11_dual_tree_search, op12_vector_codes, op13_toxicity]
 
 
 def _register(fn):
@@ -186,4 +197,24 @@ SELECT p.conv_id, t.root, row_number() OVER (PARTITION BY p.conv_id, t.root ORDE
 FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
 """,
     "op12_vector_codes": _codes_sql(),
+    "op11_dual_tree_search": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), s AS (
+  SELECT count(*) AS n_all, CAST(sum(len(words)) AS BIGINT) AS l_all FROM d WHERE len(words) > 0
+), p AS (
+  SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(words) AS word FROM d) GROUP BY ALL
+), w AS (
+  SELECT word, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, s GROUP BY word, n_all
+), t AS (
+  SELECT q, item_id, word, count(*) AS c FROM (SELECT q, item_id, unnest(words) AS word FROM i) GROUP BY ALL
+), x AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(words) * n_all) // l_all)))) AS BIGINT) AS score
+  FROM t JOIN w USING (word) JOIN p USING (word) JOIN d USING (r), s GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 10
+""",
 }
