@@ -139,7 +139,7 @@ def _sums(blocks: DataFrame, book, parts: int) -> DataFrame:
 
 def _book_array(book: list[list[int]]) -> np.ndarray:
     wide = any(abs(v) >= WIDE for row in book for v in row)
-    return np.array(book, object if wide else np.int64).reshape(len(book), -1)
+    return np.array(book, object if wide else np.int64).reshape(len(book), len(book[0]) if book else 0)
 
 
 def digest(book: np.ndarray, parts: int) -> str:
@@ -149,13 +149,13 @@ def digest(book: np.ndarray, parts: int) -> str:
 
 
 def totals_by(df: DataFrame, key: str, value: str, total: str) -> DataFrame:
-    """Adds the sum of a column over equal keys, nulls together; rows of a hot key are not gathered.
+    """Adds the sum of a whole-number column over equal keys, nulls together; rows of a hot key are not gathered.
 
     A key with more than one row in HOT_SHARE is hot: fewer than HOT_SHARE such keys exist,
     so their totals are broadcast. The others meet theirs in a shuffle, none of them in
     more than that share of the rows.
     """
-    sums = materialize(df.groupBy(F.col(key).alias("_k")).agg(F.sum(value).alias(total), F.count("*").alias("_n")), "totals")
+    sums = materialize(df.groupBy(F.col(key).alias("_k")).agg(F.sum(F.col(value).cast("decimal(20,0)")).try_cast("long").alias(total), F.count("*").alias("_n")), "totals")
     rows = sums.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).collect()[0]["n"]
     marked = sums.select("_k", total, (F.col("_n") * HOT_SHARE > rows).alias("_hot"))
     hot = F.broadcast(marked.where("_hot"))
@@ -174,8 +174,8 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", labe
     ones. The codebook starts as the kept vectors with the smallest keys (nulls last,
     equal keys by components, repeated rows each), fewer than `entries` if fewer are kept.
     Repeated rows are coded each; null labels count as one label, and without a label
-    column all rows have one. An empty table gives an empty result. `error` is null if it
-    does not fit 64 bits, and is then left out of `label_error`.
+    column all rows have one. An empty table gives an empty result. A sum that does not fit
+    64 bits is null; a null `error` is left out of `label_error`.
     """
     named = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), (F.col(f"`{label}`") if label else F.lit(None).cast("int")).alias("label"))
     rows = named.where(finite(F.col("vector")))
