@@ -219,3 +219,16 @@ def straightened(points: np.ndarray) -> np.ndarray:
             drop[-1] = False
         points = points[~drop]
     return points[:0]
+
+
+def region_area(a: np.ndarray, b: np.ndarray, w: np.ndarray, corner: np.ndarray, size: int, operation: str) -> int:
+    """Twice the area of a result within the tile.
+
+    The boundary integral of x - size: level borders and the right border add nothing,
+    the left border counts with its length inside the result.
+    """
+    a, b, w = split(a, b, w, size)
+    left, right = windings(a, b, w, corner)
+    p, q = outline(a, b, left, right, operation)
+    around = ((p[:, 0] + q[:, 0] - 2 * size) * (q[:, 1] - p[:, 1])).sum()
+    return int(around) + 2 * size * border_length(a, w, corner, size, operation)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hotspark.functions import geom
-from hotspark.operators import overlay as O
+from hotspark.operators import overlay as O, predicates as P
 from hotspark.operators.tiles import box_pairs
 from hotspark.plans import standins as S
 
@@ -125,3 +125,47 @@ SQL["union_shapes"] = S.with_hs(
     S.BURNT, S.MASKS, _CELLS,
     "cells AS (SELECT DISTINCT CAST(date_trunc('week', firedate) AS DATE) AS k, cx, cy FROM bcell JOIN burnt USING (burnt_id))", _SHAPE_OF,
 )
+
+
+def event_match_polygons(spark, sf):
+    """Burnt areas against grown masks by their true shapes: shared area, shares and containment."""
+    a = P.edge_index(O.polygon_edges(burnt_shapes(spark, sf), ["burnt_id"], 0, F.col("ring"), F.col("holes")), "burnt_id", TILE)
+    b = P.edge_index(O.polygon_edges(_masks(spark, sf), ["mask_id"], 0, F.col("ring")), "mask_id", TILE)
+    r = P.relations(a, "burnt_id", b, "mask_id", TILE)
+    return r.select("burnt_id", "mask_id", F.round("area", 2).alias("area"), F.round("share_a", 6).alias("share_a"), F.round("share_b", 6).alias("share_b"), "a_within_b", "b_within_a")
+
+
+Q["event_match_polygons"] = event_match_polygons
+SQL["event_match_polygons"] = S.with_hs(
+    """SELECT burnt_id, mask_id, n * 36e4 AS area, round(n::DOUBLE / nb, 6) AS share_a, round(n::DOUBLE / 81, 6) AS share_b, n = nb AS a_within_b, n = 81 AS b_within_a
+  FROM (SELECT burnt_id, mask_id, count(*) AS n FROM bcell JOIN mcell USING (cx, cy) GROUP BY ALL)
+  JOIN (SELECT burnt_id, count(*) AS nb FROM bcell GROUP BY ALL) USING (burnt_id)""", S.BURNT, S.MASKS, _CELLS,
+)
+
+
+def commune_shapes(spark, sf) -> DataFrame:
+    """Communes as stripes whose northern half starts a quarter of the way east, with a hole further on."""
+    c = S.communes(spark, sf)
+    x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
+    w = F.floor((x1 - x0) / 7200.0) * 1800.0
+
+    def p(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    ring = F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0 + w, y1), p(x0 + w, y0 + 3600.0), p(x0, y0 + 3600.0))
+    hole = F.array(_square(x0 + 2 * w, y0 + 1800.0, x0 + 2 * w + 3600.0, y0 + 5400.0))
+    return c.select("commune_id", "name", ring.alias("ring"), hole.alias("holes"))
+
+
+def commune_join_polygons(spark, sf):
+    """The communes, as polygons with holes, around every hotspot."""
+    index = P.edge_index(O.polygon_edges(commune_shapes(spark, sf), ["commune_id"], 0, F.col("ring"), F.col("holes")), "commune_id", TILE)
+    return P.points_in_polygons(S.hotspots(spark, sf).select("hs_id", "x", "y"), index, TILE).select("hs_id", "commune_id")
+
+
+Q["commune_join_polygons"] = commune_join_polygons
+SQL["commune_join_polygons"] = S.with_hs(
+    """SELECT hs_id, commune_id FROM (SELECT hs_id, x, y, commune_id, y0, y1, a, a + w AS b, a + 2*w AS c FROM hs JOIN communes ON y > y0 AND y < y1,
+    (SELECT min(x) - 9e2 AS a, floor((max(x) - min(x) + 1.8e3)/7.2e3)*1.8e3 AS w FROM hs))
+  WHERE (x > b OR y < y0 + 3.6e3) AND NOT (x > c AND x < c + 3.6e3 AND y > y0 + 1.8e3 AND y < y0 + 5.4e3)""", S.COMMUNES,
+)

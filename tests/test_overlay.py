@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hotspark.functions import arrangement as A, kernels
-from hotspark.operators import overlay as O
+from hotspark.operators import overlay as O, predicates as P
 
 SHAPE = "id long, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"
 
@@ -123,3 +123,52 @@ def test_squares_with_shared_borders_and_holes(spark):
 def test_shapes_that_touch_in_a_corner_stay_apart(spark):
     e = edges(spark, [(1, square(0.0, 0.0, 10.0, 10.0), None), (2, square(10.0, 10.0, 20.0, 20.0), None)], [], 0)
     assert sorted(r["area"] for r in O.overlay(e, [], ["any"], 1000.0).collect()) == [100.0, 100.0]
+
+
+def test_relations_of_polygons(spark):
+    rng = np.random.default_rng(12)
+    a, b = shapes(rng, 30, 9000), shapes(rng, 12, 9000)
+    b += [(50, square(-4000.0, -4000.0, 14000.0, 14000.0), [square(3000.0, 3000.0, 6500.0, 6500.0)])]
+    ia = P.edge_index(edges(spark, a, ["a"], 0, a=F.col("id")), "a", 500.0)
+    ib = P.edge_index(edges(spark, b, ["b"], 0, b=F.col("id")), "b", 500.0)
+    assert ib.where("b = 50 and size(pieces) = 0").count() > 500
+    got = {(r["a"], r["b"]): r for r in P.relations(ia, "a", ib, "b", 500.0).collect()}
+    for i, j in ((x, y) for x in a for y in b):
+        met, own = kernels.overlap_area(rings_of(i), rings_of(j)), kernels.overlap_area(rings_of(i), rings_of(i))
+        r = got.get((i[0], j[0]))
+        assert (r["area"] if r else 0.0) == pytest.approx(met, abs=40)
+        if r:
+            assert r["share_a"] == pytest.approx(met / own, abs=1e-3)
+            assert r["a_within_b"] == (abs(met - own) < 1e-6 * own)
+    assert any(r["a_within_b"] for r in got.values()) and not all(r["a_within_b"] for (_, j), r in got.items() if j == 50)
+
+
+def test_a_ring_of_many_corners_is_spread_over_tiles(spark):
+    n = 200_000
+    t, u = (F.col("id") * (2 * np.pi / n), ((F.col("id") + 1) % n) * (2 * np.pi / n))
+    r = 100_000.0
+    ring = spark.range(n).select(F.lit(1).alias("k"), F.lit(0).alias("layer"), (F.cos(t) * r).alias("x0"), (F.sin(t) * r).alias("y0"), (F.cos(u) * r).alias("x1"), (F.sin(u) * r).alias("y1"))
+    index = P.edge_index(ring, "k", 5000.0)
+    assert index.agg(F.max(F.size("pieces"))).collect()[0][0] < 5000
+    assert P.areas(index, "k", 5000.0).collect()[0]["area"] == pytest.approx(np.pi * r * r, rel=1e-6)
+    points = spark.range(20_000).select("id", (F.rand(3) * 240_000 - 120_000).alias("x"), (F.rand(4) * 240_000 - 120_000).alias("y"))
+    rows = spark.createDataFrame(points.toPandas())
+    inside = {x["id"] for x in P.points_in_polygons(rows, index, 5000.0).collect()}
+    for x in rows.collect():
+        d = np.hypot(x["x"], x["y"])
+        if abs(d - r) > 1:
+            assert (x["id"] in inside) == (d < r)
+
+
+def test_points_in_random_polygons(spark):
+    rng = np.random.default_rng(21)
+    rows = shapes(rng, 20, 6000)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2000, 8000, (500, 2)))] + [(900, None, 1.0)]
+    index = P.edge_index(edges(spark, rows, ["k"], 0, k=F.col("id")), "k", 800.0)
+    got = {(r["p"], r["k"]) for r in P.points_in_polygons(spark.createDataFrame(points, "p long, x double, y double"), index, 800.0).collect()}
+    want = set()
+    for s in rows:
+        rings = [kernels.inside(np.array([p[1:] for p in points[:-1]]), kernels._segments([r])) for r in rings_of(s)]
+        for k in np.flatnonzero(rings[0] & ~(rings[1] if len(rings) > 1 else False)):
+            want.add((int(k), s[0]))
+    assert got == want
