@@ -62,3 +62,25 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     clear = rows.where(~maybe)
     near = rows.where(maybe).alias("l").join(gone.drop(h).alias("r"), same, "left_anti")
     return clear.unionByName(near).drop(h)
+
+
+#: A key with more than one row in this many is hot; so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_groups(df: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """Rows of df with the columns of their group; keys are unique in `groups`, null keys meet, and no hot group is gathered.
+
+    `groups` has a row for every key of df, and `n`, the rows of each. Groups with more
+    than one row in HOT_SHARE are fewer than that and are broadcast; the rows of the
+    others are shuffled. The column `n` is dropped.
+    """
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).collect()[0]["n"]
+    named = groups.withColumnRenamed(key, "_key").withColumn("_hot", F.col(n) * HOT_SHARE > total).drop(n)
+    values = [c for c in named.columns if c not in ("_key", "_hot")]
+    hot = F.broadcast(named.where("_hot"))
+    near = df.join(hot, df[key].eqNullSafe(hot["_key"]), "left")
+    done = near.where(F.col("_hot")).drop("_key", "_hot")
+    rest = near.where(F.col("_hot").isNull()).drop("_key", "_hot", *values)
+    cold = named.where(~F.col("_hot")).drop("_hot")
+    return done.unionByName(rest.join(cold, rest[key].eqNullSafe(cold["_key"])).drop("_key"))

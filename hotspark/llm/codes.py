@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from hotspark.llm.bits import join_groups
 from hotspark.session import materialize
 
 PARTS = 4
@@ -28,8 +29,6 @@ BLOCK_VALUES = 1 << 19
 STEP_ROWS = 1024
 #: Above this magnitude sums of squares may not fit 64 bits: such a block is worked out with Python's integers.
 WIDE = 1 << 26
-#: A label with more than one row in this many is hot; so there are fewer hot labels than this.
-HOT_SHARE = 1000
 
 _BLOCK = T.StructType([
     T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
@@ -149,21 +148,9 @@ def digest(book: np.ndarray, parts: int) -> str:
 
 
 def totals_by(df: DataFrame, key: str, value: str, total: str) -> DataFrame:
-    """Adds the sum of a whole-number column over equal keys, nulls together; rows of a hot key are not gathered.
-
-    A key with more than one row in HOT_SHARE is hot: fewer than HOT_SHARE such keys exist,
-    so their totals are broadcast. The others meet theirs in a shuffle, none of them in
-    more than that share of the rows.
-    """
-    sums = materialize(df.groupBy(F.col(key).alias("_k")).agg(F.sum(F.col(value).cast("decimal(20,0)")).try_cast("long").alias(total), F.count("*").alias("_n")), "totals")
-    rows = sums.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).collect()[0]["n"]
-    marked = sums.select("_k", total, (F.col("_n") * HOT_SHARE > rows).alias("_hot"))
-    hot = F.broadcast(marked.where("_hot"))
-    cold = marked.where(~F.col("_hot")).drop("_hot")
-    near = df.join(hot, df[key].eqNullSafe(hot["_k"]), "left")
-    done = near.where(F.col("_hot")).drop("_k", "_hot")
-    rest = near.where(F.col("_hot").isNull()).drop("_k", "_hot", total)
-    return done.unionByName(rest.join(cold, rest[key].eqNullSafe(cold["_k"])).drop("_k"))
+    """Adds the sum of a whole-number column over equal keys, nulls together; rows of a hot key are not gathered."""
+    sums = df.groupBy(key).agg(F.sum(F.col(value).cast("decimal(20,0)")).try_cast("long").alias(total), F.count("*").alias("_n"))
+    return join_groups(df, materialize(sums, "totals"), key, "_n")
 
 
 def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str | None = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:

@@ -7,6 +7,7 @@ apart, list items are marked and indented, table cells are aligned in columns.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -44,16 +45,19 @@ IMPLIED = {
     "tr": (frozenset(["tr", "caption", "colgroup"]), frozenset(["table"])),
     **{s: (SECTIONS | {"caption", "colgroup"}, frozenset(["table"])) for s in SECTIONS},
 }
-#: Widest column that is filled up with spaces; longer cells stand out.
-PAD = 48
-MAX_SPAN = 1000
+#: Widest column, and last place of a line, that cells are aligned to; what is longer stands out.
+PAD, WIDE = 240, 4000
+#: As browsers have them: columns and rows that a cell covers at most.
+MAX_ACROSS, MAX_DOWN = 1000, 65534
 #: Elements that nest; deeper ones stand beside each other, as in browsers. Their text stays.
 MAX_DEPTH = 512
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 _ATTR = re.compile(r"[\s/]*+([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++))?)?|[\s/]*+=")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+#: The value of a property in a style; the last one counts.
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
 _OFF = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -123,46 +127,58 @@ class _Page:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list] = []  # of cells: (lines, span)
+        self.rows: list[list] = []  # of cells: (column, columns covered, lines)
         self.open_row = False
-        self.hanging: dict[int, int] = {}  # column -> rows that a cell above still covers
+        self.hanging: dict[int, int] = {}  # column -> last row that a cell above covers
+        self.at = 0
 
     def start_row(self) -> None:
+        self.at = 0
         self.rows.append([])
         self.open_row = True
 
     def add(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.start_row()
-        row = self.rows[-1]
-        at = sum(span for _, span in row)
-        while self.hanging.get(at, 0):
-            row.append(([], 1))
-            self.hanging[at] -= 1
-            at += 1
+        while self.hanging.get(self.at, 0) >= len(self.rows):
+            self.at += 1
         if down > 1:
             for k in range(across):
-                self.hanging[at + k] = down - 1
-        row.append((lines, across))
+                self.hanging[self.at + k] = len(self.rows) + down - 1
+        self.rows[-1].append((self.at, across, lines))
+        self.at += across
 
     def layout(self) -> list[str]:
-        widths: dict[int, int] = {}
+        columns = sorted({at for row in self.rows for at, _, _ in row})
+        order = {c: k for k, c in enumerate(columns)}
+        widths = [0] * len(columns)
+        wide = []
         for row in self.rows:
-            at = 0
-            for lines, span in row:
-                if span == 1:
-                    widths[at] = max(widths.get(at, 0), min(PAD, max(map(len, lines), default=0)))
-                at += span
+            for at, across, lines in row:
+                length = min(PAD, max(map(len, lines), default=0))
+                end = bisect.bisect_left(columns, at + across)
+                if end <= order[at] + 1:
+                    widths[order[at]] = max(widths[order[at]], length)
+                else:
+                    wide.append((order[at], end, length))
+        # a cell that covers columns too narrow for it widens the last of them
+        for first, end, length in wide:
+            spare = length - sum(widths[first:end]) - 2 * (end - first - 1)
+            if spare > 0:
+                widths[end - 1] += spare
+        places, at = [], 0
+        for width in widths:
+            places.append(min(at, WIDE))
+            at += width + 2
         out = []
         for row in self.rows:
-            height = max((len(lines) for lines, _ in row), default=0)
-            for k in range(height):
-                parts, at = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(at + c, 0) + 2 for c in range(span)) - 2
-                    parts.append((lines[k] if k < len(lines) else "").ljust(min(width, PAD * 4)))
-                    at += span
-                out.append("  ".join(parts).rstrip(" "))
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for at, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        place = places[order[at]]
+                        line = (line.ljust(place) if len(line) + 2 <= place or not line else line + "  ") + lines[k]
+                out.append(line.rstrip(" "))
         return out
 
 
@@ -183,6 +199,7 @@ class Renderer:
         self.captions = 0
         self.lists: list[int | None] = []
         self.hidden = 0
+        self.seen = [True]  # whether text shows, for the page and each open element
         self.keep = 0
 
     def open(self, tag: str, attrs: dict[str, str]) -> None:
@@ -199,7 +216,7 @@ class Renderer:
             self.open("tr", {})
         page = self.pages[-1]
         if tag in VOID:
-            if self.hidden:
+            if self.hidden or not self.seen[-1]:
                 return
             if tag == "br":
                 page.end(1, force=not page.line)
@@ -211,7 +228,12 @@ class Renderer:
         while len(names) >= MAX_DEPTH:
             self._leave()
         count[tag] += 1
-        gone = tag in HIDDEN or "hidden" in attrs or ("style" in attrs and _GONE.search(html.unescape(attrs["style"])) is not None) or (tag == "dialog" and "open" not in attrs)
+        style = html.unescape(attrs["style"]) if "style" in attrs else ""
+        shown = _DISPLAY.findall(style) if style else []
+        gone = tag in HIDDEN or "hidden" in attrs or bool(shown and shown[-1].lower() == "none") or (tag == "dialog" and "open" not in attrs)
+        # an element may be visible within one that is not
+        visible = _VISIBILITY.findall(style) if style else []
+        self.seen.append(visible[-1].lower() == "visible" if visible and visible[-1].lower() in ("visible", "hidden", "collapse") else self.seen[-1])
         if gone or self.hidden:
             self.hidden += 1
             names.append((tag, "hidden"))
@@ -224,7 +246,7 @@ class Renderer:
             self.tables[-1].start_row()
             names.append((tag, "row"))
         elif tag in ("td", "th") and self.tables:
-            self.cells.append(_Cell(page, _span(attrs.get("colspan")), _span(attrs.get("rowspan"))))
+            self.cells.append(_Cell(page, _span(attrs.get("colspan"), MAX_ACROSS), _span(attrs.get("rowspan"), MAX_DOWN)))
             self.pages.append(_Page())
             names.append((tag, "cell"))
         elif tag in LISTS:
@@ -273,7 +295,7 @@ class Renderer:
     def text(self, s: str) -> None:
         if self.count["head"] and self.stack[-1][0] == "head" and s.strip():
             self.close("head")
-        if self.hidden or not s:
+        if self.hidden or not s or not self.seen[-1]:
             return
         if self.tables and self.stack and self.stack[-1][1] in ("table", "row") or self.stack and self.stack[-1][0] in SECTIONS and self.tables:
             if not s.strip():
@@ -297,6 +319,7 @@ class Renderer:
     def _leave(self) -> None:
         tag, way = self.stack.pop()
         self.count[tag] -= 1
+        self.seen.pop()
         page = self.pages[-1]
         if way == "hidden":
             self.hidden -= 1
@@ -330,8 +353,8 @@ class Renderer:
         return "\n".join(self.pages[0].finish())
 
 
-def _span(value: str | None) -> int:
-    return max(1, min(MAX_SPAN, _number(value, 1)))
+def _span(value: str | None, most: int) -> int:
+    return max(1, min(most, _number(value, 1)))
 
 
 def _number(value: str | None, other: int) -> int:

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from hotspark.llm.bits import bitmap, member
+from hotspark.llm.bits import bitmap, join_groups, member
 from hotspark.llm.components import components
 from hotspark.llm.kernels import LOWER, UNSPACED, buffers, byte_values, list_array, run_hashes, signed, span_hashes, steps, word_spans
 from hotspark.session import materialize
@@ -262,8 +262,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     linked = components(stars.union(rest), "x", "y")
     named = sets.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = materialize(named.join(lowest, "root").select("sid", "component_id"), "named")
+    lowest = materialize(named.groupBy("root").agg(F.min("key").alias("component_id"), F.count("*").alias("_members")), "lowest")
+    named = materialize(join_groups(named, lowest, "root", "_members").select("sid", "component_id"), "named")
     out = rows.join(named, "sid", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from hotspark.llm.bits import bitmap, member
 from hotspark.llm.kernels import ALNUM, LOWER, buffers, byte_values, list_array, map_texts, run_hashes, signed, span_hashes, steps, within_rows, word_spans
@@ -150,11 +150,13 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
     found = found.join(prints, ["_n", "fp"], "left_semi")
     found = found.select("_row", "_n", F.explode("windows").alias("w")).select("_row", "_n", "w.start", "w.a", "w.b")
     found = materialize(found.join(windows, ["_n", "a", "b"]).select("_row", "start", (F.col("start") + F.col("_n").cast("int")).alias("stop"), "set"), "hits")
-    spans = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s")).select("_row", F.expr("""
-        aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (done, x) ->
-            if(size(done) > 0 and element_at(done, -1).stop >= x.start,
-               concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, x.stop)))),
-               concat(done, array(x))))""").alias("spans"))
+    # a hit that starts beyond the furthest end so far begins a new span
+    order = Window.partitionBy("_row").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.select("_row", "start", "stop", F.when(before >= F.col("start"), 0).otherwise(1).alias("new"))
+    numbered = opened.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("_row", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     names = found.select("_row", "set").distinct().join(sets, "set").groupBy("_row").agg(F.array_sort(F.collect_set("_item")).alias("items"))
     out = read.select("_row", *(F.col(f"`{c}`") for c in columns), F.col("_words").alias("n_words")).join(spans, "_row", "left").join(names, "_row", "left")
     return out.select(

@@ -68,6 +68,43 @@ def test_layout_of_a_page():
     ]
 
 
+def test_cells_stand_where_a_plain_grid_puts_them():
+    """Cells that cover several rows and columns, against an occupied-cells grid."""
+    rng = random.Random(8)
+    for _ in range(300):
+        taken, html_, want, n = {}, "<table>", [], 0
+        for r in range(rng.randrange(1, 6)):
+            html_ += "<tr>"
+            at = 0
+            for _ in range(rng.randrange(1, 5)):
+                across, down = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])
+                while taken.get((r, at)):
+                    at += 1
+                for a in range(across):
+                    for d in range(1, down):
+                        taken[r + d, at + a] = True
+                name = f"c{n}" + "x" * rng.randrange(9)
+                html_ += f"<td colspan={across} rowspan={down}>{name}"
+                want.append((r, at, name))
+                at, n = at + across, n + 1
+        lines = layout.render(html_ + "</table>").split("\n")
+        place = {}
+        for r, at, name in want:
+            assert lines[r].split().count(name) == 1
+            assert place.setdefault(at, lines[r].index(name)) == lines[r].index(name), (html_, lines)
+        order = [place[c] for c in sorted(place)]
+        assert order == sorted(set(order))
+
+
+def test_layout_of_wide_cells_and_visibility():
+    wide = "y" * 60
+    assert layout.render(f"<table><tr><td>{wide}<td>q<tr><td>a<td>b</table>").split("\n") == [f"{wide}  q", "a" + " " * 61 + "b"]
+    assert layout.render("<table><tr><td>A<td rowspan=2>B<tr><td>C<tr><td>D<td>E</table>").split("\n") == ["A  B", "C", "D  E"]
+    assert layout.render("<table><tr><td rowspan=70000>A<td>B" + "<tr><td>C" * 2000 + "</table>").split("\n") == ["A  B"] + ["   C"] * 2000
+    assert layout.render("<div style='visibility:hidden'>x <p style='visibility: visible'>y<b style='visibility:collapse'>n</b></p> w</div>z") == "y\n\nz"
+    assert layout.render("<p style='display:none'><b style='visibility:visible'>x</b></p><p style='display:none; display:block'>y") == "y"
+
+
 class _Visible(HTMLParser):
     """Words of a page outside script, style and head."""
 

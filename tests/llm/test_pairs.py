@@ -104,6 +104,16 @@ def test_contamination_with_short_equal_and_odd_items(spark):
     assert winnow.find(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_contamination_of_many_spans_in_one_text(spark):
+    """The spans of one text are merged in linear time: a one-word item, met at every second word."""
+    d = spark.createDataFrame([(1, "the cat " * 150_000), (2, "the the cat the"), (3, "cat")], "doc_id long, text string")
+    found = winnow.find(d, spark.createDataFrame([(1, "the"), (2, "the cat the")], "item_id long, text string"))
+    got = {r.doc_id: r for r in winnow.judge(found).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[2].n_hit, got[3].n_hit) == (300_000, 299_999, 2, 4, 0)
+    lone = winnow.find(d, spark.createDataFrame([(1, "the")], "item_id long, text string")).where("doc_id = 1").selectExpr("size(spans) as n", "spans[0] as a", "spans[149999] as b").collect()[0]
+    assert (lone.n, tuple(lone.a), tuple(lone.b)) == (150_000, (0, 1), (299_998, 299_999))
+
+
 def test_contamination_of_repeated_rows(spark):
     item = " ".join(f"q{k}" for k in range(20))
     d = spark.createDataFrame([(1, item), (1, item), (None, item), (None, "q1 q2")], "doc_id long, text string")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import brute
-from hotspark.llm import codes, dualtree, queries, toxicity
+from hotspark.llm import bits, codes, dualtree, queries, toxicity
 
 DOCS = "doc_id long, text string, score long, rank string, words string, n int, item long"
 ITEMS = "item_id long, text string, doc_id long, doc string"
@@ -118,7 +118,7 @@ def vectors(n, dims, scale=0.2):
 @pytest.mark.parametrize("rows, block", [(vectors(300, 8), 1 << 19), (vectors(300, 8), 100), (vectors(60, 4, 1e6), 64), (vectors(40, 4, 1e12), 1 << 19)])
 def test_codes_are_those_of_the_plain_rounds(spark, rows, block, monkeypatch):
     monkeypatch.setattr(codes, "BLOCK_VALUES", block)
-    monkeypatch.setattr(codes, "HOT_SHARE", 3)
+    monkeypatch.setattr(bits, "HOT_SHARE", 3)
     bad = [(900, None, 1), (901, [None] * len(rows[0][1]), 1), (902, [float("nan")] * len(rows[0][1]), 1), (903, [float("inf")] * len(rows[0][1]), 7), (904, [1.0, 2.0, 3.0], 1), (905, [], 1)]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows + bad], "vec_id long, embedding array<double>, label int, error int, code string").repartition(4)
     got = codes.compress(df, parts=2, entries=7, rounds=3)
