@@ -1,9 +1,11 @@
 """Quotation linking: conversations from messages that quote each other.
 
 A line's quote level is the number of `>` marks before it; a passage is a run of lines
-of one level. A message's own text is its passages of level 0 without the lines that
-introduce a quote. Quoted passages are normalised and hashed and joined, within a
-mailbox, to the first message whose own text, or a paragraph of it, has that hash. The
+of one level. A message's own text is its passages of level 0 without a line that
+introduces the quote after it. Quoted passages are normalised and hashed and joined,
+within a mailbox, to the first message whose own text, or a paragraph of it, has that
+hash. A passage that is only a part of a message is joined by its paragraphs, and if
+none is found by its lines and sentences, to the message that holds most of it. The
 passage of the lowest level decides the parent. Roots and depths come from pointer
 doubling. Conversations are the own texts of a thread in reply order: a message, then each
 reply with all that answers it. Only DataFrame operations are used.
@@ -19,6 +21,8 @@ from hotspark.session import materialize
 #: A line that introduces a quote.
 INTRO = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 _MARKS = r"^(\s*>)+"
+#: Letters that a line or sentence has at least to tell which message it is from.
+PIECE_CHARS = 12
 
 
 def normal(text: Column) -> Column:
@@ -45,9 +49,13 @@ def parse(messages: DataFrame, body: str) -> DataFrame:
     out = out.withColumn("_runs", F.transform("_first", lambda i, k: F.struct(
         F.element_at("_lines", i)["level"].alias("level"),
         F.slice("_lines", i, F.coalesce(F.get("_first", k + 1), F.size("_lines") + 1) - i).alias("lines"))))
-    own = F.flatten(F.transform(F.filter("_runs", lambda r: r["level"] == 0), lambda r: F.filter(r["lines"], lambda s: ~s["text"].rlike(INTRO))))
+    # the last line with text before a quote goes if it introduces it
+    at = F.transform("_runs", lambda r: F.array_max(F.transform(r["lines"], lambda t, i: F.when(t["text"].rlike(r"\S"), i).otherwise(-1))))
+    out = out.withColumn("_last", at)
+    own = F.flatten(F.filter(F.transform("_runs", lambda r, k: F.when(r["level"] == 0, F.filter(
+        r["lines"], lambda t, i: ~((k < F.size("_runs") - 1) & (i == F.get("_last", k)) & t["text"].rlike(INTRO))))), lambda ls: ls.isNotNull()))
     quoted = F.transform(F.filter("_runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), F.array_join(F.transform(r["lines"], lambda s: s["text"]), "\n").alias("text")))
-    return out.withColumn("own", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda s: s["text"]), "\n"), r"^\s+|\s+$", ""))).withColumn("quotes", quoted).drop("_lines", "_first", "_runs")
+    return out.withColumn("own", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda s: s["text"]), "\n"), r"^\s+|\s+$", ""))).withColumn("quotes", quoted).drop("_lines", "_first", "_runs", "_last")
 
 
 def link(messages: DataFrame, box: str, number: str, body: str, role: str | None = None) -> DataFrame:
@@ -56,18 +64,46 @@ def link(messages: DataFrame, box: str, number: str, body: str, role: str | None
     A message is known by mailbox and number; of rows that share both, the one with the
     smallest body counts. Rows without mailbox or number are left alone: no parent, root
     the message itself, depth 0. Parents are earlier messages, so there are no cycles.
-    Blank passages link to nothing, ties go to the first message with the passage. An
-    empty table gives an empty one.
+    Blank passages link to nothing, ties go to the first message with the passage; a part
+    of a message links if it has a whole paragraph of it, or a line or sentence of
+    PIECE_CHARS letters or more. An empty table gives an empty one.
     """
     extra = ["role"] if role else []
     rows = messages.select(F.col(box).alias("box"), F.col(number).alias("msg"), F.col(body).alias("body"), *(F.col(role).alias(e) for e in extra))
     keyed = rows.where(F.col("box").isNotNull() & F.col("msg").isNotNull()).groupBy("box", "msg").agg(F.min("body").alias("body"), *(role_of_least("body", e) for e in extra))
     parsed = materialize(parse(keyed, "body").drop("body"), "parsed")
-    whole = F.array(F.col("own"))
-    pieces = F.array_union(whole, F.split("own", r"\n\s*\n"))
-    source = parsed.select("box", "msg", F.explode(F.filter(pieces, lambda p: normal(p) != "")).alias("p")).groupBy("box", _name(F.col("p")).alias("name")).agg(F.min("msg").alias("ref"))
-    quoted = parsed.select("box", "msg", F.explode("quotes").alias("q")).where(normal(F.col("q.text")) != "").select("box", "msg", F.col("q.level").alias("level"), _name(F.col("q.text")).alias("name"))
-    links = quoted.join(source, ["box", "name"]).where("ref < msg")
+    def named(df, pieces, *columns):
+        """The pieces of each row by their hash, with their lengths."""
+        one = df.select(*columns, F.explode(pieces).alias("p")).where(normal(F.col("p")) != "")
+        return one.select(*columns, _name(F.col("p")).alias("name"), F.length(normal(F.col("p"))).alias("chars"))
+
+    def paragraphs(text):
+        return F.split(text, r"\n\s*\n")
+
+    def parts(text):
+        """Lines, and sentences across lines, that are long enough."""
+        sentences = F.flatten(F.transform(paragraphs(text), lambda p: F.split(normal(p), r"(?<=[.!?])\s+")))
+        return F.filter(F.array_union(F.transform(F.split(text, "\n"), normal), sentences), lambda p: F.length(p) >= PIECE_CHARS)
+
+    def first(pieces):
+        return named(parsed, pieces, "box", "msg").groupBy("box", "name").agg(F.min("msg").alias("ref"))
+
+    own = F.col("own")
+    source = first(F.array_union(F.array(own), paragraphs(own)))
+    quoted = parsed.select("box", "msg", F.posexplode("quotes").alias("at", "q")).where(normal(F.col("q.text")) != "").select("box", "msg", "at", F.col("q.level").alias("level"), F.col("q.text").alias("text"))
+    passage = ["box", "msg", "at", "level"]
+    whole = quoted.select(*passage, _name(F.col("text")).alias("name")).join(source, ["box", "name"]).where("ref < msg").select(*passage, "ref")
+    links = materialize(whole, "links")
+    # passages that are no whole text or paragraph: by what they are made of
+    for pieces, held in ((paragraphs(F.col("text")), source), (parts(F.col("text")), None)):
+        rest = materialize(quoted.join(links, ["box", "msg", "at"], "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        met = named(rest, pieces, *passage).join(held if held is not None else first(parts(own)), ["box", "name"]).where("ref < msg")
+        held_by = met.groupBy(*passage, "ref").agg(F.sum("chars").alias("chars"))
+        # the message that holds most of it, of equal ones the first
+        best = held_by.groupBy(*passage).agg(F.min_by("ref", F.struct((-F.col("chars")).alias("c"), F.col("ref").alias("r"))).alias("ref"))
+        links = links.unionByName(materialize(best, "part-links"))
     parents = links.groupBy("box", "msg").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("near"), "ref"))["ref"].alias("parent"))
     state = parsed.join(parents, ["box", "msg"], "left").select(
         "box", "msg", "own", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent", *extra)

@@ -241,6 +241,25 @@ def test_conversations_come_back(spark, sf):
     assert all(r.parent == (r.turn - 1 if r.turn else None) and r.depth == r.turn for r in out if len({texts[r.conv_id, k] for k in range(r.turn + 1)}) == r.turn + 1)
 
 
+def test_parts_of_messages_link(spark):
+    first = "Alpha beta gamma delta one. Second sentence of it is here.\n\nThe middle paragraph stands alone\nwith a second line to it\n\nLast words of the first."
+    other = "On Monday Ann wrote:\na letter to me.\n\nUnrelated text of some length"
+    rows = [
+        (1, 1, first), (1, 2, other),
+        (1, 3, "two of three paragraphs\n\nOn 1 May Ann wrote:\n> The middle paragraph stands alone\n> with a second line to it\n>\n> Last words of the first."),
+        (1, 4, "half a paragraph, wrapped anew\n> Second sentence\n> of it is here."),
+        (1, 5, "a line\n> with a second line to it"),
+        (1, 6, "too short\n> words"),
+        (1, 7, "of two messages the one that holds more\n> Second sentence of it is here.\n> Unrelated text of some length"),
+        (2, 8, "another box\n> with a second line to it"),
+    ]
+    got = {r.msg: r for r in quotes.link(spark.createDataFrame(rows, "box int, msg int, body string"), "box", "msg", "body").collect()}
+    assert {m: (r.n_quotes, r.n_linked, r.parent) for m, r in got.items()} == {
+        1: (0, 0, None), 2: (0, 0, None), 3: (1, 1, 1), 4: (1, 1, 1), 5: (1, 1, 1), 6: (1, 0, None), 7: (1, 1, 1), 8: (1, 0, None)}
+    # an introduction goes only before the quote that it introduces
+    assert got[2].own == other and got[3].own == "two of three paragraphs"
+
+
 def test_no_python_in_quotation_linking(spark, sf):
     df = queries.Q["op3_quotation_linking"](spark, sf)
     plan = df._jdf.queryExecution().toString()
