@@ -7,90 +7,107 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hotspark.operators.episodes import micros
 from hotspark.session import materialize
 
+#: Most time ranges that both sides are cut into; the borders are a list of as many numbers.
+MOST_PARTS = 4096
+_LAST = (1 << 63) - 1
 
-def _spans(right: DataFrame, ts: str, keys: list[str], width: int, payload: list[str]) -> DataFrame:
-    """Validity span [_from, _to) of each right row, one row per time bucket it reaches.
 
-    The next time is found inside the bucket, or is the first time of the next used
-    bucket; the window over buckets sees one row per bucket. A span that crosses
-    empty buckets is repeated for each of them.
+def _borders(times: DataFrame, parts: int) -> list[int]:
+    """Times that cut all rows into `parts` equal ranges; a time that fills several ranges stands there several times."""
+    cuts = F.percentile_approx("_t", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
+    return (times.agg(cuts.alias("b")).first()["b"] or []) if parts > 1 else []
+
+
+def _below(borders: list[int], t: Column, equal: bool) -> Column:
+    """How many borders lie before a time (`equal`: or at it), by halving."""
+    steps = len(borders).bit_length()
+    padded = F.lit(borders + [_LAST] * ((1 << steps) - len(borders)))
+
+    def half(at: Column, step: Column) -> Column:
+        border = F.get(padded, (at + step - 1).cast("int"))
+        return F.when((border < t) | (F.lit(equal) & (border == t) & (border < _LAST)), at + step).otherwise(at)
+
+    return F.aggregate(F.lit([1 << k for k in reversed(range(steps))]), F.lit(0), half) if steps else F.lit(0)
+
+
+def _carried(left: DataFrame, right: DataFrame, keys: list[str], strict: bool, parts: int | None) -> DataFrame:
+    """Rows of `left` (keys, _t, _l) with `_r`, the newest (row, at) of `right` (keys, _t, _r) before them.
+
+    Both sides are cut at the same times, so a key and range is one piece of work and
+    left rows are moved and sorted once. The last right row before a range comes in as a
+    row of the range; there is one for each key and range, whatever the number of rows.
+    A time that is a border several times has several ranges: its left rows are spread
+    over them by hash, and its right row stands in the first (strict: the last), so each
+    of them still finds what it must.
     """
-    r = right.select(*keys, F.struct(*payload).alias("row"), micros(F.col(ts)).alias("_from"))
-    r = r.groupBy(*keys, "_from").agg(F.max("row").alias("row")).withColumn("_b", F.floor(F.col("_from") / width))
-    used = r.groupBy(*keys, "_b").agg(F.min("_from").alias("_first"))
-    order = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
-    used = used.withColumn("_next", F.lead("_first").over(order)).drop("_first")
-    inner = Window.partitionBy(*keys, "_b").orderBy("_from")
-    spans = r.withColumn("_lead", F.lead("_from").over(inner)).join(used, [*keys, "_b"])
-    return spans.withColumn("_to", F.coalesce("_lead", "_next")).drop("_lead", "_next")
+    spark = left.sparkSession
+    parts = min(parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
+    borders = _borders(left.select("_t").unionByName(right.select("_t")), parts)
+    lo, hi = _below(borders, F.col("_t"), False), _below(borders, F.col("_t"), True)
+    ranged = left.withColumns({"_lo": lo, "_hi": hi})
+    plain = [F.col(f"_l.`{f.name}`") for f in left.schema["_l"].dataType.fields if f.dataType.typeName() not in ("map", "variant")]
+    spread = F.pmod(F.xxhash64(*plain), F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))).cast("int")
+    at_border = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo") + 1 + spread).otherwise(F.col("_hi"))
+    # rows without a time find nothing, and are dealt to ranges of their own
+    timeless = -1 - F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int")
+    probe = ranged.withColumn("_part", F.when(F.col("_t").isNull(), timeless).otherwise(at_border)).drop("_lo", "_hi")
+    given = right.withColumn("_part", hi if strict else F.when(hi > lo, lo + 1).otherwise(hi))
+    given = materialize(given, "asof-right")
 
+    # at most one row for each key and range goes through this window
+    newest = given.groupBy(*keys, "_part").agg(F.max_by("_r", "_t").alias("_r"))
+    used = probe.where("_part >= 0").select(*keys, "_part").distinct().withColumn("_r", F.lit(None).cast(right.schema["_r"].dataType))
+    ends = used.unionByName(newest).groupBy(*keys, "_part").agg(F.first("_r", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_part", F.last("_end", ignorenulls=True).over(before).alias("_r")).where("_r is not null")
 
-# A bucket with more spans than this is cut into SPLIT equal parts (whole microseconds).
-SPANS_PER_BUCKET = 512
-SPLIT = 10
+    none_l = F.lit(None).cast(left.schema["_l"].dataType)
+    none_r = F.lit(None).cast(right.schema["_r"].dataType)
+    # at equal times the right row comes first, unless it must be strictly before
+    rows = probe.withColumns({"_r": none_r, "_turn": F.lit(1)})
+    rows = rows.unionByName(given.withColumns({"_l": none_l, "_turn": F.lit(2 if strict else 0)}))
+    rows = rows.unionByName(carry.withColumns({"_t": F.lit(None).cast("long"), "_l": none_l, "_turn": F.lit(-1)}))
+    order = Window.partitionBy(*keys, "_part").orderBy(F.col("_t").asc_nulls_first(), "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_turn = 1")
 
 
-def _reach(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(end / width))
+def _sides(left: DataFrame, right: DataFrame, lt: Column, rt: Column, payload: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    probe = left.select(*keys, lt.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"))
+    given = right.select(*keys, rt.alias("_t"), F.struct(*payload).alias("row")).where("_t is not null")
+    given = given.groupBy(*keys, "_t").agg(F.max("row").alias("row"))
+    return probe, given.select(*keys, "_t", F.struct("row", F.col("_t").alias("at")).alias("_r"))
 
 
 def asof(
     left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, payload: list[str], out: str, keys: list[str] | None = None,
-    strict: bool = False, bucket_seconds: int = 86400,
+    strict: bool = False, parts: int | None = None,
 ) -> DataFrame:
     """Left join with the newest right row at or before (or strictly before) each left time.
 
-    Each left row meets the spans of its own bucket, an equi-join with a range test;
-    left rows are neither sorted nor grouped, so a bucket that holds much of the left
-    side can be split. Buckets with more than SPANS_PER_BUCKET spans are cut into
-    SPLIT parts until none is left, so a left row meets few spans however unevenly
-    the right times lie. `out` is a struct of the payload and the right time in
-    microseconds (`at`).
+    `out` is a struct of the payload (`row`) and the right time in microseconds (`at`),
+    null where there is none. Of right rows with equal keys and time the greatest payload
+    counts; right rows without a time are nothing; null keys equal each other. Times are
+    cut into `parts` ranges (by default four a shuffle partition), see `_carried`.
     """
     keys = keys or []
-    width = bucket_seconds * 1_000_000
-    spans = _spans(right, right_ts, keys, width, payload)
-    bounds = left.agg(F.max(micros(F.col(left_ts))).alias("_top"))
-    # `bounds` is one row: the last left time closes the open span
-    spans = spans.crossJoin(F.broadcast(bounds))
-    last = F.coalesce(F.col("_to"), F.greatest("_top", "_from"))
-    cover = spans.withColumn("_lb", F.explode(_reach(F.col("_from"), last, width))).withColumn("_last", last).drop("_b", "_top")
-    cover = cover.withColumn("_lv", F.lit(0))
-    probe = left.withColumn("_t", micros(F.col(left_ts))).withColumn("_lb", F.floor(F.col("_t") / width)).withColumn("_lv", F.lit(0))
-    level = 0
-    while width % SPLIT == 0:
-        cover = materialize(cover, "spans")
-        full = cover.where(F.col("_lv") == level).groupBy(*keys, "_lb").count().where(F.col("count") > SPANS_PER_BUCKET)
-        full = materialize(full.select(*keys, "_lb", F.lit(level).alias("_lv"), F.lit(1).alias("_full")), "full")
-        if full.isEmpty():
-            break
-        part = width // SPLIT
-        lo, hi = F.col("_lb") * width, F.col("_lb") * width + width - 1
-        inner = _reach(F.greatest("_from", lo), F.least("_last", hi), part)
-        cut = F.col("_full") == 1
-        cover = cover.join(full, [*keys, "_lb", "_lv"], "left").withColumn("_lb", F.explode(F.when(cut, inner).otherwise(F.array("_lb"))))
-        cover = cover.withColumn("_lv", F.when(cut, level + 1).otherwise(F.col("_lv"))).drop("_full")
-        probe = probe.join(full, [*keys, "_lb", "_lv"], "left").withColumn("_lb", F.when(cut, F.floor(F.col("_t") / part)).otherwise(F.col("_lb")))
-        probe = probe.withColumn("_lv", F.when(cut, level + 1).otherwise(F.col("_lv"))).drop("_full")
-        width, level = part, level + 1
-    if strict:
-        hit = (F.col("_t") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") <= F.col("_to")))
-    else:
-        hit = (F.col("_t") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_t") < F.col("_to")))
-    cond = [probe._lb == cover._lb, probe._lv == cover._lv, hit, *[probe[k].eqNullSafe(cover[k]) for k in keys]]
-    joined = probe.join(cover, cond, "left")
-    value = F.when(cover["_from"].isNotNull(), F.struct(cover["row"].alias("row"), cover["_from"].alias("at")))
-    return joined.select(*[probe[c] for c in left.columns], value.alias(out))
-
-
-def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, payload: list[str], out: str) -> DataFrame:
-    """Left join with the right row nearest in time; on a tie the earlier one."""
-    back = asof(left, right, left_ts, right_ts, payload, "_back")
-    flipped = right.withColumn("_rev", F.timestamp_micros(-micros(F.col(right_ts))))
-    both = asof(
-        back.withColumn("_lrev", F.timestamp_micros(-micros(F.col(left_ts)))), flipped, "_lrev", "_rev", payload, "_ahead"
-    )
-    t = micros(F.col(left_ts))
-    db, da = t - F.col("_back.at"), -F.col("_ahead.at") - t
-    pick = F.when(F.col("_ahead").isNull() | (db <= da), F.col("_back.row")).otherwise(F.col("_ahead.row"))
-    return both.withColumn(out, pick).select(*left.columns, out)
+    probe, given = _sides(left, right, micros(F.col(left_ts)), micros(F.col(right_ts)), payload, keys)
+    return _carried(probe, given, keys, strict, parts).select("_l.*", F.col("_r").alias(out))
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, payload: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """Left join with the right row nearest in time; on a tie the earlier one.
+
+    Each right row first learns its successor (the same carry, backwards in time), so
+    the left side is moved once. Left rows before all right rows take the first of them.
+    """
+    probe, given = _sides(left, right, micros(F.col(left_ts)), micros(F.col(right_ts)), payload, [])
+    given = materialize(given, "asof-given")
+    back = given.select((-F.col("_t")).alias("_t"), "_r")
+    after = _carried(back.select("_t", F.struct("_r").alias("_l")), back, [], True, parts)
+    linked = after.select((-F.col("_t")).alias("_t"), F.struct(F.col("_l._r").alias("own"), F.col("_r").alias("next")).alias("_r"))
+    first = given.agg(F.min_by("_r", "_t").alias("_first"))
+    found = _carried(probe, linked, [], False, parts).crossJoin(F.broadcast(first))  # `first` is one row
+    own, following = F.col("_r.own"), F.when(F.col("_r").isNull(), F.col("_first")).otherwise(F.col("_r.next"))
+    earlier = following.isNull() | (F.col("_t") - own["at"] <= following["at"] - F.col("_t"))
+    pick = F.when(F.col("_t").isNotNull(), F.when(own.isNotNull() & earlier, own["row"]).otherwise(following["row"]))
+    return found.select("_l.*", pick.alias(out))

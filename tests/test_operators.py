@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hotspark.operators import cluster as C, episodes, grid as G, outline, tiles
-from hotspark.operators.asof import asof
+from hotspark.operators.asof import asof, nearest_in_time
 from hotspark.operators.components import components
 from hotspark.operators.nearest import nearest_box
 from hotspark.operators.ranking import number_rows, number_within
@@ -157,20 +157,35 @@ def test_box_pairs_and_points_with_mixed_sizes(spark):
             assert near[i] == pytest.approx(d)
 
 
-@pytest.mark.parametrize("strict,cap", [(False, 512), (True, 512), (False, 3), (True, 3)])
-def test_asof_with_keys_and_gaps(spark, monkeypatch, strict, cap):
-    from hotspark.operators import asof as module
-
-    monkeypatch.setattr(module, "SPANS_PER_BUCKET", cap)
+@pytest.mark.parametrize("strict,parts", [(False, None), (True, None), (False, 1), (True, 7), (False, 50), (True, 50)])
+def test_asof_with_keys_gaps_and_a_hot_time(spark, strict, parts):
+    """Half of the left rows stand at one time, which is a right time too; null times and keys, repeated rows."""
     rng = np.random.default_rng(2)
-    left = [(i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 120), rng.integers(0, 3000, 120)))]
-    right = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 40), rng.choice([5, 40, 41, 900, 901, 902, 2500], 40))})
+    left = [(i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 3000, 200)))]
+    left += [(200 + i, i % 3, 900) for i in range(200)] + [(400, None, 950), (401, 1, None), (402, 1, None), (402, 1, None)]
+    right = [(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 40), rng.choice([5, 40, 41, 900, 901, 902, 2500], 40))] + [(None, 30), (0, 900), (2, 40), (1, None)]
     ldf = spark.createDataFrame(left, "id long, k long, t long").withColumn("ts", F.timestamp_seconds("t"))
     rdf = spark.createDataFrame(right, "k long, v long").withColumn("rts", F.timestamp_seconds("v"))
-    got = {r["id"]: (r["m"]["row"]["v"] if r["m"] else None) for r in asof(ldf, rdf, "ts", "rts", ["v"], "m", ["k"], strict, 100).collect()}
+    rows = asof(ldf, rdf, "ts", "rts", ["v"], "m", ["k"], strict, parts).collect()
+    got = sorted((r["id"], r["m"]["row"]["v"] if r["m"] else -1) for r in rows)
+    want = []
     for i, k, t in left:
-        best = [v for kk, v in right if kk == k and (v < t if strict else v <= t)]
-        assert got[i] == (max(best) if best else None)
+        best = [v for kk, v in right if kk == k and None not in (t, v) and (v < t if strict else v <= t)]
+        want.append((i, max(best, default=-1)))
+    assert got == sorted(want)
+    assert rows[0].asDict().keys() == {"id", "k", "t", "ts", "m"}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 60])
+def test_nearest_in_time(spark, parts):
+    rng = np.random.default_rng(4)
+    left = [int(t) for t in rng.integers(0, 300, 150)] + [77] * 100
+    right = sorted({int(t) for t in rng.integers(50, 250, 30)} | {77})
+    ldf = spark.createDataFrame([(i, t) for i, t in enumerate(left)], "id long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    rdf = spark.createDataFrame([(v,) for v in right], "v long").withColumn("rts", F.timestamp_seconds("v"))
+    got = {r["id"]: r["m"]["v"] for r in nearest_in_time(ldf, rdf, "ts", "rts", ["v"], "m", parts).collect()}
+    assert got == {i: min(right, key=lambda v: (abs(v - t), v)) for i, t in enumerate(left)}
+    assert {r["m"] for r in nearest_in_time(ldf, rdf.limit(0), "ts", "rts", ["v"], "m", parts).collect()} == {None}
 
 
 def test_hull_in_chunks(spark, monkeypatch):
