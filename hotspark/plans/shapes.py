@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hotspark.functions import geom
 from hotspark.operators import overlay as O, predicates as P
+from hotspark.operators.nearest import nearest_shapes
 from hotspark.operators.tiles import box_pairs
 from hotspark.plans import standins as S
 
@@ -169,3 +170,53 @@ SQL["commune_join_polygons"] = S.with_hs(
     (SELECT min(x) - 9e2 AS a, floor((max(x) - min(x) + 1.8e3)/7.2e3)*1.8e3 AS w FROM hs))
   WHERE (x > b OR y < y0 + 3.6e3) AND NOT (x > c AND x < c + 3.6e3 AND y > y0 + 1.8e3 AND y < y0 + 5.4e3)""", S.COMMUNES,
 )
+
+
+DIAMOND = 700.0
+
+
+def nearest_shape(spark, sf):
+    """For each mask, as a diamond, the nearest burnt shape within 10 km by the distance of the shapes themselves."""
+    m = S.masks(spark, sf).select("mask_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    around = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    ring = F.array(*[F.struct((F.col("cx") + i * DIAMOND).alias("x"), (F.col("cy") + j * DIAMOND).alias("y")) for i, j in around])
+    a = O.polygon_edges(m, ["mask_id"], 0, ring)
+    b = O.polygon_edges(burnt_shapes(spark, sf), ["burnt_id"], 0, F.col("ring"), F.col("holes"))
+    return nearest_shapes(a, "mask_id", b, "burnt_id", 1800.0, 10_000.0, TILE).drop("met")
+
+
+Q["nearest_shape"] = nearest_shape
+
+
+def _gap(p: str, k: int, s: str) -> str:
+    """Distance of the end k of a side p from a side s, in SQL."""
+    x, y, dx, dy = f"{p}.x{k}", f"{p}.y{k}", f"({s}.x1-{s}.x0)", f"({s}.y1-{s}.y0)"
+    t = f"greatest(0e0, least(1e0, (({x}-{s}.x0)*{dx} + ({y}-{s}.y0)*{dy}) / ({dx}*{dx}+{dy}*{dy})))"
+    return f"sqrt(({x}-{s}.x0-{t}*{dx})**2 + ({y}-{s}.y0-{t}*{dy})**2)"
+
+
+def _turn(s: str, p: str, k: int) -> str:
+    return f"(({s}.x1-{s}.x0)*({p}.y{k}-{s}.y0) - ({s}.y1-{s}.y0)*({p}.x{k}-{s}.x0))"
+
+
+SQL["nearest_shape"] = S.with_hs(
+    f"""SELECT mask_id, burnt_id, dist FROM (SELECT mask_id, burnt_id, round(min(d), 3) AS dist FROM
+   (SELECT l.mask_id, r.burnt_id, CASE WHEN {_turn('l', 'r', 0)}*{_turn('l', 'r', 1)} < 0 AND {_turn('r', 'l', 0)}*{_turn('r', 'l', 1)} < 0 THEN 0e0
+     ELSE least({_gap('l', 0, 'r')}, {_gap('l', 1, 'r')}, {_gap('r', 0, 'l')}, {_gap('r', 1, 'l')}) END AS d
+    FROM mside l JOIN bside r ON abs(l.cx - r.cx) <= 12500 AND abs(l.cy - r.cy) <= 12500
+    UNION ALL
+    -- the right corner of a diamond inside a burnt shape, or the lower left corner of a burnt shape inside a diamond
+    SELECT mask_id, burnt_id, 0e0 FROM dia m JOIN burnt b ON m.cx + 7e2 > b.x0 AND m.cx + 7e2 < b.x1 AND m.cy > b.y0 AND m.cy < b.y1
+     AND CASE WHEN burnt_id % 3 = 0 THEN m.cx + 7e2 < b.x0 + 18e2 OR m.cy < b.y0 + 12e2
+       ELSE NOT (m.cx + 7e2 > b.x0 + 12e2 AND m.cx + 7e2 < b.x1 - 12e2 AND m.cy > b.y0 + 12e2 AND m.cy < b.y1 - 12e2) END
+    UNION ALL
+    SELECT mask_id, burnt_id, 0e0 FROM dia m JOIN burnt b ON abs(b.x0 - m.cx) + abs(b.y0 - m.cy) < 7e2)
+   GROUP BY ALL) WHERE dist <= 1e4 QUALIFY row_number() OVER (PARTITION BY mask_id ORDER BY dist, burnt_id) = 1""",
+    S.BURNT, S.MASKS,
+    "dia AS (SELECT mask_id, (x0 + x1)/2 AS cx, (y0 + y1)/2 AS cy FROM masks)",
+    """mside AS (SELECT mask_id, cx, cy, cx + 7e2*i AS x0, cy + 7e2*j AS y0, cx - 7e2*j AS x1, cy + 7e2*i AS y1 FROM dia, (VALUES(1,0),(0,1),(-1,0),(0,-1)) t(i, j))""",
+    """bside AS (SELECT burnt_id, (x0 + x1)/2 AS cx, (y0 + y1)/2 AS cy, x0 + 6e2*a AS x0, y0 + 6e2*b AS y0, x0 + 6e2*c AS x1, y0 + 6e2*d AS y1
+   FROM burnt JOIN (VALUES (0,0,0,6,0),(0,6,0,6,2),(0,6,2,3,2),(0,3,2,3,6),(0,3,6,0,6),(0,0,6,0,0),
+     (1,0,0,6,0),(1,6,0,6,6),(1,6,6,0,6),(1,0,6,0,0),(1,2,2,4,2),(1,4,2,4,4),(1,4,4,2,4),(1,2,4,2,2)) t(k, a, b, c, d)
+   ON t.k = CASE WHEN burnt_id % 3 = 0 THEN 0 ELSE 1 END)""",
+)
