@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hotspark.functions import geom
 from hotspark.functions.proj import laea_inverse
 from hotspark.functions.timefns import floor_to, seconds_between
+from hotspark.operators import lineage as LN, overlay as O
 from hotspark.plans import standins as S
 
 Q, SQL = {}, {}
@@ -375,3 +376,56 @@ def geojson_features(spark, sf):
 
 
 Q["geojson_features"] = geojson_features
+
+
+def _sub_events(spark, sf):
+    """(hotspots with their sub-event, merges): lattice rows of a cluster; each joins the next lower one when both have been seen."""
+    c = S.clustered(spark, sf).withColumn("event", F.col("cluster") * 1000 + ((F.col("y") - 2e6) / 1800).cast("long"))
+    seen = c.groupBy("cluster", "event").agg(F.min("ts").alias("born"))
+    lower = Window.partitionBy("cluster").orderBy("event")
+    both = seen.withColumns({"son": F.lag("event").over(lower), "_b": F.lag("born").over(lower)}).where("son is not null")
+    return c, both.select(F.col("event").alias("dad"), "son", F.greatest("born", "_b").alias("ts"))
+
+
+def lineage_series(spark, sf):
+    """Daily power and united ground of every owner: a sub-event counts for itself until it merges, then for its owner."""
+    c, merges = _sub_events(spark, sf)
+    tables = LN.jumps(merges)
+    daily = c.groupBy("event", F.date_trunc("day", "ts").alias("tag")).agg(F.sum("frp").alias("frp"))
+    power = LN.merged_series(daily, "event", "tag", tables)
+    half = S.STEP / 2
+    ring = geom.box_ring(F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
+    sites = c.select("event", F.date_trunc("day", "ts").alias("tag"), "x", "y").distinct()
+    rings = LN.merged_shapes(O.polygon_edges(sites, ["event", "tag"], 0, ring), "event", "tag", tables, 20 * S.STEP)
+    ground = rings.groupBy("owner", "tag").agg(F.round(F.sum("area"), 2).alias("area"))
+    return power.join(ground, ["owner", "tag"]).select("owner", "tag", F.round("frp", 4).alias("frp"), "n_events", "area")
+
+
+Q["lineage_series"] = lineage_series
+FOREST = """sub AS MATERIALIZED (SELECT *, cluster * 1000 + CAST((y - 2e6)/1.8e3 AS BIGINT) AS event FROM hsc),
+ merge AS MATERIALIZED (SELECT * FROM (SELECT event AS dad, lag(event) OVER w AS son, greatest(born, lag(born) OVER w) AS ts FROM
+   (SELECT cluster, event, min(ts) AS born FROM sub GROUP BY ALL) WINDOW w AS (PARTITION BY cluster ORDER BY event)) WHERE son IS NOT NULL),
+ walk(event, owner, since, steps) AS (SELECT DISTINCT event, event, TIMESTAMP '1900-01-01', 0 FROM sub
+   UNION ALL SELECT w.event, m.son, greatest(w.since, m.ts), w.steps + 1 FROM walk w JOIN merge m ON m.dad = w.owner)"""
+SQL["lineage_series"] = S.with_clusters(
+    """SELECT owner, tag, round(sum(frp), 4) AS frp, count(DISTINCT event) AS n_events, count(DISTINCT (x, y)) * 324e4 AS area FROM
+  (SELECT s.event, s.tag, s.frp, s.x, s.y, o.owner FROM (SELECT event, date_trunc('day', ts)::TIMESTAMP AS tag, frp, x, y FROM sub) s JOIN
+   (SELECT d.event, d.tag, arg_max(w.owner, w.steps) AS owner FROM (SELECT DISTINCT event, date_trunc('day', ts)::TIMESTAMP AS tag FROM sub) d
+     JOIN walk w ON w.event = d.event AND w.since <= d.tag GROUP BY ALL) o ON o.event = s.event AND o.tag = s.tag) GROUP BY owner, tag""",
+    FOREST,
+)
+
+
+def lineage_events(spark, sf):
+    """Every sub-event with its last owner, its son and the time it merged, and its dads as text."""
+    c, merges = _sub_events(spark, sf)
+    return LN.lineage(c, "event", LN.jumps(merges))
+
+
+Q["lineage_events"] = lineage_events
+SQL["lineage_events"] = S.with_clusters(
+    """SELECT l.event, l.owner, m.son, m.ts AS merged, coalesce(d.dads, '') AS dads FROM (SELECT event, arg_max(owner, steps) AS owner FROM walk GROUP BY event) l
+  LEFT JOIN merge m ON m.dad = l.event
+  LEFT JOIN (SELECT son, string_agg(CAST(dad AS VARCHAR), ';' ORDER BY ts, dad) AS dads FROM merge GROUP BY son) d ON d.son = l.event""",
+    FOREST,
+)
