@@ -180,7 +180,7 @@ def box_center_distance(a: str, b: str) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-# --- exact overlap and front speed, Arrow batches -----------------------------
+# --- exact overlap, Arrow batches -----------------------------
 
 
 def _rings(value) -> list[np.ndarray]:
@@ -198,19 +198,6 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-_SPEED = T.StructType([T.StructField(n, T.DoubleType()) for n in ("speed", "speed_std", "fx", "fy", "tx", "ty")])
-
-
-@F.pandas_udf(_SPEED)
-def front_speed(older: pd.Series, newer: pd.Series, seconds: pd.Series) -> pd.DataFrame:
-    """Speed of the front from the older ring to the newer one; NULLs when undefined."""
-    rows = []
-    for ra, rb, dt in zip(older, newer, seconds):
-        r = kernels.front_speed(*_rings([ra, rb]), float(dt))
-        rows.append((None,) * 6 if r is None else (r[0], r[1], *r[2], *r[3]))
-    return pd.DataFrame(rows, columns=["speed", "speed_std", "fx", "fy", "tx", "ty"])
-
-
 # --- hexagons on the projected plane --------------------------------------------
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hotspark.functions import geom
 from hotspark.functions.proj import laea_inverse
 from hotspark.functions.timefns import floor_to, seconds_between
-from hotspark.operators import lineage as LN, overlay as O
+from hotspark.operators import frontspeed as FS, lineage as LN, overlay as O
 from hotspark.plans import standins as S
 
 Q, SQL = {}, {}
 
 STEP_SECONDS = 600.0
 HALF_BOX = 1800.0  # box of a single site
+FRONT_TILE = 36_000.0
 
 
 def kind_of_box():
@@ -352,14 +353,33 @@ def front_speed(spark, sf):
     o = b.withColumn("kind", kind_of_box()).withColumn("prev", F.lag(F.struct("ring", "kind", "t1", "x0", "y0", "x1", "y1")).over(w))
     holds = (F.col("prev.x0") >= F.col("x0")) & (F.col("prev.y0") >= F.col("y0")) & (F.col("prev.x1") <= F.col("x1")) & (F.col("prev.y1") <= F.col("y1"))
     grown = o.where((F.col("kind") == "Polygon") & (F.col("prev.kind") == "Polygon") & holds)
-    dt = seconds_between(F.col("prev.t1"), F.col("t1"))
-    # the speed step is Python, so its few rows go over all cores
-    r = grown.select("cluster", "day", "ring", "prev.ring", dt.alias("dt")).toDF("cluster", "day", "ring", "old", "dt")
-    s = r.repartition(2 * spark.sparkContext.defaultParallelism).withColumn("f", geom.front_speed("old", "ring", "dt"))
-    return s.select("cluster", "day", F.round("f.speed", 6).alias("fros"), F.round("f.speed_std", 6).alias("fros_std"))
+    pair = F.struct("cluster", "day")
+    r = grown.select(pair.alias("pair"), "ring", F.col("prev.ring").alias("old"), seconds_between(F.col("prev.t1"), F.col("t1")).alias("dt"))
+    sides = O.polygon_edges(r, ["pair"], FS.OLDER, F.col("old")).unionByName(O.polygon_edges(r, ["pair"], FS.NEWER, F.col("ring")))
+    found = FS.front_speed(sides, "pair", r, FRONT_TILE)
+    return r.join(found, "pair", "left").select(
+        "pair.cluster", "pair.day", F.coalesce("links", F.lit(0)).alias("links"), F.round("speed", 6).alias("fros"), F.round("speed_std", 6).alias("fros_std"),
+        *(F.round(c, 2).alias(c) for c in ("fx", "fy", "tx", "ty")))
 
 
 Q["front_speed"] = front_speed
+# between nested boxes a link is free if its ends share no side of the newer box and the newer one lies beyond a side of the older one
+SQL["front_speed"] = S.with_boxes(
+    """SELECT g.cluster, g.day, coalesce(links, 0) AS links, fros, fros_std, fx, fy, tx, ty FROM g LEFT JOIN
+   (SELECT cluster, day, count(*) AS links, round(avg(d/dt), 6) AS fros, round(stddev_pop(d/dt), 6) AS fros_std,
+     round(avg(px), 2) AS fx, round(avg(py), 2) AS fy, round(avg(nx), 2) AS tx, round(avg(ny), 2) AS ty
+    FROM (SELECT *, sqrt((nx-px)**2 + (ny-py)**2) AS d FROM n JOIN p USING (cluster, day)
+     WHERE NOT ((nx = x0 AND px = x0) OR (nx = x1 AND px = x1) OR (ny = y0 AND py = y0) OR (ny = y1 AND py = y1))
+      AND ((px = a0 AND nx < a0) OR (px = a1 AND nx > a1) OR (py = b0 AND ny < b0) OR (py = b1 AND ny > b1)))
+    WHERE d > 0 AND d/dt <= 10 GROUP BY ALL) USING (cluster, day)""",
+    f"""g AS (SELECT * FROM (SELECT cluster, day, x0, y0, x1, y1, {KIND} AS kind, lag({KIND}) OVER w AS pk, lag(x0) OVER w AS a0, lag(y0) OVER w AS b0,
+     lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, (epoch_us(t1) - epoch_us(lag(t1) OVER w))/1e6 AS dt FROM boxes WINDOW w AS (PARTITION BY cluster ORDER BY day))
+   WHERE kind = 'Polygon' AND pk = 'Polygon' AND a0 >= x0 AND b0 >= y0 AND a1 <= x1 AND b1 <= y1)""",
+    """around AS (SELECT least(k, 5)/5e0 * (s = 0)::INT + (s = 1)::INT + (1 - k/5e0) * (s = 2)::INT AS u,
+    k/5e0 * (s = 1)::INT + (s = 2)::INT + (1 - k/5e0) * (s = 3)::INT AS v FROM range(4) t(s), range(5) q(k))""",
+    "n AS (SELECT cluster, day, x0, y0, x1, y1, a0, b0, a1, b1, dt, CASE u WHEN 1 THEN x1 ELSE x0 + (x1-x0)*u END AS nx, CASE v WHEN 1 THEN y1 ELSE y0 + (y1-y0)*v END AS ny FROM g, around)",
+    "p AS (SELECT cluster, day, CASE u WHEN 1 THEN a1 ELSE a0 + (a1-a0)*u END AS px, CASE v WHEN 1 THEN b1 ELSE b0 + (b1-b0)*v END AS py FROM g, around)",
+)
 
 
 def geojson_features(spark, sf):

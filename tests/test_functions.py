@@ -87,18 +87,6 @@ def test_delaunay_covers_the_hull():
     assert (d2 >= r2[:, None] * (1 - 1e-6) - 1e-6).all()
 
 
-def test_front_speed_of_nested_squares():
-    inner = np.array([(40, 40), (60, 40), (60, 60), (40, 60)], float)
-    outer = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
-    mean, std, a, b = K.front_speed(inner, outer, 100.0)
-    assert 0.4 <= mean <= 1.0
-    # more corners on the same sides change the links, not the shape: nothing is thinned away
-    fine = K.front_speed(K.densify(inner, 40), K.densify(outer, 40), 100.0)
-    assert fine[0] == pytest.approx(mean, abs=0.1) and np.allclose(fine[2], [50, 50], atol=1) and np.allclose(fine[3], [50, 50], atol=1)
-    assert K.front_speed(outer, inner, 100.0) is None
-    assert K.front_speed(inner, outer, 1.0) is None  # faster than allowed
-
-
 def test_ring_columns(spark):
     ring = geom.box_ring(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(2.0))
     r = one(
