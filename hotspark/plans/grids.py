@@ -55,8 +55,8 @@ SQL["raster_conservation"] = S.with_boxes(
 )
 
 
-def raster_polygons(spark, sf):
-    """Power of polygons, lines and points spread exactly, for one id at several times."""
+def shapes_of_days(spark, sf) -> DataFrame:
+    """(day, shape, frp, ring): polygons, lines and points of one id at several times."""
     from hotspark.operators.matching import with_rings
 
     ev = with_rings(S.boxes(spark, sf).select("cluster", "day", "frp", "x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
@@ -68,23 +68,25 @@ def raster_polygons(spark, sf):
         F.struct(F.lit(1).alias("kind"), (F.col("frp") / 2).alias("frp"), side.alias("ring")),
         F.struct(F.lit(2).alias("kind"), (F.col("frp") / 4).alias("frp"), F.array(far).alias("ring")),
     )
-    shapes = ev.select("day", "cluster", F.explode(kinds).alias("s")).select("day", (F.col("cluster") * 3 + F.col("s.kind")).alias("shape"), "s.frp", "s.ring")
-    out = R.share_power_polygons(shapes, CELL, DOMAIN, ["day"], "shape")
+    return ev.select("day", "cluster", F.explode(kinds).alias("s")).select("day", (F.col("cluster") * 3 + F.col("s.kind")).alias("shape"), "s.frp", "s.ring")
+
+
+def raster_polygons(spark, sf):
+    """Power of polygons, lines and points spread exactly, for one id at several times."""
+    out = R.share_power_polygons(shapes_of_days(spark, sf), CELL, DOMAIN, ["day"], "shape")
     return out.select("day", "i", "j", _cell_power())
 
 
 Q["raster_polygons"] = raster_polygons
-SQL["raster_polygons"] = S.with_boxes(
-    """SELECT day, i, j, round(sum(frp) + 1e-9, 6) AS frp FROM (
+SHAPES_TO_CELLS = """SELECT day, i, j, sum(frp) AS frp FROM (
    SELECT day, i, j, frp * part / sum(part) OVER (PARTITION BY box_id) AS frp FROM cov WHERE part > 0
    UNION ALL SELECT day, i, CAST(floor(y0/1e4) AS BIGINT), frp / 2 * (least(b, (i+1)*1e4) - greatest(a, i*1e4)) / (b - a) FROM
     (SELECT *, unnest(generate_series(CAST(floor(a/1e4) AS BIGINT), CAST(ceil(b/1e4) AS BIGINT) - 1)) AS i FROM
      (SELECT day, y0, frp, greatest(x0, 3e6) AS a, least(x1, 3.2e6) AS b FROM boxes WHERE y0 >= 2e6 AND y0 < 2.5e6) WHERE b > a)
    UNION ALL SELECT day, CAST(floor(x1/1e4) AS BIGINT), CAST(floor(y1/1e4) AS BIGINT), frp / 4 FROM boxes
     WHERE x1 BETWEEN 3e6 AND 3.2e6 AND y1 BETWEEN 2e6 AND 2.5e6)
-  GROUP BY day, i, j""",
-    RASTER,
-)
+  GROUP BY day, i, j"""
+SQL["raster_polygons"] = S.with_boxes(f"SELECT day, i, j, round(frp + 1e-9, 6) AS frp FROM ({SHAPES_TO_CELLS})", RASTER)
 
 
 def block_downsample(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hotspark.session import prepare
 
-MODULES = ["points", "clusters", "events", "match", "shapes", "grids", "layers", "scalars", "storage", "tracking"]
+MODULES = ["points", "clusters", "events", "match", "shapes", "grids", "curved", "layers", "scalars", "storage", "tracking"]
 
 
 def _plain_times(df: DataFrame) -> DataFrame:
