@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hotspark.functions import arrangement as A, geom
 from hotspark.operators.tiles import box_pairs
-from hotspark.session import materialize
+from hotspark.session import materialize, spread
 
 #: Lattice step in metres.
 SNAP = 1e-3
@@ -130,61 +131,136 @@ def corners(pieces: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows.select(*keys, "tx", "ty", *(F.coalesce(F.sum(f"c{n}").over(west), F.lit(0)).alias(f"w{n}") for n in "ab"))
 
 
-def _of_tile(list_, tx: int, ty: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends and weights of a tile's edges, from its lower left corner."""
-    base = np.array([tx * size + 1, ty * size + 1])
-    v = np.array([(s["ax"], s["ay"], s["bx"], s["by"], s["w"] if s["layer"] == 0 else 0, s["w"] if s["layer"] else 0) for s in list_], np.int64).reshape(-1, 6)
-    return v[:, :2] - base, v[:, 2:4] - base, v[:, 4:]
+#: Edges of tiles that are arranged in one call, about; a tile is never cut.
+CALL_EDGES = 1 << 15
+
+
+def calls(*counts: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with about CALL_EDGES edges each."""
+    total = np.cumsum(sum(counts))
+    block = (total - 1) // CALL_EDGES
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(total)]
+    return [(i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+class Pieces:
+    """An Arrow column of pieces as flat arrays."""
+
+    def __init__(self, column: pa.Array):
+        self.count = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.end = np.cumsum(self.count)
+        flat = column.flatten()
+        self.flat = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("layer", "ax", "ay", "bx", "by", "w")}
+
+    def edges(self, i: int, j: int, tx: np.ndarray, ty: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends and weights of the edges of rows i to j - 1, with the rows' tiles set up for one call."""
+        part = slice(int(self.end[i] - self.count[i]), int(self.end[j - 1]))
+        tile = np.repeat(np.arange(j - i), self.count[i:j])
+        v = {c: x[part] for c, x in self.flat.items()}
+        own = tile * A.stride(size) - 1
+        dx, dy = own - tx[i:j][tile] * size, own - ty[i:j][tile] * size
+        w = np.where(v["layer"][:, None] == [0, 1], v["w"][:, None], 0).astype(np.int64)
+        return np.column_stack([v["ax"] + dx, v["ay"] + dy]), np.column_stack([v["bx"] + dx, v["by"] + dy]), w
 
 
 def paths(edges: DataFrame, keys: list[str], operations: list[str], tile: float, snap: float = SNAP) -> DataFrame:
     """(keys, operation, tx, ty, id, closed, xs, ys): the outlines of the results, cut at the tiles' borders."""
     size = 2 * round(tile / snap)
     pieces = materialize(tiled(edges, keys, tile, snap), "pieces")
-    listed = pieces.groupBy(*keys, "tx", "ty").agg(F.collect_list(F.struct("layer", "ax", "ay", "bx", "by", "w")).cast(_PIECE).alias("pieces"))
+    listed = spread(pieces, *keys, "tx", "ty").groupBy(*keys, "tx", "ty").agg(F.collect_list(F.struct("layer", "ax", "ay", "bx", "by", "w")).cast(_PIECE).alias("pieces"))
     rows = listed.join(corners(pieces, keys, size), [*keys, "tx", "ty"])
     fields = [*(edges.schema[k] for k in keys), T.StructField("operation", T.StringType()), T.StructField("tx", T.LongType()), T.StructField("ty", T.LongType()),
               T.StructField("closed", T.BooleanType()), T.StructField("xs", T.ArrayType(T.LongType())), T.StructField("ys", T.ArrayType(T.LongType()))]
 
     def run(batches):
         for d in batches:
-            out = []
-            for r in d.to_dict("records"):
-                a, b, w = A.split(*_of_tile(r["pieces"], r["tx"], r["ty"], size), size)
-                left, right = A.windings(a, b, w, np.array([r["wa"], r["wb"]]))
+            column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
+            tx, ty = (column[c].to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
+            wind = np.column_stack([column[c].to_numpy(zero_copy_only=False) for c in ("wa", "wb")]).astype(np.int64)
+            pieces = Pieces(column["pieces"])
+            for i, j in calls(pieces.count):
+                a, b, w = A.split(*pieces.edges(i, j, tx, ty, size), size)
+                left, right = A.windings(a, b, w, wind[i:j], size)
                 for op in operations:
-                    for closed, points in A.chains(*A.outline(a, b, left, right, op), size):
-                        out.append([*(r[k] for k in keys), op, r["tx"], r["ty"], closed, points[:, 0] + r["tx"] * size + 1, points[:, 1] + r["ty"] * size + 1])
-            yield pd.DataFrame(out, columns=[f.name for f in fields])
-
-    found = rows.select(*keys, "tx", "ty", "pieces", "wa", "wb").mapInPandas(run, T.StructType(fields))
+                    p, q = A.outline(a, b, left, right, op)
+                    walk, count, closed = A.walks(p, q, size)
+                    if not len(count):
+                        continue
+                    # an open path has one corner more than edges
+                    places = count + ~closed
+                    ends = np.cumsum(places)
+                    last = np.zeros(ends[-1], bool)
+                    last[ends[~closed] - 1] = True
+                    points = np.empty((ends[-1], 2), np.int64)
+                    points[~last] = p[walk]
+                    points[last] = q[walk[np.cumsum(count)[~closed] - 1]]
+                    tile = A.tile_of(p[walk[np.cumsum(count) - count]], size)
+                    at, own = tile + i, np.repeat(tile, places)
+                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    xs, ys = (pa.ListArray.from_arrays(offsets, pa.array(points[:, k] - own * A.stride(size) + t[i:j][own] * size + 1)) for k, t in ((0, tx), (1, ty)))
+                    rows_ = pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column[k].take(rows_) for k in keys), pa.array([op] * len(at)), column["tx"].take(rows_), column["ty"].take(rows_), pa.array(closed), xs, ys],
+                        names=[f.name for f in fields])
+
+    found = rows.select(*keys, "tx", "ty", "pieces", "wa", "wb").mapInArrow(run, T.StructType(fields))
     return materialize(found.withColumn("id", F.monotonically_increasing_id()), "paths")
 
 
-def _joined(d: pd.DataFrame) -> pd.DataFrame:
-    """Paths of one larger tile joined end to start: each one's place in the longer path, and that path's ends."""
+def _joined(group: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, parent, pos, closed, first, last): paths joined end to start within their groups.
+
+    Each path's place in the longer path, that path's name, and the rows of its first and last path.
+    """
+    n = len(ids)
     starts: dict = {}
-    for k, v in enumerate(zip(d["sx"], d["sy"])):
+    for k, v in enumerate(zip(group.tolist(), *start.T.tolist())):
         starts.setdefault(v, []).append(k)
     follow = []
-    for v in zip(d["ex"], d["ey"]):
+    for v in zip(group.tolist(), *end.T.tolist()):
         out = starts.get(v)
         follow.append(out.pop() if out else -1)
-    led = set(follow)
-    seen, rows = [False] * len(d), []
-    ids, s, e = d["id"].tolist(), list(zip(d["sx"], d["sy"])), list(zip(d["ex"], d["ey"]))
-    for k in [k for k in range(len(d)) if k not in led] + list(range(len(d))):
+    led = np.zeros(n + 1, bool)
+    led[follow] = True
+    seen, walk, count, closed = [False] * n, [], [], []
+    for k in [*np.flatnonzero(~led[:n]).tolist(), *range(n)]:
         if seen[k]:
             continue
-        walk, at = [], k
+        begun, at = len(walk), k
         while at >= 0 and not seen[at]:
             seen[at] = True
             walk.append(at)
             at = follow[at]
-        parent = min(ids[w] for w in walk)
-        rows += [(ids[w], parent, n, at == k, *s[walk[0]], *e[walk[-1]]) for n, w in enumerate(walk)]
-    out = pd.DataFrame(rows, columns=["id", "parent", "pos", "closed", "sx", "sy", "ex", "ey"])
-    return d.drop(columns=["sx", "sy", "ex", "ey"]).merge(out, on="id")
+        count.append(len(walk) - begun)
+        closed.append(at == k)
+    walk, count = np.array(walk, np.int64), np.array(count, np.int64)
+    first = np.cumsum(count) - count
+    each = [np.minimum.reduceat(ids[walk], first), closed, walk[first], walk[first + count - 1]]
+    parent, closed, first_row, last_row = (np.repeat(x, count) for x in each)
+    return walk, parent, np.arange(n) - np.repeat(first, count), closed, first_row, last_row
+
+
+def _join_ends(ends: DataFrame, by: list[str], fields: list) -> DataFrame:
+    """The paths of every larger tile joined; one row holds the ends of a tile, a call takes many rows."""
+    longs = ("id", "sx", "sy", "ex", "ey")
+    listed = spread(ends, *by, "tx", "ty").groupBy(*by, "tx", "ty").agg(F.collect_list(F.struct(*longs)).alias("_ends"))
+
+    def run(batches):
+        for d in batches:
+            column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
+            if not d.num_rows:
+                continue
+            group = np.repeat(np.arange(d.num_rows), column["_ends"].value_lengths().to_numpy(zero_copy_only=False))
+            flat = column["_ends"].flatten()
+            v = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in longs}
+            start, end = np.column_stack([v["sx"], v["sy"]]), np.column_stack([v["ex"], v["ey"]])
+            walk, parent, pos, closed, first, last = _joined(group, v["id"], start, end)
+            own = pa.array(group[walk])
+            new = [v["id"][walk], parent, pos, closed, *start[first].T, *end[last].T]
+            out = {c: column[c].take(own) for c in (*by, "tx", "ty")} | dict(zip(("id", "parent", "pos", "closed", *longs[1:]), map(pa.array, new)))
+            yield pa.RecordBatch.from_arrays([out[f.name] for f in fields], names=[f.name for f in fields])
+
+    return listed.mapInArrow(run, T.StructType(fields))
 
 
 def rings(found: DataFrame, keys: list[str], snap: float = SNAP) -> DataFrame:
@@ -196,12 +272,11 @@ def rings(found: DataFrame, keys: list[str], snap: float = SNAP) -> DataFrame:
     ends = found.where("not closed").select(*by, "id", "tx", "ty", *(F.element_at(c, i).alias(f"{n}{c[0]}") for n, i in (("s", 1), ("e", -1)) for c in ("xs", "ys")))
     fields = [*(ends.schema[k] for k in by)] + [T.StructField(c, T.LongType()) for c in ("id", "tx", "ty", "parent", "pos")] + [
         T.StructField("closed", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("sx", "sy", "ex", "ey"))]
-    names = [f.name for f in fields]
     ways, open_ = None, materialize(ends, "ends")
     while not open_.isEmpty():
         # tile 0 of the larger kind lies around the origin, so that in the end it holds all
         larger = open_.withColumns({t: F.floor((F.col(t) + GROW // 2) / GROW).cast("long") for t in ("tx", "ty")})
-        level = materialize(larger.groupBy(*by, "tx", "ty").applyInPandas(lambda d: _joined(d)[names], T.StructType(fields)), "joined")
+        level = materialize(_join_ends(larger, by, fields), "joined")
         step = level.select(F.col("id").alias("_top"), F.col("parent").alias("_next"), F.col("pos").alias("_pos"))
         if ways is None:
             ways = step.select(F.col("_top").alias("id"), F.col("_next").alias("top"), F.array("_pos").alias("order"))
@@ -221,18 +296,28 @@ def rings(found: DataFrame, keys: list[str], snap: float = SNAP) -> DataFrame:
 
     def finish(batches):
         for d in batches:
-            rows = []
-            for r in d.to_dict("records"):
-                p = np.column_stack([np.asarray(r["xs"], np.int64), np.asarray(r["ys"], np.int64)])
-                p = A.straightened(p[(p % 2 == 0).all(axis=1)])
-                if len(p):
-                    rel = (p - p[0]).astype(float) * (snap / 2)
-                    nxt = np.roll(rel, -1, axis=0)
-                    xy = p * (snap / 2)
-                    rows.append([*(r[k] for k in by), [{"x": x, "y": y} for x, y in xy.tolist()], float((rel[:, 0] * nxt[:, 1] - nxt[:, 0] * rel[:, 1]).sum() / 2)])
-            yield pd.DataFrame(rows, columns=[f.name for f in out.fields])
-
-    return whole.mapInPandas(finish, out)
+            column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
+            p = np.column_stack([column[c].flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys")])
+            ring = np.repeat(np.arange(d.num_rows), column["xs"].value_lengths().to_numpy(zero_copy_only=False))
+            corner = (p % 2 == 0).all(axis=1)
+            p, count = A.straightened(p[corner], np.bincount(ring[corner], minlength=d.num_rows))
+            kept = np.flatnonzero(count)
+            if not len(kept):
+                continue
+            count = count[kept]
+            ends = np.cumsum(count)
+            first = ends - count
+            rel = (p - p[np.repeat(first, count)]).astype(float) * (snap / 2)
+            nxt = np.arange(1, len(p) + 1)
+            nxt[ends - 1] = first
+            area = np.add.reduceat(rel[:, 0] * rel[nxt, 1] - rel[nxt, 0] * rel[:, 1], first) / 2
+            xy = p * (snap / 2)
+            places = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+            rows = pa.array(kept)
+            yield pa.RecordBatch.from_arrays(
+                [*(column[k].take(rows) for k in by), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), places), pa.array(area)], names=[f.name for f in out.fields])
+
+    return whole.mapInArrow(finish, out)
 
 
 def overlay(edges: DataFrame, keys: list[str], operations: list[str], tile: float, snap: float = SNAP) -> DataFrame:

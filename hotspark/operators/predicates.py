@@ -9,11 +9,11 @@ summed over the tiles, so a ring of a million corners is worked on by many tasks
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hotspark.functions import arrangement as A
-from hotspark.operators.overlay import SNAP, _PIECE, _of_tile, corners, tiled
+from hotspark.operators.overlay import SNAP, _PIECE, Pieces, calls, corners, tiled
 from hotspark.session import materialize
 
 
@@ -76,17 +76,19 @@ def _areas(rows: DataFrame, keys: list[str], size: int, operation: str) -> DataF
 
     def run(batches):
         for d in batches:
-            found = []
-            for tx, ty, wa, wb, pa, pb in zip(d["tx"], d["ty"], d["wa"], d["wb"], d["pa"], d["pb"]):
-                if not len(pa) and not len(pb):
-                    found.append(2 * size * size)
-                    continue
-                a, b, w = _of_tile(pa, tx, ty, size)
-                c, e, v = _of_tile(pb, tx, ty, size)
-                found.append(A.region_area(np.vstack([a, c]), np.vstack([b, e]), np.vstack([w, v[:, ::-1]]), np.array([wa, wb]), size, operation))
-            yield pd.DataFrame({**{k: d[k] for k in keys}, "twice": [str(t) for t in found]})[[*keys, "twice"]]
-
-    return rows.select(*keys, "tx", "ty", "wa", "wb", "pa", "pb").mapInPandas(run, schema)
+            column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
+            tx, ty, wa, wb = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tx", "ty", "wa", "wb"))
+            first, second = Pieces(column["pa"]), Pieces(column["pb"])
+            twice = np.full(len(tx), 2 * size * size, np.int64)
+            for i, j in calls(first.count, second.count):
+                a, b, w = first.edges(i, j, tx, ty, size)
+                c, e, v = second.edges(i, j, tx, ty, size)
+                found = A.region_areas(np.vstack([a, c]), np.vstack([b, e]), np.vstack([w, v[:, ::-1]]), np.column_stack([wa, wb])[i:j], size, operation)
+                crossed = first.count[i:j] + second.count[i:j] > 0
+                twice[i:j][crossed] = found[crossed]
+            yield pa.RecordBatch.from_arrays([*(column[k] for k in keys), pa.array([str(t) for t in twice.tolist()], pa.string())], names=[*keys, "twice"])
+
+    return rows.select(*keys, "tx", "ty", "wa", "wb", "pa", "pb").mapInArrow(run, schema)
 
 
 def _metres(snap: float) -> Column:

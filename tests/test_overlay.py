@@ -172,3 +172,48 @@ def test_points_in_random_polygons(spark):
         for k in np.flatnonzero(rings[0] & ~(rings[1] if len(rings) > 1 else False)):
             want.add((int(k), s[0]))
     assert got == want
+
+
+def test_many_tiles_in_one_call():
+    """Tiles set side by side give what each gives alone: crossings, windings, areas and paths."""
+    rng, size, tiles = np.random.default_rng(8), 20_000, 40
+    parts, corner = [], rng.integers(0, 2, (tiles, 2))
+    for k in range(tiles):
+        p, q = ((2 * np.rint((star(rng, *rng.uniform(6000, 14000, 2), 5000, int(rng.integers(4, 20))) - 1) / 2) + 1).astype(np.int64) for _ in range(2))
+        w = np.zeros((len(p) + len(q), 2), np.int64)
+        w[:len(p), 0], w[len(p):, 1] = 1, 1
+        # an edge through the tile from its left border to its right one
+        line = np.array([[[0, 2 * k + 1], [size, 4001 + 2 * k]]])
+        parts.append((np.vstack([p, q, line[:, 0]]), np.vstack([np.roll(p, -1, 0), np.roll(q, -1, 0), line[:, 1]]), np.vstack([w, [[1, 0]]])))
+    shift = [k * A.stride(size) for k in range(tiles)]
+    every = [np.vstack(x) for x in zip(*((a + s, b + s, w) for s, (a, b, w) in zip(shift, parts)))]
+    a, b, w = A.split(*every, size)
+    left, right = A.windings(a, b, w, corner, size)
+    alone = [A.split(*part, size) for part in parts]
+    sides = [A.windings(*part, corner[k]) for k, part in enumerate(alone)]
+    assert np.array_equal(a, np.vstack([part[0] + s for part, s in zip(alone, shift)]))
+    assert np.array_equal(left, np.vstack([s[0] for s in sides])) and np.array_equal(right, np.vstack([s[1] for s in sides]))
+    for op in A.OPERATIONS:
+        one = [A.region_areas(*part, corner[k:k + 1], size, op)[0] for k, part in enumerate(parts)]
+        assert A.region_areas(*every, corner, size, op).tolist() == one
+        found = {(c, tuple(map(tuple, p.tolist()))) for c, p in A.chains(*A.outline(a, b, left, right, op), size)}
+        expected = {(c, tuple(map(tuple, (p + s).tolist()))) for s, part, lr in zip(shift, alone, sides) for c, p in A.chains(*A.outline(part[0], part[1], *lr, op), size)}
+        assert found == expected
+
+
+def test_paths_join_within_their_group_only():
+    group, ids = np.array([0, 0, 0, 1, 1]), np.array([10, 11, 12, 13, 14])
+    start = np.array([[0, 0], [1, 0], [2, 0], [0, 0], [1, 0]])
+    end = np.array([[1, 0], [2, 0], [0, 0], [1, 0], [5, 5]])
+    walk, parent, pos, closed, first, last = O._joined(group, ids, start, end)
+    by = {int(ids[w]): (int(p), int(n), bool(c), int(ids[f]), int(ids[g])) for w, p, n, c, f, g in zip(walk, parent, pos, closed, first, last)}
+    assert by == {10: (10, 0, True, 10, 12), 11: (10, 1, True, 10, 12), 12: (10, 2, True, 10, 12), 13: (13, 0, False, 13, 14), 14: (13, 1, False, 13, 14)}
+
+
+def test_straight_corners_go_from_many_rings_at_once():
+    square = [(0, 0), (2, 0), (4, 0), (4, 2), (4, 4), (0, 4)]
+    line = [(0, 0), (2, 0), (4, 0)]
+    far = [(x << 33, y << 33) for x, y in square]
+    points, count = A.straightened(np.array([*square, *line, *far]), np.array([6, 3, 6]))
+    assert count.tolist() == [4, 0, 4]
+    assert points.tolist() == [[0, 0], [4, 0], [4, 4], [0, 4], *([x << 33, y << 33] for x, y in [(0, 0), (4, 0), (4, 4), (0, 4)])]
