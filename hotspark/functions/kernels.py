@@ -54,64 +54,86 @@ def _circle(a, b, c):
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Index triples of the Delaunay triangles whose circle is smaller than the point set.
+    """Index triples of the Delaunay triangles of one point set."""
+    return delaunay_sets(points, np.array([len(points)]))[0]
 
-    Points are added one by one in x order. The three helper corners lie a few spans
+
+def delaunay_sets(points: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(triples, set): index triples of the Delaunay triangles whose circle is smaller than their point set.
+
+    `points` holds many sets one after the other, of `count` points each; a step adds one
+    point to every set. Points are added one by one in x order. The three helper corners lie a few spans
     away: far enough to stay out of such circles, near enough for exact arithmetic.
     Wider triangles at the rim may be missing.
     """
-    n = len(points)
-    lo, hi = points.min(axis=0), points.max(axis=0)
-    mid, span = (lo + hi) / 2, max(float((hi - lo).max()), 1.0)
-    far = 8 * span
-    p = np.vstack([points, mid + [-far, -far], mid + [far, -far], mid + [0, far]])
-    order = np.lexsort((points[:, 1], points[:, 0]))
-    open_t = np.array([[n, n + 1, n + 2]])
+    n, sets = len(points), len(count)
+    own, first = np.repeat(np.arange(sets), count), np.cumsum(count) - count
+    lo, hi = np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)
+    mid, far = (lo + hi) / 2, 8 * np.maximum((hi - lo).max(axis=1), 1.0)[:, None]
+    p = np.vstack([points, mid + far * [-1, -1], mid + far * [1, -1], mid + far * [0, 1]])
+    order = np.lexsort((points[:, 1], points[:, 0], own))
+    at = np.arange(sets)
+    open_t = n + np.column_stack([at, at + sets, at + 2 * sets])
     ox, oy, orr = _circle(p[open_t[:, 0]], p[open_t[:, 1]], p[open_t[:, 2]])
-    done = []
-    for i in order:
+    done, done_at = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+    for step in range(int(count.max())):
+        ended = count[at] == step
+        i = order[np.where(ended, 0, first[at] + step)]
         q = p[i]
-        dx = q[0] - ox
-        d2 = dx * dx + (q[1] - oy) ** 2
+        dx = q[:, 0] - ox
+        d2 = dx * dx + (q[:, 1] - oy) ** 2
         slack = 1e-12 * orr
-        past = (dx > 0) & (dx * dx > orr + slack)  # the sweep has left the circle for good
+        past = ended | ((dx > 0) & (dx * dx > orr + slack))  # the sweep has left the circle for good
         if past.any():
             done.append(open_t[past])
+            done_at.append(at[past])
         hit = ~past & (d2 < orr - slack)
         bad = open_t[hit]
         keep = ~past & ~hit
         edges = np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]])
-        key = np.sort(edges, axis=1)
-        _, first, count = np.unique(key, axis=0, return_index=True, return_counts=True)
-        rim = edges[first[count == 1]]
-        new = np.column_stack([rim, np.full(len(rim), i)])
+        centre, home = np.tile(i[hit], 3), np.tile(at[hit], 3)
+        low, high = edges.min(axis=1), edges.max(axis=1)
+        # a side of the hollow belongs to one triangle that goes
+        by = np.lexsort((high, low))
+        same = (low[by][1:] == low[by][:-1]) & (high[by][1:] == high[by][:-1])
+        rim = by[~(np.append(same, False) | np.insert(same, 0, False))[:len(by)]]
+        new, home = np.column_stack([edges[rim], centre[rim]]), home[rim]
         nx, ny, nr = _circle(p[new[:, 0]], p[new[:, 1]], p[new[:, 2]])
         flat = ~np.isfinite(nr)
-        new, nx, ny, nr = new[~flat], nx[~flat], ny[~flat], nr[~flat]
-        open_t = np.concatenate([open_t[keep], new])
+        new, home, nx, ny, nr = new[~flat], home[~flat], nx[~flat], ny[~flat], nr[~flat]
+        open_t, at = np.concatenate([open_t[keep], new]), np.concatenate([at[keep], home])
         ox, oy, orr = np.concatenate([ox[keep], nx]), np.concatenate([oy[keep], ny]), np.concatenate([orr[keep], nr])
-    done.append(open_t)
-    tri = np.concatenate(done)
-    return tri[(tri < n).all(axis=1)]
+    tri, at = np.concatenate([*done, open_t]), np.concatenate([*done_at, at])
+    real = (tri < n).all(axis=1)
+    return tri[real], at[real]
 
 
-def alpha_triangles(points: np.ndarray, radius: float, inflate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (n, 3, 2) and circumcentres of the triangles with circumradius below `radius`."""
+def alpha_triangles(sets: list[np.ndarray], radius: np.ndarray, inflate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners (n, 3, 2), circumcentres and point set of the triangles with circumradius below the set's `radius`."""
     ang = np.arange(8) * (np.pi / 4)
-    ring = np.column_stack([np.cos(ang), np.sin(ang)]) * inflate
-    every = np.concatenate([points, (points[:, None, :] + ring[None, :, :]).reshape(-1, 2)])
-    every = np.unique(np.round(every, 6), axis=0)
-    if len(every) < 3:
-        return np.empty((0, 3, 2)), np.empty((0, 2))
-    # a fixed tiny shift of each point settles ties of points on one circle the same way in every tile
-    h = np.sin(every[:, 0] * 12.9898 + every[:, 1] * 78.233) * 43758.5453
-    jitter = np.column_stack([h - np.floor(h) - 0.5, 7 * h - np.floor(7 * h) - 0.5]) * max(1e-4 * inflate, 1e-6)
-    base = every.mean(axis=0)
-    tri = delaunay(every + jitter - base)
-    c = every[tri]
+    unit = np.column_stack([np.cos(ang), np.sin(ang)])
+    inflated, moved, held = [], [], []
+    for k, (points, wide) in enumerate(zip(sets, inflate)):
+        every = np.concatenate([points, (points[:, None, :] + (unit * wide)[None, :, :]).reshape(-1, 2)])
+        every = np.round(every, 6)
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        every = every[np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])]
+        if len(every) < 3:
+            continue
+        # a fixed tiny shift of each point settles ties of points on one circle the same way in every tile
+        h = np.sin(every[:, 0] * 12.9898 + every[:, 1] * 78.233) * 43758.5453
+        jitter = np.column_stack([h - np.floor(h) - 0.5, 7 * h - np.floor(7 * h) - 0.5]) * max(1e-4 * wide, 1e-6)
+        inflated.append(every)
+        moved.append(every + jitter - every.mean(axis=0))
+        held.append(k)
+    if not held:
+        return np.empty((0, 3, 2)), np.empty((0, 2)), np.zeros(0, np.int64)
+    tri, at = delaunay_sets(np.concatenate(moved), np.array([len(m) for m in moved]))
+    of = np.array(held)[at]
+    c = np.concatenate(inflated)[tri]
     x, y, r2 = _circle(c[:, 0], c[:, 1], c[:, 2])
-    ok = np.isfinite(r2) & (r2 < radius * radius)
-    return c[ok], np.column_stack([x, y])[ok]
+    ok = np.isfinite(r2) & (r2 < radius[of] * radius[of])
+    return c[ok], np.column_stack([x, y])[ok], of[ok]
 
 
 # --- polygon overlap -------------------------------------------------------

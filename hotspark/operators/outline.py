@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hotspark.functions.kernels import alpha_triangles, convex_hull, nearest_other, ring_area
 from hotspark.operators.cluster import offsets
@@ -14,31 +14,70 @@ from hotspark.session import materialize, spread
 HULL_CHUNK = 20_000
 
 
-def _partial_hull(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = convex_hull(pdf[["x", "y"]].to_numpy())
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(ring) for k in keys})
-        out["x"], out["y"], out["n"] = ring[:, 0], ring[:, 1], 0
-        out.loc[0, "n"] = int(pdf["n"].sum())
-        return out
+#: Points that one call on many groups takes, about; a group is never cut.
+CALL_POINTS = 1 << 13
 
-    return run
 
+def _by_group(rows: DataFrame, by: list[str], values: list[str], work, schema: str) -> DataFrame:
+    """`work` on all groups of `rows`, many in a call.
 
-def _last_hull(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = convex_hull(pdf[["x", "y"]].to_numpy())
-        kind = {1: "Point", 2: "LineString"}.get(len(ring), "Polygon")
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row |= {
-            "n_points": [int(pdf["n"].sum())],
-            "kind": [kind],
-            "area": [float(ring_area(ring)) if kind == "Polygon" else 0.0],
-            "ring": [[{"x": float(a), "y": float(b)} for a, b in ring]],
-        }
-        return pd.DataFrame(row)
-
-    return run
+    It is given (lists of the values, one array a group; columns of the groups) as flat
+    arrays with the groups' sizes, and returns (group of each row, columns). A group is
+    one row on the way, so small ones cost no data frame each.
+    """
+    names = [c for c in rows.columns if c in by]
+    listed = spread(rows, *by).groupBy(*names).agg(F.collect_list(F.struct(*values)).alias("_rows"))
+    fields = T._parse_datatype_string(schema).fields
+
+    def run(batches):
+        for d in batches:
+            column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
+            count = column["_rows"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column["_rows"].flatten()
+            value = {c: flat.field(c) for c in values}
+            end = np.cumsum(count)
+            block = (end - 1) // CALL_POINTS
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(count)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                part = slice(int(end[i] - count[i]), int(end[j - 1]))
+                group, new = work({c: v[part] for c, v in value.items()}, count[i:j], {c: column[c][i:j] for c in names})
+                at = pa.array(np.asarray(group, np.int64) + i)
+                out = {f.name: new[f.name] if f.name in new else column[f.name].take(at) for f in fields}
+                yield pa.RecordBatch.from_arrays(
+                    [x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))
+
+    return listed.mapInArrow(run, schema)
+
+
+def _points(value: dict, count: np.ndarray) -> list[np.ndarray]:
+    """The places of each group."""
+    xy = np.column_stack([value[c].to_numpy(zero_copy_only=False) for c in "xy"])
+    return np.split(xy, np.cumsum(count)[:-1])
+
+
+def _partial_hull(value: dict, count: np.ndarray, group: dict):
+    rings = [convex_hull(p) for p in _points(value, count)]
+    size = np.array([len(r) for r in rings])
+    n = np.zeros(size.sum(), np.int64)
+    n[np.cumsum(size) - size] = np.add.reduceat(value["n"].to_numpy(zero_copy_only=False), np.cumsum(count) - count)
+    xy = np.concatenate(rings)
+    return np.repeat(np.arange(len(rings)), size), {"x": xy[:, 0], "y": xy[:, 1], "n": n}
+
+
+def _last_hull(value: dict, count: np.ndarray, group: dict):
+    rings = [convex_hull(p) for p in _points(value, count)]
+    kinds = [{1: "Point", 2: "LineString"}.get(len(r), "Polygon") for r in rings]
+    xy = np.concatenate(rings)
+    places = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rings])]), pa.int32())
+    return np.arange(len(rings)), {
+        "n_points": np.add.reduceat(value["n"].to_numpy(zero_copy_only=False), np.cumsum(count) - count),
+        "kind": kinds,
+        "area": [float(ring_area(r)) if k == "Polygon" else 0.0 for r, k in zip(rings, kinds)],
+        "ring": pa.ListArray.from_arrays(offsets, places),
+    }
 
 
 def convex_outline(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,10 +107,10 @@ def convex_outline(points: DataFrame, keys: list[str]) -> DataFrame:
             "_c", F.pmod(F.xxhash64("x", "y"), F.coalesce("_chunks", F.lit(1))).cast("int")
         )
         live = materialize(
-            spread(tagged, *keys, "_c").groupBy(*keys, "_c").applyInPandas(_partial_hull(keys), f"{key_schema}, x double, y double, n long"), "hull"
+            _by_group(tagged, [*keys, "_c"], ["x", "y", "n"], _partial_hull, f"{key_schema}, x double, y double, n long"), "hull"
         )
-    return spread(live, *keys).groupBy(*keys).applyInPandas(
-        _last_hull(keys), f"{key_schema}, n_points long, kind string, area double, ring array<struct<x:double,y:double>>"
+    return _by_group(
+        live, keys, ["x", "y", "n"], _last_hull, f"{key_schema}, n_points long, kind string, area double, ring array<struct<x:double,y:double>>"
     )
 
 
@@ -81,17 +120,17 @@ def nearest_distance(points: DataFrame, keys: list[str], reach: float) -> DataFr
     Points are replicated to the neighbour tiles that can need them, so a task sees
     one tile of one cluster with its margin.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["own"]]
-        d = nearest_other(own[["x", "y"]].to_numpy(), pdf[["x", "y"]].to_numpy())
-        out = own[[*keys, "x", "y"]].copy()
-        out["nn"] = d
-        return out[np.isfinite(d)]
+    def work(value: dict, count: np.ndarray, group: dict):
+        own = value["own"].to_numpy(zero_copy_only=False)
+        mine = np.split(own, np.cumsum(count)[:-1])
+        sets = _points(value, count)
+        d = np.concatenate([nearest_other(p[m], p) if m.any() else np.zeros(0) for p, m in zip(sets, mine)])
+        xy, near = np.concatenate(sets)[own], np.isfinite(d)
+        return np.repeat(np.arange(len(count)), count)[own][near], {"x": xy[near, 0], "y": xy[near, 1], "nn": d[near]}
 
     types = dict(points.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", x double, y double, nn double"
-    tiles = spread(tile_with_margin(points, 4 * reach, reach), *keys, "tx", "ty")
-    return tiles.groupBy(*keys, "tx", "ty").applyInPandas(run, schema)
+    return _by_group(tile_with_margin(points, 4 * reach, reach), [*keys, "tx", "ty"], ["x", "y", "own"], work, schema)
 
 
 def tile_with_margin(points: DataFrame, size, margin) -> DataFrame:
@@ -127,22 +166,20 @@ def _triangles(scaled: DataFrame, keys: list[str], tile: int) -> DataFrame:
     types = dict(scaled.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, d_min = float(pdf["r"].iloc[0]), float(pdf["d_min"].iloc[0])
-        tri, centre = alpha_triangles(pdf[["x", "y"]].to_numpy(), r, d_min / 4)
-        home = np.floor(centre / (tile * r)).astype(int)
-        mine = (home[:, 0] == pdf["tx"].iloc[0]) & (home[:, 1] == pdf["ty"].iloc[0])
-        tri = tri[mine]
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(tri) for k in keys})
-        for n, (c, axis) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]):
-            out["abcdef"[n]] = np.round(tri[:, c, axis], 6)
-        return out
-
-    tris = (
-        spread(tile_with_margin(scaled, F.col("r") * tile, F.col("r") * 3), *keys, "tx", "ty")
-        .groupBy(*keys, "tx", "ty")
-        .applyInPandas(run, key_schema + ", a double, b double, c double, d double, e double, f double")
-    )
+    def work(value: dict, count: np.ndarray, group: dict):
+        first = np.cumsum(count) - count
+        r, d_min = (value[c].to_numpy(zero_copy_only=False)[first] for c in ("r", "d_min"))
+        tri, centre, of = alpha_triangles(_points(value, count), r, d_min / 4)
+        home = np.floor(centre / (tile * r[of])[:, None]).astype(int)
+        tx, ty = (group[c].to_numpy(zero_copy_only=False)[of] for c in ("tx", "ty"))
+        mine = (home[:, 0] == tx) & (home[:, 1] == ty)
+        tri = np.round(tri[mine], 6)
+        places = [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
+        return of[mine], {"abcdef"[n]: np.ascontiguousarray(tri[:, c, axis]) for n, (c, axis) in enumerate(places)}
+
+    tiles = tile_with_margin(scaled, F.col("r") * tile, F.col("r") * 3)
+    # a cluster's r and d_min stand in each of its points
+    tris = _by_group(tiles, [*keys, "tx", "ty"], ["x", "y", "r", "d_min"], work, key_schema + ", a double, b double, c double, d double, e double, f double")
     return materialize(tris, "triangles")
 
 
@@ -217,13 +254,17 @@ def alpha_outline(points: DataFrame, keys: list[str], eps: float, tile: int = 24
     types = dict(points.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def rings_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = chain([((u["x"], u["y"]), (v["x"], v["y"])) for u, v in zip(pdf["u"], pdf["v"])])
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"_rings": [[[{"x": x, "y": y} for x, y in r] for r in rings]]})
+    def rings_of(value: dict, count: np.ndarray, group: dict):
+        ends = [value[e].field(c).to_numpy(zero_copy_only=False).tolist() for e in "uv" for c in "xy"]
+        edges = [((a, b), (c, d)) for a, b, c, d in zip(*ends)]
+        last = np.cumsum(count).tolist()
+        rings = [chain(edges[i:j]) for i, j in zip([0, *last], last)]
+        told = [[[{"x": x, "y": y} for x, y in r] for r in shape] for shape in rings]
+        place = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        return np.arange(len(count)), {"_rings": pa.array(told, pa.list_(pa.list_(place)))}
 
     # one outline is one row, so its corners meet in one call
-    rings = spread(rim.select(*keys, "e.u", "e.v"), *keys).groupBy(*keys).applyInPandas(rings_of, f"{key_schema}, _rings array<array<struct<x:double,y:double>>>")
+    rings = _by_group(rim.select(*keys, "e.u", "e.v"), keys, ["u", "v"], rings_of, f"{key_schema}, _rings array<array<struct<x:double,y:double>>>")
     shape = area.join(length, keys).join(rings, keys).select(*keys, F.col("area").alias("_a"), "length", "edges", "_rings")
     return hulls.join(shape, keys, "left").select(
         *keys, "n_points",

@@ -201,3 +201,13 @@ def test_cylindrical_equal_area(spark):
     assert r.lon == pytest.approx(30) and r.lat == pytest.approx(90, abs=1e-4)
     # a twelfth of the half sphere's area
     assert r.x * r.y == pytest.approx(2 * np.pi * proj.RQ**2 / 12, rel=1e-9)
+
+
+def test_delaunay_of_many_sets_is_that_of_each():
+    rng = np.random.default_rng(5)
+    sets = [rng.uniform(0, 100, (int(n), 2)) for n in rng.integers(3, 40, 30)]
+    count = np.array([len(s) for s in sets])
+    tri, at = K.delaunay_sets(np.concatenate(sets), count)
+    first = np.cumsum(count) - count
+    for k, s in enumerate(sets):
+        assert {frozenset((t - first[k]).tolist()) for t in tri[at == k]} == {frozenset(t.tolist()) for t in K.delaunay(s)}
