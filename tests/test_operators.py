@@ -267,3 +267,17 @@ def test_hull_of_more_corners_than_a_chunk(spark, monkeypatch):
     rows = [(1, float(np.cos(2 * np.pi * i / 200)), float(np.sin(2 * np.pi * i / 200))) for i in k]
     r = outline.convex_outline(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).first()
     assert r["n_points"] == 200 and len(r["ring"]) == 200
+
+
+def test_hulls_of_many_groups_in_one_call():
+    import pyarrow as pa
+
+    square, line = [(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)], [(0, 0), (1, 1), (2, 2)]
+    xy = np.array([*square, *line, (7, 7)], float)
+    value = {"x": pa.array(xy[:, 0]), "y": pa.array(xy[:, 1]), "n": pa.array(np.ones(len(xy), np.int64))}
+    group, out = outline._last_hull(value, np.array([5, 3, 1]), {})
+    assert group.tolist() == [0, 1, 2] and out["n_points"].tolist() == [5, 3, 1]
+    assert out["kind"] == ["Polygon", "LineString", "Point"] and out["area"] == [16.0, 0.0, 0.0]
+    assert [len(r) for r in out["ring"].to_pylist()] == [4, 2, 1]
+    group, out = outline._partial_hull(value, np.array([5, 3, 1]), {})
+    assert group.tolist() == [0, 0, 0, 0, 1, 1, 2] and out["n"].tolist() == [5, 0, 0, 0, 3, 0, 1]
