@@ -132,6 +132,16 @@ def some_boxes(rng, n, big):
     return np.hstack([xy, xy + wh])
 
 
+def test_small_boxes_do_not_meet_in_the_tiles_of_a_large_one(spark):
+    small = [(k, 10.0 * (k % 20), 10.0 * (k // 20), 10.0 * (k % 20) + 1, 10.0 * (k // 20) + 1) for k in range(400)]
+    wide = [(400, 0.0, 0.0, 200.0, 200.0)]
+    a = spark.createDataFrame(small + wide, "ia long, x0 double, y0 double, x1 double, y1 double")
+    b = a.withColumnRenamed("ia", "ib")
+    assert tiles.box_pairs(a, b, 4.0).count() == 400 + 2 * 400 + 1
+    # a small box may lie in four tiles of its own level; none of the 160,000 pairs of small boxes meets in a coarse one
+    assert tiles.box_candidates(a, b, 4.0).count() < 4 * 400 + 2 * 400 * 4 + 4
+
+
 def test_box_pairs_and_points_with_mixed_sizes(spark):
     rng = np.random.default_rng(11)
     a, b = some_boxes(rng, 80, 5), some_boxes(rng, 120, 4)
