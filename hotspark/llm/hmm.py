@@ -3,9 +3,9 @@
 Tokens are a text's words and one end. Frequent words have emission probabilities of
 their own; every other word is emitted as its class (a hash of its last bytes) and then
 drawn from the class by smoothed counts, so unknown words have probability too and
-each state's emissions sum to one. Baum-Welch starts from a bounded sample and then
-runs over all training texts: tasks gather expected counts, blocks of them are summed
-by a shuffle. Scores are the exact scaled forward recursion over each whole text.
+each state's emissions sum to one. Baum-Welch runs over all training texts: tasks gather
+expected counts, blocks of them are summed by a shuffle. In its first pass the texts come
+in slices and the parameters move after each; whole rounds follow. Scores are the exact scaled forward recursion over each whole text.
 
 Counts of all words stay a distributed table. Tasks hold the counts of a bounded number
 of frequent words; the other words of a text meet their counts in a join.
@@ -28,9 +28,11 @@ CLASSES = 1 << 12
 #: Words at most that tasks hold counts of, and those of them with own emissions.
 COUNTED = 1 << 17
 EMITTED = 1 << 15
-#: Texts in the sample that the first parameters are fitted to, about.
-SAMPLE = 400
-SAMPLE_ROUNDS = 15
+#: Slices of the first pass, dealt by hash; together they are all training texts.
+SLICES = 12
+#: What earlier slices' counts keep of their weight at each slice.
+FADE = 0.5
+#: Rounds over all training texts after it.
 ROUNDS = 2
 #: Tokens of a training sequence; longer texts are cut for training, never for scoring.
 SEGMENT = 64
@@ -254,18 +256,23 @@ def train(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, Vocabulary,
     model = Model(vocab)
     if not ends:
         return counts, vocab, model
-    parts = 1 << 30
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(parts)) < max(1, round(parts * min(1.0, SAMPLE / ends))))
-    texts = sorted(bytes(r[0]) for r in drawn.select(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).toLocalIterator())
-    ids, toffs = vocab.sequences(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64))
-    for _ in range(SAMPLE_ROUNDS if len(texts) else 0):
-        model.update(*model.expected(ids, toffs), vocab.frequency)
     shared = spark.sparkContext.broadcast(vocab)
+    sums = None
+    for part in slices(docs, text, key):
+        found = _expected(part, text, shared, model)
+        sums = found if sums is None else tuple(FADE * s + x for s, x in zip(sums, found))
+        model.update(*sums, vocab.frequency)
     for _ in range(ROUNDS):
         model.update(*_expected(docs, text, shared, model), vocab.frequency)
     return counts, vocab, model
 
 
+def slices(docs: DataFrame, text: str, key: str) -> list[DataFrame]:
+    """All rows, each in one of SLICES parts."""
+    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(SLICES))
+    return [docs.where(part == k) for k in range(SLICES)]
+
+
 def _expected(docs: DataFrame, text: str, shared, model: Model):
     """Expected counts over all texts: one table a task, cut into blocks that a shuffle sums."""
     current = docs.sparkSession.sparkContext.broadcast(model)

@@ -121,6 +121,20 @@ def test_language_model_of_odd_rows(spark, odd, monkeypatch):
     assert hmm.score(odd.limit(0), F.lit(True), keep=["doc_id"]).count() == 0
 
 
+def test_language_model_learns_from_all_texts_alike(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} stands here {k}") for k in range(60)] + [(60, None), (61, "")]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain, moved = hmm._expected, hmm.Model.update
+    monkeypatch.setattr(hmm, "_expected", lambda part, *rest: seen.append([r[0] for r in part.select("doc_id").collect()]) or plain(part, *rest))
+    monkeypatch.setattr(hmm.Model, "update", lambda self, *given: seen.append("update") or moved(self, *given))
+    hmm.train(docs, "text", "doc_id")
+    passes = [x for x in seen if x != "update"]
+    # no update without counts of the training texts before it; the first pass reads each text once, a round reads all
+    assert seen[1::2] == ["update"] * len(passes)
+    assert sorted(i for part in passes[:-hmm.ROUNDS] for i in part) == list(range(62))
+    assert all(sorted(part) == list(range(62)) for part in passes[-hmm.ROUNDS:])
+
+
 def test_forward_recursion_is_exact():
     """Against the sum over all paths, and the model's probabilities of all short texts add up to at most one."""
     v = hmm.Vocabulary(np.array([5, 9], np.uint64), np.array([1, 2]), np.array([3, 4]), {}, 9, 3, 2)
