@@ -240,6 +240,19 @@ def _joined(group: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarr
     return walk, parent, np.arange(n) - np.repeat(first, count), closed, first_row, last_row
 
 
+def _joined_calls(count: np.ndarray, v: dict[str, np.ndarray]):
+    """(row, columns) of joined paths, for about CALL_EDGES paths at a time: rows do not meet, and a batch may hold millions of ends."""
+    until = np.cumsum(count)
+    for i, j in calls(count):
+        part = slice(int(until[i] - count[i]), int(until[j - 1]))
+        row = np.repeat(np.arange(i, j), count[i:j])
+        ids, sx, sy, ex, ey = (v[c][part] for c in ("id", "sx", "sy", "ex", "ey"))
+        start, end = np.column_stack([sx, sy]), np.column_stack([ex, ey])
+        walk, parent, pos, closed, first, last = _joined(row, ids, start, end)
+        new = [ids[walk], parent, pos, closed, *start[first].T, *end[last].T]
+        yield row[walk], dict(zip(("id", "parent", "pos", "closed", "sx", "sy", "ex", "ey"), new))
+
+
 def _join_ends(ends: DataFrame, by: list[str], fields: list) -> DataFrame:
     """The paths of every larger tile joined; one row holds the ends of a tile, a call takes many rows."""
     longs = ("id", "sx", "sy", "ex", "ey")
@@ -250,15 +263,13 @@ def _join_ends(ends: DataFrame, by: list[str], fields: list) -> DataFrame:
             column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
             if not d.num_rows:
                 continue
-            group = np.repeat(np.arange(d.num_rows), column["_ends"].value_lengths().to_numpy(zero_copy_only=False))
+            count = column["_ends"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = column["_ends"].flatten()
             v = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in longs}
-            start, end = np.column_stack([v["sx"], v["sy"]]), np.column_stack([v["ex"], v["ey"]])
-            walk, parent, pos, closed, first, last = _joined(group, v["id"], start, end)
-            own = pa.array(group[walk])
-            new = [v["id"][walk], parent, pos, closed, *start[first].T, *end[last].T]
-            out = {c: column[c].take(own) for c in (*by, "tx", "ty")} | dict(zip(("id", "parent", "pos", "closed", *longs[1:]), map(pa.array, new)))
-            yield pa.RecordBatch.from_arrays([out[f.name] for f in fields], names=[f.name for f in fields])
+            for row, new in _joined_calls(count, v):
+                own = pa.array(row)
+                out = {c: column[c].take(own) for c in (*by, "tx", "ty")} | {c: pa.array(x) for c, x in new.items()}
+                yield pa.RecordBatch.from_arrays([out[f.name] for f in fields], names=[f.name for f in fields])
 
     return listed.mapInArrow(run, T.StructType(fields))
 
@@ -297,25 +308,30 @@ def rings(found: DataFrame, keys: list[str], snap: float = SNAP) -> DataFrame:
     def finish(batches):
         for d in batches:
             column = {n: d.column(k) for k, n in enumerate(d.schema.names)}
-            p = np.column_stack([column[c].flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys")])
-            ring = np.repeat(np.arange(d.num_rows), column["xs"].value_lengths().to_numpy(zero_copy_only=False))
-            corner = (p % 2 == 0).all(axis=1)
-            p, count = A.straightened(p[corner], np.bincount(ring[corner], minlength=d.num_rows))
-            kept = np.flatnonzero(count)
-            if not len(kept):
-                continue
-            count = count[kept]
-            ends = np.cumsum(count)
-            first = ends - count
-            rel = (p - p[np.repeat(first, count)]).astype(float) * (snap / 2)
-            nxt = np.arange(1, len(p) + 1)
-            nxt[ends - 1] = first
-            area = np.add.reduceat(rel[:, 0] * rel[nxt, 1] - rel[nxt, 0] * rel[:, 1], first) / 2
-            xy = p * (snap / 2)
-            places = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
-            rows = pa.array(kept)
-            yield pa.RecordBatch.from_arrays(
-                [*(column[k].take(rows) for k in by), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), places), pa.array(area)], names=[f.name for f in out.fields])
+            size = column["xs"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            until = np.cumsum(size)
+            flat = [column[c].flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys")]
+            for i, j in calls(size) if len(size) else ():
+                part = slice(int(until[i] - size[i]), int(until[j - 1]))
+                p = np.column_stack([x[part] for x in flat])
+                ring = np.repeat(np.arange(j - i), size[i:j])
+                corner = (p % 2 == 0).all(axis=1)
+                p, count = A.straightened(p[corner], np.bincount(ring[corner], minlength=j - i))
+                kept = np.flatnonzero(count)
+                if not len(kept):
+                    continue
+                count = count[kept]
+                ends = np.cumsum(count)
+                first = ends - count
+                rel = (p - p[np.repeat(first, count)]).astype(float) * (snap / 2)
+                nxt = np.arange(1, len(p) + 1)
+                nxt[ends - 1] = first
+                area = np.add.reduceat(rel[:, 0] * rel[nxt, 1] - rel[nxt, 0] * rel[:, 1], first) / 2
+                xy = p * (snap / 2)
+                places = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+                rows = pa.array(i + kept)
+                yield pa.RecordBatch.from_arrays(
+                    [*(column[k].take(rows) for k in by), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), places), pa.array(area)], names=[f.name for f in out.fields])
 
     return whole.mapInArrow(finish, out)
 

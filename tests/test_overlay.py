@@ -217,3 +217,21 @@ def test_straight_corners_go_from_many_rings_at_once():
     points, count = A.straightened(np.array([*square, *line, *far]), np.array([6, 3, 6]))
     assert count.tolist() == [4, 0, 4]
     assert points.tolist() == [[0, 0], [4, 0], [4, 4], [0, 4], *([x << 33, y << 33] for x, y in [(0, 0), (4, 0), (4, 4), (0, 4)])]
+
+
+def test_ends_of_a_full_batch_are_joined_a_few_rows_at_a_time(monkeypatch):
+    """Memory follows the call, not the batch; the joined paths are those of one call over all rows."""
+    monkeypatch.setattr(O, "CALL_EDGES", 100)
+    count = np.array([40, 0, 60, 250, 4, 16, 30])
+    k = np.arange(count.sum())
+    ring, place = k // 2, k % 2
+    v = {"id": k + 7, "sx": 10 * ring + place, "sy": ring, "ex": 10 * ring + 1 - place, "ey": ring}
+    group = np.repeat(np.arange(len(count)), count)
+    walk, parent, pos, closed, first, last = O._joined(group, v["id"], np.column_stack([v["sx"], v["sy"]]), np.column_stack([v["ex"], v["ey"]]))
+    whole = sorted(zip(group[walk].tolist(), v["id"][walk].tolist(), parent.tolist(), pos.tolist(), closed.tolist(), v["sx"][first].tolist(), v["ex"][last].tolist()))
+    sizes, one = [], O._joined
+    monkeypatch.setattr(O, "_joined", lambda g, *rest: (sizes.append(len(g)), one(g, *rest))[1])
+    parts = list(O._joined_calls(count, v))
+    assert sizes == [100, 300]
+    found = [r for row, c in parts for r in zip(row.tolist(), *(c[n].tolist() for n in ("id", "parent", "pos", "closed", "sx", "ex")))]
+    assert sorted(found) == whole
