@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from hotspark.functions import kernels
@@ -183,19 +183,35 @@ def box_center_distance(a: str, b: str) -> Column:
 # --- exact overlap, Arrow batches -----------------------------
 
 
-def _rings(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in ring], dtype=float) for ring in value]
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common area of two polygons given as arrays of rings (holes by even-odd)."""
-    out = []
-    for ra, rb in zip(a, b):
-        pa, pb = _rings(ra), _rings(rb)
-        base = pa[0][0] if pa and len(pa[0]) else np.zeros(2)
-        out.append(kernels.overlap_area([r - base for r in pa], [r - base for r in pb]))
-    return pd.Series(out, dtype="float64")
+def _corners(value: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners (m, 2) of a column of arrays of rings, corners of each ring, and rings of each row."""
+    rings = value.flatten()
+    points = rings.flatten()
+    xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"])
+    return xy, *(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for v in (rings, value))
+
+
+def _segments_of(xy: np.ndarray, corners: np.ndarray, rings: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments (m, 4) around the rows' base points, and the row of each; rings of less than three corners have none."""
+    ends = np.cumsum(corners)
+    nxt = np.arange(1, len(xy) + 1)
+    nxt[ends[corners > 0] - 1] = (ends - corners)[corners > 0]
+    row = np.repeat(np.repeat(np.arange(len(rings)), rings), corners)
+    near = xy - base[row]
+    kept = np.repeat(corners >= 3, corners)
+    return np.hstack([near, near[nxt]])[kept], row[kept]
+
+
+@F.arrow_udf(T.DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Common area of two polygons given as arrays of rings (holes by even-odd); all pairs of a batch together."""
+    one, other = _corners(a), _corners(b)
+    base = np.zeros((len(a), 2))
+    begin = np.flatnonzero(one[2] > 0)
+    ring = (np.cumsum(one[2]) - one[2])[begin]
+    begin, ring = begin[one[1][ring] > 0], ring[one[1][ring] > 0]
+    base[begin] = one[0][(np.cumsum(one[1]) - one[1])[ring]]
+    return pa.array(kernels.overlap_areas(*_segments_of(*one, base), *_segments_of(*other, base), len(a)))
 
 
 # --- hexagons on the projected plane --------------------------------------------

@@ -174,7 +174,10 @@ def overlap_area(rings_a, rings_b) -> float:
     Between two neighbouring heights of corners and crossings no edges cross, so
     the common width is linear there and its middle value gives the strip's area.
     """
-    a, b = _segments(rings_a), _segments(rings_b)
+    return _overlap(_segments(rings_a), _segments(rings_b))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
     lo, hi = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 1].max(), b[:, 1].max())
@@ -192,6 +195,78 @@ def overlap_area(rings_a, rings_b) -> float:
     return total
 
 
+def overlap_areas(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, n: int) -> np.ndarray:
+    """overlap_area of n pairs at once, from the segments (m, 4) of both sides and the pair that each belongs to, in order.
+
+    Pairs with about as many segments share a call; one that would fill a call
+    alone, or has no number for a corner, is worked on by itself.
+    """
+    out = np.zeros(n)
+    count_a, count_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+    first_a, first_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
+    some = np.flatnonzero((count_a > 0) & (count_b > 0))
+    blank = np.zeros(n, bool)
+    blank[of_a[~np.isfinite(a).all(axis=1)]] = True
+    blank[of_b[~np.isfinite(b).all(axis=1)]] = True
+    # to the next power of two, by segments without length
+    wide_a, wide_b = (1 << np.ceil(np.log2(c[some])).astype(np.int64) for c in (count_a, count_b))
+    for size in np.unique(np.column_stack([wide_a, wide_b]), axis=0):
+        pairs = some[(wide_a == size[0]) & (wide_b == size[1])]
+        heights = int(size.sum() + size.prod() + 2)
+        step = DENSE // (heights * int(max(size.max(), size.prod())))
+        odd = pairs if step < 2 else pairs[blank[pairs]]
+        for k in odd:
+            out[k] = _overlap(a[first_a[k]:first_a[k] + count_a[k]], b[first_b[k]:first_b[k] + count_b[k]])
+        if step < 2:
+            continue
+        pairs = pairs[~blank[pairs]]
+        for i in range(0, len(pairs), step):
+            k = pairs[i:i + step]
+            out[k] = _overlaps(_padded(a, first_a[k], count_a[k], size[0]), _padded(b, first_b[k], count_b[k], size[1]))
+    return out
+
+
+def _padded(seg: np.ndarray, first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """(pairs, size, 4): the segments of each pair, followed by its first corner as segments without length."""
+    k = np.arange(size)
+    more = k[None, :] >= count[:, None]
+    out = seg[np.where(more, first[:, None], first[:, None] + k)]
+    out[more] = np.tile(seg[np.broadcast_to(first[:, None], more.shape)[more], :2], 2)
+    return out
+
+
+def _widths(seg: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right ends (pairs, heights, spans) of the spans of _spans(); there may be spans at infinity."""
+    x0, y0, x1, y1 = (seg[:, None, :, c] for c in range(4))
+    y = y[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where((y0 <= y) != (y1 <= y), x0 + (y - y0) * (x1 - x0) / (y1 - y0), np.inf)
+    if x.shape[2] % 2:
+        x = np.concatenate([x, np.full((*x.shape[:2], 1), np.inf)], axis=2)
+    x.sort(axis=2)
+    return x[:, :, ::2], x[:, :, 1::2]
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlap_area of pairs (pairs, segments, 4); heights that one pair does not need make strips without height."""
+    lo = np.maximum(a[:, :, 1].min(axis=1), b[:, :, 1].min(axis=1))[:, None]
+    hi = np.maximum(np.minimum(a[:, :, 1].max(axis=1), b[:, :, 1].max(axis=1))[:, None], lo)
+    p, q, r, s = a[:, :, None, :2], b[:, None, :, :2], (a[:, :, 2:] - a[:, :, :2])[:, :, None, :], (b[:, :, 2:] - b[:, :, :2])[:, None, :, :]
+    den = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
+    w = q - p
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (w[..., 0] * s[..., 1] - w[..., 1] * s[..., 0]) / den
+        u = (w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]) / den
+        met = np.where((den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1), p[..., 1] + t * r[..., 1], lo[:, :, None])
+    ys = np.sort(np.clip(np.concatenate([a[:, :, 1], b[:, :, 1], met.reshape(len(a), -1), lo, hi], axis=1), lo, hi), axis=1)
+    high = np.diff(ys, axis=1)
+    mid = 0.5 * (ys[:, :-1] + ys[:, 1:])
+    (la, ra), (lb, rb) = _widths(a, mid), _widths(b, mid)
+    left, right = np.maximum(la[..., :, None], lb[..., None, :]), np.minimum(ra[..., :, None], rb[..., None, :])
+    wide = np.where(left < right, right, 0.0) - np.where(left < right, left, 0.0)
+    return (wide.sum(axis=(2, 3)) * high).sum(axis=1)
+
+
 # --- points and outlines, in blocks ------------------------------------------
 
 

@@ -66,6 +66,38 @@ def test_concave_overlap():
     assert K.overlap_area([c], [bar]) == pytest.approx(4.0)
 
 
+def _star(rng, n):
+    t = (np.arange(n) + rng.uniform(0, 0.9, n)) * 2 * np.pi / n
+    return np.column_stack([np.cos(t), np.sin(t)]) * rng.uniform(1, 4, n)[:, None] + rng.uniform(0, 5, 2)
+
+
+def test_many_pairs_share_a_call(monkeypatch):
+    """Overlaps of many pairs are those of each pair, and small pairs do not become a call each."""
+    rng = np.random.default_rng(4)
+    box = np.array([(0, 0), (3, 0), (3, 2), (0, 2)], float)
+    pairs = [([box], [box]), ([box], [box + [3, 0]]), ([box], [box[::-1] + [1, 1]]), ([], [box]), ([box[:2]], [box]), ([box, box / 2], [box + 0.5])]
+    pairs += [([_star(rng, int(n))], [_star(rng, int(m)), _star(rng, 3)]) for n, m in rng.integers(3, 13, (60, 2))]
+    pairs += [([_star(rng, 900)], [_star(rng, 700)]), ([np.array([(0, np.nan), (1, 0), (1, 1)])], [box])]
+    plain = [K.overlap_area(a, b) for a, b in pairs]
+    seg = [[K._segments(p[k]) for p in pairs] for k in (0, 1)]
+    flat = [x for s in seg for x in (np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s]))]
+    calls, one = [], K._overlap
+    monkeypatch.setattr(K, "_overlap", lambda a, b: (calls.append(len(a)), one(a, b))[1])
+    assert K.overlap_areas(*flat, len(pairs)) == pytest.approx(plain, abs=1e-9, nan_ok=True)
+    assert sorted(calls) == [3, 900]
+
+
+def test_overlap_column(spark):
+    ring = "array<struct<x:double,y:double>>"
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    moved = [(x + 2, y) for x, y in square]
+    rows = [(1, [square], [moved]), (2, [square, hole], [square]), (3, [], [square]), (4, [[], square], [moved]), (5, [square[:2]], [square]), (6, [square, hole], [moved])]
+    df = spark.createDataFrame(rows, f"id int, a array<{ring}>, b array<{ring}>").repartition(1)
+    got = {r["id"]: r["v"] for r in df.select("id", geom.overlap_area(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert got == pytest.approx({1: 8.0, 2: 12.0, 3: 0.0, 4: 8.0, 5: 0.0, 6: 6.0})
+
+
 def test_hull_holds_all_points():
     rng = np.random.default_rng(3)
     pts = rng.normal(0, 1, (200, 2))
