@@ -98,6 +98,23 @@ def test_overlap_column(spark):
     assert got == pytest.approx({1: 8.0, 2: 12.0, 3: 0.0, 4: 8.0, 5: 0.0, 6: 6.0})
 
 
+def test_surface_through_distinct_places_is_solved(monkeypatch):
+    rng = np.random.default_rng(6)
+    every = np.array([(i, j) for i in range(24) for j in range(24)], float)
+    known = rng.random(len(every)) < 0.5
+    xy, at, z = every[known], every[~known], rng.uniform(0, 2.6e6, known.sum())
+    d, e = (np.sqrt(((p[:, None] - xy[None]) ** 2).sum(axis=2) + 1) for p in (xy, at))
+    plain = e @ np.linalg.lstsq(d, z, rcond=None)[0]
+    twice = K.multiquadric_fill(np.vstack([xy, xy[:5]]), np.concatenate([z, z[:5]]), at, 1.0)
+    assert twice == pytest.approx(plain, abs=1e-4)
+
+    def slow(*_, **__):
+        raise AssertionError("least squares")
+
+    monkeypatch.setattr(np.linalg, "lstsq", slow)
+    assert K.multiquadric_fill(xy, z, at, 1.0) == pytest.approx(plain, abs=1e-4)
+
+
 def test_hull_holds_all_points():
     rng = np.random.default_rng(3)
     pts = rng.normal(0, 1, (200, 2))
