@@ -6,18 +6,22 @@ A grid is a table of nodes (i, j, x, y); cell (i, j) lies between the nodes (i,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hotspark.functions import geom
 from hotspark.operators import predicates as P
 from hotspark.operators.overlay import SNAP, polygon_edges
-from hotspark.operators.raster import covered_cells
 from hotspark.operators.tiles import box_pairs, points_in_boxes
+from hotspark.session import materialize, spread
 
 #: The corners of a cell around its lower left node, in order.
 AROUND = ((0, 0), (1, 0), (1, 1), (0, 1))
 #: Shares of a cell that are no more than the rounding of places millions of metres from the origin.
 NOISE = 1e-12
+#: Metres by which the rounding of places far from the origin may move a bound.
+HAIR = 1e-3
 
 
 def cells(nodes: DataFrame, values: list[str] | None = None) -> DataFrame:
@@ -164,12 +168,96 @@ def resample_area(nodes: DataFrame, field: DataFrame, value: str, cell: float) -
     """(i, j, value, coverage) of the regular cells that a field on a curvilinear grid covers.
 
     `field` has (i, j, value) of curvilinear cells; a null value covers nothing. `value` is the sum of the values by
-    their shares of the regular cell, as `raster.resample_area` gives it; shares up to `NOISE` are none. Only JVM functions are used.
+    their shares of the regular cell, as `raster.resample_area` gives it; shares up to `NOISE` are none. Each height of
+    squares is met only where the cell lies in it; the pairs of cell and square stay in the task, which gives its sums.
     """
     known = field.where(F.col(value).isNotNull()).select("i", "j", F.col(value).cast("double").alias("v"))
-    quads = cells(nodes).join(known, ["i", "j"]).drop("i", "j")
-    met = covered_cells(quads, cell).drop("part")
-    low = (F.col("i") * cell, F.col("j") * cell)
-    part = area_in_box(F.col("ring"), low[0], low[1], low[0] + cell, low[1] + cell) / (cell * cell)
-    parts = met.select("i", "j", "v", part.alias("w")).where(F.col("w") > NOISE)
-    return parts.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("value"), F.sum("w").alias("coverage"))
+    quads = cells(nodes).join(known, ["i", "j"]).select("j", "i", "ring", "v", F.floor(F.col("i") / NEIGHBOURS).alias("_near"))
+    corner = [F.col("ring")[k][c].alias(f"{c}{k}") for c in "xy" for k in range(4)]
+    near = spread(quads, "_near").sortWithinPartitions("_near", "j", "i").select("v", *corner)
+
+    def run(batches):
+        for d in batches:
+            v, *at = (c.to_numpy(zero_copy_only=False) for c in d.columns)
+            if len(v):
+                for found in _square_sums(np.column_stack(at[:4]), np.column_stack(at[4:]), v, float(cell)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["i", "j", "value", "coverage"])
+
+    parts = near.mapInArrow(run, "i long, j long, value double, coverage double")
+    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum("coverage").alias("coverage"))
+#: Pairs of cell and square worked on in one numpy call.
+PAIRS = 1 << 16
+#: Columns of cells that a task takes together: neighbours meet the same squares.
+NEIGHBOURS = 32
+
+
+def _runs(counts: np.ndarray):
+    """(owner, place) of the items of groups of the given sizes, one after the other, at most `PAIRS` at a time."""
+    ends = np.cumsum(counts)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        item = np.arange(a, min(a + PAIRS, int(ends[-1])))
+        owner = np.searchsorted(ends, item, side="right")
+        yield owner, item - (ends - counts)[owner]
+
+
+def _reach_in_band(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """West and east end of each ring within the heights low to high; west lies east of east where there is nothing."""
+    west, east = np.full(len(x), np.inf), np.full(len(x), -np.inf)
+    for k in range(4):
+        px, py, qx, qy = x[:, k], y[:, k], x[:, (k + 1) % 4], y[:, (k + 1) % 4]
+        met = (np.minimum(py, qy) <= high) & (np.maximum(py, qy) >= low)
+        rise = qy - py
+        slant = np.divide(qx - px, rise, out=np.zeros_like(rise), where=rise != 0)
+        for ex, ey in ((px, py), (qx, qy)):
+            # an end outside the band is moved along the side to its border
+            at = np.where(rise != 0, ex + slant * (np.clip(ey, low, high) - ey), ex)
+            west, east = np.where(met, np.minimum(west, at), west), np.where(met, np.maximum(east, at), east)
+    return west, east
+
+
+def _areas_in_squares(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
+    """`area_in_box` of many rings of four corners, each with one square."""
+    total = np.zeros(len(x0))
+
+    def climbed(h):
+        c = np.clip(h, 0.0, size)
+        return c * c / 2 + size * np.maximum(h - size, 0.0)
+
+    for k in range(4):
+        px, py, qx, qy = x[:, k], y[:, k], x[:, (k + 1) % 4], y[:, (k + 1) % 4]
+        run = qx - px
+        slope = np.divide(qy - py, run, out=np.zeros_like(run), where=run != 0)
+        p, q = np.clip(px - x0, 0.0, size), np.clip(qx - x0, 0.0, size)
+        start = py - y0 + slope * (x0 - px)
+        low, high = start + slope * p, start + slope * q
+        rise = high - low
+        flat = np.abs(rise) < 1e-6
+        mean = np.where(flat, np.clip((low + high) / 2, 0.0, size), (climbed(high) - climbed(low)) / np.where(flat, 1.0, rise))
+        total += np.where(p == q, 0.0, (p - q) * mean)
+    return np.abs(total)
+
+
+def _square_sums(x: np.ndarray, y: np.ndarray, value: np.ndarray, size: float):
+    """(i, j, sum of value by share, sum of shares) of the squares that rings of four corners meet, in parts of bounded size."""
+    low = np.floor(y.min(axis=1) / size).astype(np.int64)
+    rows = np.ceil(y.max(axis=1) / size).astype(np.int64) - low
+    for ring, up in _runs(np.maximum(rows, 0)):
+        j = low[ring] + up
+        west, east = _reach_in_band(x[ring], y[ring], j * size, (j + 1) * size)
+        found = west <= east
+        ring, j = ring[found], j[found]
+        first = np.floor((west[found] - HAIR) / size).astype(np.int64)
+        columns = np.floor((east[found] + HAIR) / size).astype(np.int64) + 1 - first
+        for pair, right in _runs(columns):
+            r, pj, pi = ring[pair], j[pair], first[pair] + right
+            w = _areas_in_squares(x[r], y[r], pi * size, pj * size, size) / (size * size)
+            kept = w > NOISE
+            if not kept.any():
+                continue
+            w, v, pi, pj = w[kept], value[r[kept]], pi[kept], pj[kept]
+            i0, j0 = pi.min(), pj.min()
+            high = int(pj.max() - j0) + 1
+            key, place = np.unique((pi - i0) * high + (pj - j0), return_inverse=True)
+            yield key // high + i0, key % high + j0, np.bincount(place, v * w), np.bincount(place, w)
+
+

@@ -110,3 +110,31 @@ def test_odd_input(spark):
     assert C.share_power(ev, grid.limit(0), ["day"], "shape", 100.0, 20.0).count() == 0
     assert C.resample_area(grid, grid.limit(0), "value", 7.0).count() == 0
     assert C.interpolate(spark.createDataFrame([(None, 1.0)], "x double, y double"), grid, "value", 20.0).count() == 0
+
+
+def slanting(n, m, run=3_000.0):
+    """Nodes of cells 10 wide and high whose sides lean over by `run` a row, as those far east in a widening grid do."""
+    return [(i, j, 10.0 * i + run * j, 10.0 * j, float((7 * i + 3 * j) % 11)) for i in range(n) for j in range(m)]
+
+
+def test_slanting_cells_share_squares_as_their_boxes_would(spark):
+    rows = slanting(60, 4, 400.0)
+    nodes = spark.createDataFrame(rows, NODE)
+    field = nodes.where("i < 59 and j < 3").select("i", "j", "value")
+    quads = C.cells(nodes).join(field, ["i", "j"])
+    met = R.covered_cells(quads.drop("i", "j"), 7.0)
+    part = C.area_in_box(F.col("ring"), F.col("i") * 7.0, F.col("j") * 7.0, F.col("i") * 7.0 + 7, F.col("j") * 7.0 + 7) / 49
+    want = met.withColumn("w", part).where(F.col("w") > C.NOISE).groupBy("i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value"), F.sum("w").alias("coverage"))
+    got, want = (d.toPandas().set_index(["i", "j"]).sort_index() for d in (C.resample_area(nodes, field, "value", 7.0), want))
+    assert got.index.equals(want.index) and np.allclose(got.to_numpy(), want[["value", "coverage"]].to_numpy(), atol=1e-9)
+
+
+def test_slanting_cells_meet_only_squares_at_their_height(monkeypatch):
+    """Pairs are worked on in bounded parts, and those of a box's corners, far from the cell, are left out."""
+    worked = []
+    plain = C._areas_in_squares
+    monkeypatch.setattr(C, "_areas_in_squares", lambda x, *rest: worked.append(len(x)) or plain(x, *rest))
+    x, y = np.array([[0.0, 10.0, 1e6 + 10, 1e6]]), np.array([[0.0, 0.0, 100.0, 100.0]])
+    areas = sum(w.sum() for _, _, _, w in C._square_sums(x, y, np.ones(1), 10.0)) * 100
+    assert areas == pytest.approx(1000.0, rel=1e-6) and max(worked) <= C.PAIRS
+    assert sum(worked) < 1.1 * 1e5  # the box holds ten times as many
