@@ -72,18 +72,49 @@ def _place(ring: Column, x: Column, y: Column) -> Column:
     return _let(F.struct(*(v.alias(n) for n, v in sides.items())), factors)
 
 
+#: Cells in a row of the grid that points meet as one before they meet them singly.
+BLOCK = 64
+
+
+def _bounded(quads: DataFrame) -> DataFrame:
+    """Cells with their run `bi` of `BLOCK` cells of a row, and their bounds lo and hi along the run's direction (nx, ny).
+
+    That direction stands at right angles to a side across the run, so a slanting cell is narrow in it, however long its box.
+    """
+    runs = quads.withColumn("bi", F.floor(F.col("i") / BLOCK).cast("long"))
+    a, d = F.col("ring")[0], F.col("ring")[3]
+    side = F.struct("i", (d.y - a.y).alias("nx"), (a.x - d.x).alias("ny"), F.hypot(d.x - a.x, d.y - a.y).alias("n"))
+    first = runs.groupBy("bi", "j").agg(F.min(side).alias("s"))
+    # a side without length gives no direction, and then the bounds are those along the first axis
+    unit = [F.when(F.col("s.n") > 0, F.col(f"s.{c}") / F.col("s.n")).otherwise(o).alias(c) for c, o in (("nx", 1.0), ("ny", 0.0))]
+    place = [F.col("ring")[k].x * F.col("nx") + F.col("ring")[k].y * F.col("ny") for k in range(4)]
+    return runs.join(first.select("bi", "j", *unit), ["bi", "j"]).withColumns({"lo": F.least(*place) - HAIR, "hi": F.greatest(*place) + HAIR})
+
+
+def _blocks(bounded: DataFrame) -> DataFrame:
+    """(bi, j, nx, ny, x0, y0, x1, y1, lo, hi): runs of cells with their box and their bounds along (nx, ny)."""
+    ends = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max, "lo": F.min, "hi": F.max}
+    return bounded.groupBy("bi", "j", "nx", "ny").agg(*(end(c).alias(c) for c, end in ends.items()))
+
+
 def locate(points: DataFrame, quads: DataFrame, base: float) -> DataFrame:
     """Rows of points (x, y and others) with their cell's columns and the place (u, v) in it, each at least 0 and under 1.
 
     Points outside the grid, on its far rims, or without coordinates have no row. `base` is about a cell's width.
-    Only JVM functions are used.
+    Points meet runs of cells first, then the cells of the runs that may hold them. Only JVM functions are used.
     """
-    at = _place(F.col("ring"), F.col("x"), F.col("y"))
-    within = _let(at, lambda p: (p.u >= 0) & (p.u < 1) & (p.v >= 0) & (p.v < 1))
-    # the box first: it is cheap, and outside it the roots mean nothing
+    bounded = materialize(_bounded(quads), "quads")
+    blocks = materialize(_blocks(bounded), "blocks")
+    along = F.col("x") * F.col("nx") + F.col("y") * F.col("ny")
     here = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    met = points_in_boxes(points, quads, base, F.when(here, within).otherwise(False)).withColumn("_at", at)
-    return met.withColumns({"u": F.col("_at.u"), "v": F.col("_at.v")}).drop("x0", "y0", "x1", "y1", "_at")
+    near = points_in_boxes(points, blocks, base, here & along.between(F.col("lo"), F.col("hi")))
+    near = near.select(*points.columns, F.col("bi").alias("_bi"), F.col("j").alias("_j"), along.alias("_along"))
+    # the bounds first: they are cheap, and outside the box the roots mean nothing
+    met = near.join(bounded.drop("nx", "ny"), (F.col("_bi") == F.col("bi")) & (F.col("_j") == F.col("j")) & F.col("_along").between(F.col("lo"), F.col("hi")) & here)
+    # roots are taken of the rows that are left, not within the join
+    at = F.filter(F.array(_place(F.col("ring"), F.col("x"), F.col("y"))), lambda p: (p.u >= 0) & (p.u < 1) & (p.v >= 0) & (p.v < 1))
+    found = met.withColumn("_at", F.explode(at))
+    return found.withColumns({"u": F.col("_at.u"), "v": F.col("_at.v")}).drop("x0", "y0", "x1", "y1", "lo", "hi", "bi", "_bi", "_j", "_along", "_at")
 
 
 def interpolate(points: DataFrame, nodes: DataFrame, value: str, base: float) -> DataFrame:
@@ -164,27 +195,6 @@ def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + below(ring[k], ring[(k + 1) % n])))
 
 
-def resample_area(nodes: DataFrame, field: DataFrame, value: str, cell: float) -> DataFrame:
-    """(i, j, value, coverage) of the regular cells that a field on a curvilinear grid covers.
-
-    `field` has (i, j, value) of curvilinear cells; a null value covers nothing. `value` is the sum of the values by
-    their shares of the regular cell, as `raster.resample_area` gives it; shares up to `NOISE` are none. Each height of
-    squares is met only where the cell lies in it; the pairs of cell and square stay in the task, which gives its sums.
-    """
-    known = field.where(F.col(value).isNotNull()).select("i", "j", F.col(value).cast("double").alias("v"))
-    quads = cells(nodes).join(known, ["i", "j"]).select("j", "i", "ring", "v", F.floor(F.col("i") / NEIGHBOURS).alias("_near"))
-    corner = [F.col("ring")[k][c].alias(f"{c}{k}") for c in "xy" for k in range(4)]
-    near = spread(quads, "_near").sortWithinPartitions("_near", "j", "i").select("v", *corner)
-
-    def run(batches):
-        for d in batches:
-            v, *at = (c.to_numpy(zero_copy_only=False) for c in d.columns)
-            if len(v):
-                for found in _square_sums(np.column_stack(at[:4]), np.column_stack(at[4:]), v, float(cell)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["i", "j", "value", "coverage"])
-
-    parts = near.mapInArrow(run, "i long, j long, value double, coverage double")
-    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum("coverage").alias("coverage"))
 #: Pairs of cell and square worked on in one numpy call.
 PAIRS = 1 << 16
 #: Columns of cells that a task takes together: neighbours meet the same squares.
@@ -261,3 +271,24 @@ def _square_sums(x: np.ndarray, y: np.ndarray, value: np.ndarray, size: float):
             yield key // high + i0, key % high + j0, np.bincount(place, v * w), np.bincount(place, w)
 
 
+def resample_area(nodes: DataFrame, field: DataFrame, value: str, cell: float) -> DataFrame:
+    """(i, j, value, coverage) of the regular cells that a field on a curvilinear grid covers.
+
+    `field` has (i, j, value) of curvilinear cells; a null value covers nothing. `value` is the sum of the values by
+    their shares of the regular cell, as `raster.resample_area` gives it; shares up to `NOISE` are none. Each height of
+    squares is met only where the cell lies in it; the pairs of cell and square stay in the task, which gives its sums.
+    """
+    known = field.where(F.col(value).isNotNull()).select("i", "j", F.col(value).cast("double").alias("v"))
+    quads = cells(nodes).join(known, ["i", "j"]).select("j", "i", "ring", "v", F.floor(F.col("i") / NEIGHBOURS).alias("_near"))
+    corner = [F.col("ring")[k][c].alias(f"{c}{k}") for c in "xy" for k in range(4)]
+    near = spread(quads, "_near").sortWithinPartitions("_near", "j", "i").select("v", *corner)
+
+    def run(batches):
+        for d in batches:
+            v, *at = (c.to_numpy(zero_copy_only=False) for c in d.columns)
+            if len(v):
+                for found in _square_sums(np.column_stack(at[:4]), np.column_stack(at[4:]), v, float(cell)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["i", "j", "value", "coverage"])
+
+    parts = near.mapInArrow(run, "i long, j long, value double, coverage double")
+    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum("coverage").alias("coverage"))

@@ -138,3 +138,19 @@ def test_slanting_cells_meet_only_squares_at_their_height(monkeypatch):
     areas = sum(w.sum() for _, _, _, w in C._square_sums(x, y, np.ones(1), 10.0)) * 100
     assert areas == pytest.approx(1000.0, rel=1e-6) and max(worked) <= C.PAIRS
     assert sum(worked) < 1.1 * 1e5  # the box holds ten times as many
+
+
+def test_points_meet_runs_of_slanting_cells(spark):
+    n = 3 * C.BLOCK
+    nodes = spark.createDataFrame(slanting(n + 1, 3, 30_000.0), NODE)
+    quads = C.cells(nodes)
+    blocks = C._blocks(C._bounded(quads)).toPandas()
+    assert len(blocks) == 6 and (blocks.x1 - blocks.x0 > 30_000).all() and (blocks.hi - blocks.lo < 1).all()
+    rng = np.random.default_rng(3)
+    points = []
+    for k in range(300):
+        i, j, u, v = int(rng.integers(n)), int(rng.integers(2)), rng.uniform(0.01, 0.99), rng.uniform(0.01, 0.99)
+        points.append((k, float(10 * (i + u) + 30_000.0 * (j + v)), float(10 * (j + v)), i, j))
+    df = spark.createDataFrame(points, "id long, x double, y double, wi long, wj long")
+    got = C.locate(df, quads, 20.0).toPandas()
+    assert sorted(got["id"]) == list(range(300)) and (got.i == got.wi).all() and (got.j == got.wj).all()
