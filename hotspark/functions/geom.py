@@ -21,13 +21,18 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it, also for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _next(ring: Column) -> Column:
     """The ring moved on by one corner."""
     return F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
 
 
 def _sides(ring: Column, f) -> Column:
-    return F.zip_with(ring, _next(ring), f)
+    return _let(ring, lambda r: F.zip_with(r, _next(r), f))
 
 
 def _sum(values: Column) -> Column:
@@ -36,8 +41,7 @@ def _sum(values: Column) -> Column:
 
 def _from_first(ring: Column) -> Column:
     """Corners relative to the first one, so products stay small and exact."""
-    o = ring[0]
-    return F.transform(ring, lambda p: F.struct((p.x - o.x).alias("x"), (p.y - o.y).alias("y")))
+    return _let(ring, lambda r: _let(r[0], lambda o: F.transform(r, lambda p: F.struct((p.x - o.x).alias("x"), (p.y - o.y).alias("y")))))
 
 
 def signed_area(ring: Column) -> Column:
@@ -53,11 +57,16 @@ def length(ring: Column) -> Column:
 
 
 def centroid(ring: Column) -> Column:
-    rel = _from_first(ring)
-    a6 = signed_area(ring) * 6
-    cx = _sum(_sides(rel, lambda p, q: (p.x + q.x) * (p.x * q.y - q.x * p.y)))
-    cy = _sum(_sides(rel, lambda p, q: (p.y + q.y) * (p.x * q.y - q.x * p.y)))
-    return F.struct((ring[0].x + cx / a6).alias("x"), (ring[0].y + cy / a6).alias("y"))
+    def sums(rel: Column) -> Column:
+        cx = _sum(_sides(rel, lambda p, q: (p.x + q.x) * (p.x * q.y - q.x * p.y)))
+        cy = _sum(_sides(rel, lambda p, q: (p.y + q.y) * (p.x * q.y - q.x * p.y)))
+        a6 = _sum(_sides(rel, lambda p, q: p.x * q.y - q.x * p.y)) / 2 * 6
+        return F.struct(cx.alias("x"), cy.alias("y"), a6.alias("a6"))
+
+    def place(r: Column) -> Column:
+        return _let(_let(_from_first(r), sums), lambda s: F.struct((r[0].x + s.x / s.a6).alias("x"), (r[0].y + s.y / s.a6).alias("y")))
+
+    return _let(ring, place)
 
 
 def bbox(ring: Column) -> Column:
@@ -68,11 +77,15 @@ def bbox(ring: Column) -> Column:
 
 
 def side_distance(x: Column, y: Column, p: Column, q: Column) -> Column:
-    dx, dy = q.x - p.x, q.y - p.y
-    n2 = F.greatest(dx * dx + dy * dy, F.lit(1e-30))
-    t = F.least(F.greatest(((x - p.x) * dx + (y - p.y) * dy) / n2, F.lit(0.0)), F.lit(1.0))
-    ex, ey = x - p.x - t * dx, y - p.y - t * dy
-    return F.sqrt(ex * ex + ey * ey)
+    def along(s: Column) -> Column:
+        n2 = F.greatest(s.dx * s.dx + s.dy * s.dy, F.lit(1e-30))
+        return _let(F.least(F.greatest((s.ax * s.dx + s.ay * s.dy) / n2, F.lit(0.0)), F.lit(1.0)), lambda t: away(s, t))
+
+    def away(s: Column, t: Column) -> Column:
+        return _let(F.struct((s.ax - t * s.dx).alias("x"), (s.ay - t * s.dy).alias("y")), lambda e: F.sqrt(e.x * e.x + e.y * e.y))
+
+    parts = {"dx": q.x - p.x, "dy": q.y - p.y, "ax": x - p.x, "ay": y - p.y}
+    return _let(F.struct(*(v.alias(n) for n, v in parts.items())), along)
 
 
 def boundary_distance(x: Column, y: Column, ring: Column) -> Column:
@@ -115,12 +128,14 @@ def within_buffer(ring: Column, x: Column, y: Column, reach: float) -> Column:
 
 def mean_min_distance(a: Column, b: Column) -> Column:
     """Mean over the corners of a (closed ring) of the distance to the nearest corner of b."""
-    closed = F.concat(a, F.slice(a, 1, 1))
-    near = F.transform(
-        closed,
-        lambda p: F.array_min(F.transform(b, lambda q: F.sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)))),
-    )
-    return _sum(near) / F.size(near)
+    def gap(p: Column, q: Column) -> Column:
+        return _let(F.struct((p.x - q.x).alias("x"), (p.y - q.y).alias("y")), lambda e: F.sqrt(e.x * e.x + e.y * e.y))
+
+    def near(a: Column, b: Column) -> Column:
+        return F.transform(F.concat(a, F.slice(a, 1, 1)), lambda p: F.array_min(F.transform(b, lambda q: gap(p, q))))
+
+    found = _let(a, lambda a: _let(b, lambda b: near(a, b)))
+    return _let(found, lambda n: _sum(n) / F.size(n))
 
 
 def densify(ring: Column, parts: int = 5) -> Column:
@@ -137,8 +152,11 @@ def densify(ring: Column, parts: int = 5) -> Column:
 
 def stride(points: Column, limit: int) -> Column:
     """Every k-th vertex, at most `limit` of them: for display, never for a measure."""
-    step = F.ceil(F.size(points) / F.lit(limit)).cast("int")
-    return F.filter(points, lambda p, i: i % step == 0)
+    def thin(pts: Column) -> Column:
+        return _let(F.ceil(F.size(pts) / F.lit(limit)).cast("int"), lambda step: F.filter(pts, lambda p, i: i % step == 0))
+
+    # the points may be made by an expression, which would be worked out again for each of them
+    return _let(points, thin)
 
 
 def polygonal_parts(parts: Column) -> Column:

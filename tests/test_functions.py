@@ -145,6 +145,18 @@ def test_ring_columns(spark):
     assert (r["a"], r["l"], r["c"], r["d"], r["edge"], r["n"]) == (8.0, 12.0, True, 5.0, True, 20)
 
 
+def test_points_to_thin_out_are_made_once(spark):
+    """Measures take rings made by an expression; it is worked out once a measure, not once a corner."""
+    # the expression's nodes in a plan say how often it is worked out
+    ring = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.cos(k).alias("x"), F.sin(k).alias("y")))
+    df = spark.range(21).select((F.col("id") + 20).cast("int").alias("n"))
+    for measure in (geom.stride(ring, 7), geom.area(ring), geom.length(ring), geom.centroid(ring)):
+        plan = df.select(measure.alias("m"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("sequence(") == 1
+    got = df.select("n", geom.stride(ring, 7).alias("s")).collect()
+    assert [len(r.s) for r in got] == [-(-r.n // -(-r.n // 7)) for r in got]
+
+
 def test_hexagons_partition_the_plane(spark):
     rng = np.random.default_rng(6)
     pts = [(float(x), float(y)) for x, y in rng.uniform(-50, 50, (300, 2))]
