@@ -84,6 +84,16 @@ def test_two_dense_cells_need_refinement(spark):
         assert C.cluster_points(df, eps).select("cluster").distinct().count() == want
 
 
+def test_neighbour_cells_meet_by_tiles(spark):
+    """Every pair of places of the reach once, with three copies of a cell, not twelve."""
+    rng = np.random.default_rng(4)
+    places = {(int(a), int(b)) for a, b in rng.integers(-20, 20, (700, 2))} | {(a, b) for a in range(40, 60) for b in range(-9, 11)}
+    cells = spark.createDataFrame([(a, b, 0.0, 0.0, 0.0, 0.0) for a, b in places], "cx long, cy long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(map(tuple, C._neighbours(cells).select("a.cx", "a.cy", "b.cx", "b.cy").collect()))
+    assert got == sorted((a, b, a + dx, b + dy) for a, b in places for dx, dy in C._REACH if (a + dx, b + dy) in places)
+    assert C._towards(cells).count() < 3.2 * len(places)
+
+
 def test_distance_pairs_with_salt(spark):
     rng = np.random.default_rng(7)
     xy = np.vstack([rng.uniform(0, 50, (150, 2)), rng.normal(20, 2, (100, 2))])
